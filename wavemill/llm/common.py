@@ -56,13 +56,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words_of_batch(texts: pa.Array, ascii_only: bool = False) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Lower-case whitespace words of a batch: index of each word in the distinct list, that list, offsets by row.
-
-    With ``ascii_only`` just A-Z are lowered and just space, \\t, \\n, \\v, \\f, \\r separate.
-    """
+def words_of_batch(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Lower-case white-space words of a batch: index of each word in the distinct list, that list, offsets by row."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts)) if ascii_only else pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    split = pc.utf8_split_whitespace(pc.utf8_lower(texts))
     flat = split.flatten()
     offsets = np.asarray(split.offsets, dtype=np.int64)
     offsets = offsets - offsets[0]
@@ -72,10 +69,21 @@ def words_of_batch(texts: pa.Array, ascii_only: bool = False) -> tuple[np.ndarra
         kept = np.concatenate([[0], np.cumsum(full)])
         offsets = kept[offsets]
         flat = flat.filter(pa.array(full))
+    return *_coded(flat), offsets
+
+
+def ascii_words_of_batch(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The same for UTF-8 bytes, where just A-Z are lowered and just space, \\t, \\n, \\v, \\f, \\r separate."""
+    rows = [(t or "").encode().lower().split() for t in texts.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    return *_coded(pa.array([w for r in rows for w in r], pa.large_binary())), offsets
+
+
+def _coded(flat: pa.Array) -> tuple[np.ndarray, list]:
     coded = flat.dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    return np.asarray(coded.indices, dtype=np.int64), coded.dictionary.to_pylist(), offsets
+    return np.asarray(coded.indices, dtype=np.int64), coded.dictionary.to_pylist()
 
 
 def word_ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:

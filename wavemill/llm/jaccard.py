@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkCounter, batches_of, checkpointed, components, heavy_values, id_text, joined, mix64, table, words_of_batch
+from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed, components, heavy_values, id_text, joined, mix64, table
 
 #: Shingles of each set that the first round looks at.
 FIRST = 6
@@ -47,7 +47,7 @@ FIRST = 6
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes (uint64) of each text."""
-    ids, names, offsets = words_of_batch(texts, ascii_only=True)
+    ids, names, offsets = ascii_words_of_batch(texts)
     code = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))[ids]
     n = len(code)
     h = np.full(max(0, n - words + 1), words, np.uint64)
