@@ -22,7 +22,11 @@ bounds the overlap that is still possible, so entries too deep in their sets
 are skipped.  Every pair of sets in different classes that can link at all is
 generated here and verified, so no link between classes is lost.
 
-Verification counts the shingles of both whole texts.  Null text, empty text
+*Verification.*  Pairs first compare parity sketches: bit ``i`` says whether the
+number of a set's shingles with hash ``i`` is odd.  Bits that differ never
+outnumber the shingles that differ, so a pair with too many cannot link; this
+drops most without their texts.  For the rest the shingles of both whole texts
+are counted.  Null text, empty text
 and text without words have an empty set, which links with nothing.  With fewer
 than ``words`` words the whole sequence is the one shingle.  Rows with one id
 are one document; rows with a null id get a null component.
@@ -87,7 +91,7 @@ def _frequent(docs: DataFrame, words: int, share: float) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """``doc_id, n, s1, s2, prefix``: set size, two signatures of the set, and the first shingles in the global order."""
+    """``doc_id, n, s1, s2, prefix, parity``: set size, two signatures of the set, the first shingles in the global order, and a parity sketch."""
     held = docs.sparkSession.sparkContext.broadcast(common)  # of bounded length, rarest first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,6 +103,7 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, common: np.ndarra
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 s1 = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 s2 = [int(mix64(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                parity = [_parity(s) for s in sets]
                 first = []
                 for s in sets:
                     p = len(s) - -(-len(s) * num // den) + 1 if len(s) else 0
@@ -108,17 +113,40 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, common: np.ndarra
                         if often.any():
                             s = np.concatenate([s[~often], held.value[np.sort(place[at[often]])]])
                     first.append(s[:p].view(np.int64))
-                flat = pa.array(np.concatenate(first))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in first])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "n", "s1", "s2", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), _lists(first), _lists(parity)], ["doc_id", "n", "s1", "s2", "prefix", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>, parity array<long>")
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]), pa.int32()), pa.array(np.concatenate(rows)))
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Of a power of two of bits, as many as shingles at least, in whole numbers of 64."""
+    m = 64
+    while m < len(s):
+        m *= 2
+    odd = np.bincount((mix64(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _possible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``a, b`` pairs that their parity sketches do not rule out."""
+    both = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
+    # Sizes of sets that can link differ by less than a factor of 2 if the threshold is over 1/2; the longer sketch is folded.
+    folded = lambda x, n: F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+    short = F.least(F.size("pa"), F.size("pb"))
+    pa_, pb_ = (F.when(F.size(x) == short, F.col(x)).when(F.size(x) == 2 * short, folded(F.col(x), short)) for x in ("pa", "pb"))
+    differ = F.aggregate(F.zip_with(pa_, pb_, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
+    room = F.col("na") + F.col("nb") - 2 * F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
+    return checkpointed(both.where(differ.isNull() | (differ <= room)).select("a", "b").distinct())
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Of the checkpointed ``a, b`` pairs those whose whole texts link."""
     ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = joined(docs.where("doc_id is not null"), ids, "doc_id", "left_semi", ids.count()).dropDuplicates(["doc_id", "text"])
+    texts = joined(docs.where("doc_id is not null"), ids, "doc_id", "left_semi", ids.count()).repartition("doc_id").dropDuplicates(["doc_id", "text"])
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -149,33 +177,35 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     rows = checkpointed(_prefixes(docs, words, num, den, common))
     full = rows.where("n > 0 and doc_id is not null")
     equal = checkpointed(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = full.select("doc_id", "n", "s1", "s2", "prefix").join(equal.select("s1", "s2", F.col("n").alias("_n"), "rep").withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"]).where("n = _n")
-    reps = checkpointed(reps.select("doc_id", "n", "prefix").dropDuplicates(["doc_id", "n", "prefix"]))
+    reps = full.join(equal.select("s1", "s2", F.col("n").alias("_n"), "rep").withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"]).where("n = _n")
+    reps = checkpointed(reps.select("doc_id", "n", "prefix", "parity").dropDuplicates(["doc_id", "n", "prefix", "parity"]))
 
     # First round: each set against the head of the lists of its first shingles.
     few = reps.select("doc_id", "n", F.explode(F.slice("prefix", 1, FIRST)).alias("token"))
     heads = few.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("long")).where("long > 1").select("token", F.col("head.doc_id").alias("a"), F.col("head.n").alias("na"))
     near = few.join(heads, "token").where((F.col("doc_id") != F.col("a")) & (F.least("n", "na") * den >= F.greatest("n", "na") * num))
-    pairs = checkpointed(near.select("a", F.col("doc_id").alias("b")).distinct())
-    classes = components(_verified(pairs, docs, words, num, den))
+    pairs = near.select("a", F.col("doc_id").alias("b")).distinct()
+    classes = components(_verified(_possible(pairs, reps, num, den), docs, words, num, den))
 
     # Second round: what still spans two classes in the whole index.
     known = reps.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("class"), "prefix")
     known = checkpointed(known)
     mixed = known.select("class", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("token")
     mixed = checkpointed(mixed)
-    entries = joined(known.select("doc_id", "n", "class", F.posexplode("prefix").alias("pos", "token")), mixed, "token", "left_semi", mixed.count())
+    entries = joined(known.select("doc_id", "n", "class", "prefix", F.posexplode("prefix").alias("pos", "token")).withColumn("before", F.when(F.col("pos") > 0, F.element_at("prefix", F.col("pos")))).drop("prefix"), mixed, "token", "left_semi", mixed.count())
     block = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int") if num < den else F.col("n").cast("int")
     entries = checkpointed(entries.withColumn("block", block))
-    small = entries.select("token", "block", *[F.col(c).alias("a_" + c) for c in ("doc_id", "n", "class", "pos")])
+    small = entries.select("token", "block", *[F.col(c).alias("a_" + c) for c in ("doc_id", "n", "class", "pos", "before")])
     # A set meets those of its own block and of the block below.
-    large = entries.select("token", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), *[F.col(c).alias("b_" + c) for c in ("doc_id", "n", "class", "pos")])
+    large = entries.select("token", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), *[F.col(c).alias("b_" + c) for c in ("doc_id", "n", "class", "pos", "before")])
     both = F.col("a_n") + F.col("b_n")
     need = F.ceil(both * num / (num + den) - 1e-9)
     fits = (F.col("a_class") != F.col("b_class")) & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_doc_id") < F.col("b_doc_id"))))
     fits &= (F.col("a_n") * den >= F.col("b_n") * num) & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need)
+    # A pair is taken at its first common shingle: not where the entries before are equal, nor after more unequal ones than may differ.
+    fits &= (F.col("a_pos") + F.col("b_pos") <= both - 2 * need) & ~F.coalesce(F.col("a_before") == F.col("b_before"), F.lit(False))
     cross = small.join(large, ["token", "block"]).where(fits).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"))
-    links = _verified(checkpointed(cross.distinct()), docs, words, num, den)
+    links = _verified(_possible(cross.distinct(), reps, num, den), docs, words, num, den)
     of = known.select("doc_id", "class")
     between = links.join(of.select(F.col("doc_id").alias("a"), F.col("class").alias("ca")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("class").alias("cb")), "b")
     merged = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
