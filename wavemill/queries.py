@@ -1,4 +1,537 @@
-"""Queries by name and their SQL."""
+"""Queries by name over the test tables, and the SQL that must give the same rows.
+
+Embeddings stand in for voiceprints and short waveforms, documents and
+conversations for transcripts, events for signals.  Computed doubles are
+rounded to six places on both sides; nothing is filtered on a rounded value.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .config import PROFILES
+from .functions import arrays as A
+from .functions import digits, spectral
+from .functions import text as X
+from .operators import detect, fuse, gate, grid, metrics, sampling, sets, windows
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+_W = PROFILES["default"].weights
+_SIMS = ["cam", "eres", "rnet"]
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# ---------------------------------------------------------------- embeddings
+
+_E = "SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings"
+
+
+def _emb(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", "label", A.doubles("embedding").alias("x"))
+
+
+def _pairs(spark, sf):
+    a = _emb(spark, sf)
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("label2"), F.col("x").alias("y"))
+    return a.join(b, "vec_id").select(F.col("vec_id").alias("id"), (F.col("label") == F.col("label2")).alias("pos"), "x", "y")
+
+
+_PAIRS = f"p AS (SELECT a.vec_id AS id, a.label = b.label AS pos, a.x, b.x AS y FROM ({_E}) a JOIN ({_E}) b ON b.vec_id = a.vec_id + 1)"
+
+
+def _sql_cos(a: str, b: str) -> str:
+    return f"list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})) + 1e-8)"
+
+
+_CUTS = [(1, 21), (22, 21), (43, 22)]
+_TRIALS = f"{_PAIRS}, s AS (SELECT id, pos, " + ", ".join(f"{_sql_cos(f'x[{k}:{k + n - 1}]', f'y[{k}:{k + n - 1}]')} AS {c}" for c, (k, n) in zip(_SIMS, _CUTS)) + " FROM p)"
+_FUSED = f"""{_TRIALS}, m AS (SELECT {", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in _SIMS)} FROM s),
+    z AS (SELECT s.*, {", ".join(f"({c} - {c}_m) / ({c}_s + 1e-8) AS {c}_z" for c in _SIMS)} FROM s, m),
+    f AS (SELECT *, {" + ".join(f"{w} * {c}_z" for w, c in zip(_W, _SIMS))} AS fused FROM z)"""
+
+
+def trials(spark, sf):
+    p = _pairs(spark, sf)
+    return p.select("id", "pos", *[A.cosine(F.slice("x", k, n), F.slice("y", k, n)).alias(c) for c, (k, n) in zip(_SIMS, _CUTS)])
+
+
+@query(f"WITH {_PAIRS} SELECT id, pos, round({_sql_cos('x', 'y')}, 6) AS sim FROM p")
+def cosine_trials(spark, sf):
+    return _pairs(spark, sf).select("id", "pos", r6(A.cosine(F.col("x"), F.col("y"))).alias("sim"))
+
+
+@query(f"WITH {_FUSED} SELECT id, pos, round(fused, 6) AS fused, fused >= -0.22 AS is_target FROM f")
+def zscore_fuse(spark, sf):
+    d = fuse.zscore_fuse(trials(spark, sf), _SIMS, _W)
+    return d.select("id", "pos", r6(F.col("fused")).alias("fused"), fuse.accept(F.col("fused"), -0.22).alias("is_target"))
+
+
+@query(f"WITH {_FUSED} SELECT count(*) FILTER (fused >= -0.22) AS accepted, count(*) FILTER (fused < -0.22) AS rejected, round(avg((fused >= -0.22)::INT) FILTER (pos), 6) AS pos_rate, round(avg((fused < -0.22)::INT) FILTER (NOT pos), 6) AS rr FROM f")
+def accept_counts(spark, sf):
+    d = fuse.zscore_fuse(trials(spark, sf), _SIMS, _W).withColumn("hit", fuse.accept(F.col("fused"), -0.22))
+    return d.agg(
+        F.count_if("hit").alias("accepted"), F.count_if(~F.col("hit")).alias("rejected"),
+        r6(F.avg(F.when(F.col("pos"), F.col("hit").cast("int")))).alias("pos_rate"), r6(F.avg(F.when(~F.col("pos"), (~F.col("hit")).cast("int")))).alias("rr"),
+    )
+
+
+@query(f"""WITH {_FUSED}, g AS (SELECT range AS t FROM range(200)),
+    q AS (SELECT t, (count(*) FILTER (pos AND fused < t / 200.0::DOUBLE) / nullif(count(*) FILTER (pos), 0) + count(*) FILTER (NOT pos AND fused >= t / 200.0::DOUBLE) / nullif(count(*) FILTER (NOT pos), 0)) / 2 AS h FROM f, g GROUP BY t)
+    SELECT round(h, 6) AS min_hter, round(t / 200.0::DOUBLE, 6) AS threshold FROM q ORDER BY h, t LIMIT 1""")
+def min_hter_scan(spark, sf):
+    d = fuse.zscore_fuse(trials(spark, sf), _SIMS, _W)
+    return metrics.min_half_total_error(d, "fused", "pos").select(r6("min_hter").alias("min_hter"), r6("threshold").alias("threshold"))
+
+
+_GRID = f"""{_FUSED}, w(w_id, w0, w1, w2) AS (VALUES {", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a, b, c) in enumerate(grid.WEIGHTS))}),
+    h AS (SELECT range AS t_id, (range - 35) / 100.0::DOUBLE AS threshold FROM range(40)),
+    c AS (SELECT w_id, t_id, threshold, pos, 5 + id % 7 AS n, w0 * cam_z + w1 * eres_z + w2 * rnet_z >= threshold AS hit FROM f, w, h),
+    q AS (SELECT w_id, t_id, threshold, sum(n) FILTER (pos AND NOT hit) / sum(n) FILTER (pos) AS cer, 1 - count(*) FILTER (NOT pos AND hit) / count(*) FILTER (NOT pos) AS rr FROM c GROUP BY ALL),
+    b AS (SELECT *, (1 - coalesce(cer, 0)) * 40 + rr * 40 AS score FROM q)"""
+
+
+def _grid(spark, sf):
+    d = trials(spark, sf).withColumn("n", 5 + F.col("id") % 7)
+    return grid.grid_scores(d, _SIMS, "pos", "n")
+
+
+@query(f"WITH {_GRID} SELECT w_id::INT AS w_id, t_id::INT AS t_id, round(threshold, 6) AS threshold, round(coalesce(cer, 0), 6) AS cer, round(rr, 6) AS rr, round(score, 6) AS score FROM b")
+def grid_search(spark, sf):
+    return _grid(spark, sf).select("w_id", "t_id", r6("threshold").alias("threshold"), r6("cer").alias("cer"), r6("rr").alias("rr"), r6("score").alias("score"))
+
+
+@query(f"WITH {_GRID} SELECT round(max(score), 6) AS score FROM b")
+def grid_best(spark, sf):
+    return grid.best_point(_grid(spark, sf)).select(r6("score").alias("score"))
+
+
+@query(f"WITH {_TRIALS} SELECT id, round({' + '.join(f'{w} * {c}' for w, c in zip(_W, _SIMS))}, 6) AS sim FROM s")
+def abs_fusion(spark, sf):
+    return trials(spark, sf).select("id", r6(A.weighted_sum([F.col(c) for c in _SIMS], list(_W))).alias("sim"))
+
+
+def _sql_unit(v: str, k: int, n: int, w: float) -> str:
+    s = f"{v}[{k}:{k + n - 1}]"
+    return f"list_transform({s}, lambda e: {w} * e / sqrt(list_inner_product({s}, {s})))"
+
+
+_CAT = {v: "list_concat(list_concat(" + _sql_unit(v, *_CUTS[0], _W[0]) + ", " + _sql_unit(v, *_CUTS[1], _W[1]) + "), " + _sql_unit(v, *_CUTS[2], _W[2]) + ")" for v in "xy"}
+
+
+@query(f"WITH {_PAIRS}, c AS (SELECT id, {_CAT['x']} AS a, {_CAT['y']} AS b FROM p) SELECT id, round({_sql_cos('a', 'b')}, 6) AS sim FROM c")
+def concat_fusion(spark, sf):
+    cat = lambda v: A.weighted_concat([F.slice(v, k, n) for k, n in _CUTS], list(_W))
+    return _pairs(spark, sf).select("id", cat("x").alias("a"), cat("y").alias("b")).select("id", r6(A.cosine(F.col("a"), F.col("b"))).alias("sim"))
+
+
+@query(f"SELECT vec_id, round(sqrt(list_inner_product(x, x) / len(x)) + 1e-9, 6) AS rms, round(list_inner_product(x, x), 6) AS energy FROM ({_E})")
+def rms_energy(spark, sf):
+    return _emb(spark, sf).select("vec_id", r6(A.rms(F.col("x"))).alias("rms"), r6(A.energy(F.col("x"))).alias("energy"))
+
+
+_HALF = [f"sqrt(list_inner_product(x[{a}:{b}], x[{a}:{b}]) / 32) + 1e-9" for a, b in ((1, 32), (33, 64))]
+
+
+@query(f"SELECT vec_id, least({_HALF[0]}, {_HALF[1]}) / greatest({_HALF[0]}, {_HALF[1]}) < 0.75 AS single, CASE WHEN list_inner_product(x[1:32], x[1:32]) >= list_inner_product(x[33:64], x[33:64]) THEN 0 ELSE 1 END AS loudest FROM ({_E})")
+def single_speaker(spark, sf):
+    tracks = F.array(F.slice("x", 1, 32), F.slice("x", 33, 32))
+    return _emb(spark, sf).select("vec_id", A.single_speaker(tracks, 0.75).alias("single"), A.argmax_energy(tracks).cast("int").alias("loudest"))
+
+
+_PEAK = "list_max(list_transform(x, lambda e: abs(e)))"
+
+
+@query(f"SELECT vec_id, list_transform(x, lambda e: round(e / {_PEAK}, 6)) AS y FROM ({_E})")
+def peak_norm(spark, sf):
+    return _emb(spark, sf).select("vec_id", F.transform(A.peak_normalise(F.col("x")), r6).alias("y"))
+
+
+_LOUD = "list_transform(x, lambda e: abs(e) > 0.1)"
+
+
+@query(f"SELECT vec_id, list_transform(CASE WHEN list_contains({_LOUD}, true) THEN x[list_position({_LOUD}, true):len(x) - list_position(list_reverse({_LOUD}), true) + 1] ELSE x END, lambda e: round(e, 6)) AS y FROM ({_E})")
+def trim_silence(spark, sf):
+    return _emb(spark, sf).select("vec_id", F.transform(A.trim_silence(F.col("x"), 0.1), r6).alias("y"))
+
+
+@query(f"SELECT vec_id, list_transform(x, lambda e: round(greatest(-1, least(1, e * 8)), 6)) AS y FROM ({_E})")
+def clip(spark, sf):
+    return _emb(spark, sf).select("vec_id", F.transform(A.clip(F.transform("x", lambda e: e * 8)), r6).alias("y"))
+
+
+@query(f"SELECT vec_id, list_transform(list_transform(x, lambda e: e * 4), lambda e: round(CASE WHEN 4 * {_PEAK} > 1 THEN e / (4 * {_PEAK}) * 0.99 ELSE e END, 6)) AS y FROM ({_E})")
+def peak_limit(spark, sf):
+    return _emb(spark, sf).select("vec_id", F.transform(A.peak_limit(F.transform("x", lambda e: e * 4)), r6).alias("y"))
+
+
+@query(f"SELECT vec_id, list_transform(x[5:24], lambda e: round(e, 6)) AS crop, list_transform(list_concat(list_concat(x, x), x)[1:150], lambda e: round(e, 6)) AS tile, list_transform(list_concat(x, [0.0::DOUBLE, 0.0, 0.0, 0.0])[1:68], lambda e: round(e, 6)) AS pad FROM ({_E})")
+def crop_pad(spark, sf):
+    show = lambda c: F.transform(c, r6)
+    return _emb(spark, sf).select("vec_id", show(A.crop_or_tile(F.col("x"), 20, 4)).alias("crop"), show(A.crop_or_tile(F.col("x"), 150)).alias("tile"), show(A.fit_length(F.col("x"), 68)).alias("pad"))
+
+
+@query(f"SELECT vec_id, k::INT AS segment, list_transform(x[k * 24 + 1:k * 24 + 24], lambda e: round(e, 6)) AS samples FROM ({_E}), (SELECT range AS k FROM range(2))")
+def segment(spark, sf):
+    d = _emb(spark, sf).select("vec_id", F.posexplode(A.segments(F.col("x"), 24)).alias("segment", "s"))
+    return d.select("vec_id", "segment", F.transform("s", r6).alias("samples"))
+
+
+@query(f"SELECT vec_id, k::INT AS frame, round(list_sum(x[k * 8 + 1:k * 8 + 32]), 6) AS total FROM ({_E}), (SELECT range AS k FROM range(5))")
+def stft_frames(spark, sf):
+    d = _emb(spark, sf).select("vec_id", F.posexplode(A.frames(F.col("x"), 32, 8)).alias("frame", "s"))
+    return d.select("vec_id", "frame", r6(A.total(F.col("s"))).alias("total"))
+
+
+@query(f"SELECT vec_id, list_transform(range(32), lambda i: round(x[floor(i * 63 / 31.0::DOUBLE)::INT + 1] + (i * 63 / 31.0::DOUBLE - floor(i * 63 / 31.0::DOUBLE)) * (x[least(floor(i * 63 / 31.0::DOUBLE)::INT + 2, 64)] - x[floor(i * 63 / 31.0::DOUBLE)::INT + 1]), 6)) AS y FROM ({_E})")
+def resample_linear(spark, sf):
+    return _emb(spark, sf).select("vec_id", F.transform(A.resample_linear(F.col("x"), 16000, 8000), r6).alias("y"))
+
+
+@query(f"""WITH {_PAIRS}, c AS (SELECT id, list_transform(x, lambda e: e - list_sum(x) / 64) AS c, list_transform(y, lambda e: e - list_sum(y) / 64) AS e FROM p),
+    k AS (SELECT *, list_inner_product(e, c) / (list_inner_product(c, c) + 1e-10) AS k FROM c)
+    SELECT id, round(10 * log10(k * k * list_inner_product(c, c) / (list_inner_product(e, e) - 2 * k * list_inner_product(e, c) + k * k * list_inner_product(c, c) + 1e-10)), 4) AS db FROM k""")
+def si_sdr(spark, sf):
+    return _pairs(spark, sf).select("id", F.round(A.si_sdr(F.col("x"), F.col("y")), 4).alias("db"))
+
+
+@query(f"SELECT vec_id, round(sqrt(list_inner_product(y, y)), 6) AS norm FROM (SELECT vec_id, list_transform(x, lambda e: 3 * e / (3 * sqrt(list_inner_product(x, x)) + 1e-8)) AS y FROM ({_E}))")
+def l2_norm(spark, sf):
+    return _emb(spark, sf).select("vec_id", r6(A.norm(A.l2_normalise(F.transform("x", lambda e: e * 3)))).alias("norm"))
+
+
+@query(f"SELECT vec_id, list_transform(range(1, 33), lambda i: round((x[i] + x[i + 32]) / 2, 6)) AS y FROM ({_E})")
+def downmix(spark, sf):
+    return _emb(spark, sf).select("vec_id", F.transform(A.downmix(F.array(F.slice("x", 1, 32), F.slice("x", 33, 32))), r6).alias("y"))
+
+
+@query(f"WITH {_TRIALS} SELECT round(avg(cam) FILTER (pos), 6) AS pos_mean, round(avg(cam) FILTER (NOT pos), 6) AS neg_mean, round(avg(greatest(0, 0.7 - cam)) FILTER (pos) + avg(greatest(0, cam - 0.3)) FILTER (NOT pos), 6) AS loss FROM s")
+def class_means(spark, sf):
+    d, p = trials(spark, sf), F.col("pos")
+    return d.agg(r6(F.avg(F.when(p, F.col("cam")))).alias("pos_mean"), r6(F.avg(F.when(~p, F.col("cam")))).alias("neg_mean"), r6(metrics.margin_loss(F.when(p, F.col("cam")), F.when(~p, F.col("cam")))).alias("loss"))
+
+
+@query(f"WITH u AS (SELECT unnest(range(64)) AS pos, unnest(x) AS v FROM ({_E})), s AS (SELECT pos, stddev_samp(v) AS s FROM u GROUP BY pos) SELECT round(avg(s), 6) AS spread, avg(s) < 0.01 AS collapsed FROM s")
+def embedding_spread(spark, sf):
+    return metrics.embedding_spread(_emb(spark, sf), "x").select(r6("spread").alias("spread"), "collapsed")
+
+
+@query(f"""WITH {_TRIALS}, u AS (SELECT id, unnest([cam, eres, rnet]) AS sim, unnest(range(3)) AS track_idx FROM s)
+    SELECT id, track_idx::INT AS track_idx, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, track_idx) AS rn FROM u) WHERE rn = 1""")
+def best_track(spark, sf):
+    d = trials(spark, sf).select("id", F.posexplode(F.array(*_SIMS)).alias("track_idx", "sim"))
+    return detect.best_track(d, ["id"], "sim").select("id", "track_idx", r6("sim").alias("sim"))
+
+
+@query(f"""WITH {_TRIALS}, c AS (SELECT id, cam, cam >= -0.1 AND cam < 0.1 AS trig, list_filter([eres, rnet], lambda v: v > cam AND v - cam <= 0.25) AS g, [eres, rnet] AS a FROM s)
+    SELECT id, trig AS triggered, trig AND len(g) > 0 AS improved, CASE WHEN trig AND len(g) > 0 THEN list_position(a, list_max(g)) - 1 ELSE -1 END::INT AS track, round(CASE WHEN trig AND len(g) > 0 THEN list_max(g) ELSE cam END, 6) AS sim FROM c""")
+def adaptive_separation(spark, sf):
+    d = trials(spark, sf).select("id", F.col("cam").alias("base"), "eres", "rnet")
+    add = lambda x: x.withColumn("track_sims", F.array("eres", "rnet"))
+    out = detect.adaptive_separation(d, lambda x: x, add, "base", -0.1, 0.1, 0.25)
+    return out.select("id", "triggered", "improved", F.col("track").cast("int").alias("track"), r6("sim").alias("sim"))
+
+
+@query(f"WITH {_TRIALS} SELECT id, cam >= CASE WHEN eres > 0 THEN 0.1 ELSE 0.05 END AS accepted FROM s")
+def dual_threshold(spark, sf):
+    return trials(spark, sf).select("id", fuse.dual_accept(F.col("cam"), F.col("eres") > 0, 0.05, 0.1).alias("accepted"))
+
+
+@query()
+def spectral_gate(spark, sf):
+    return _emb(spark, sf).select("vec_id", spectral.spectral_gate(F.col("x")).alias("y"))
+
+
+@query()
+def mix_at_snr(spark, sf):
+    return _pairs(spark, sf).select("id", spectral.mix_at_snr(F.col("x"), F.slice("y", 1, 40), F.lit(5.0), F.col("id")).alias("y"))
+
+
+@query()
+def resample_polyphase(spark, sf):
+    return _emb(spark, sf).select("vec_id", spectral.resample_polyphase(F.col("x"), 16000, 24000).alias("y"))
+
+
+# ---------------------------------------------------------------- texts
+
+_NORM = "regexp_replace(lower(coalesce(text, '')), '[\\p{P}\\s]', '', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_NORM}) AS digest FROM documents")
+def normalize_text(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.md5(X.normalize_text("text")).alias("digest"))
+
+
+_ASCII = "regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]', '', 'g')[1:60]"
+_CER = f"""n AS (SELECT d.doc_id, l.toxic, l.quality, {_ASCII} AS txt FROM documents d LEFT JOIN labels l USING (doc_id)),
+    h AS (SELECT a.doc_id, a.toxic, a.quality, a.txt AS ref, b.txt AS hyp FROM n a JOIN n b ON b.doc_id = a.doc_id + 1),
+    e AS (SELECT *, levenshtein(ref, hyp) AS err, length(ref) AS chars FROM h)"""
+
+
+def _texts(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", F.substring(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]", ""), 1, 60).alias("ref"))
+    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("ref").alias("hyp"))
+    return d.join(nxt, "doc_id").join(t(spark, sf, "labels"), "doc_id", "left").withColumn("err", F.levenshtein("ref", "hyp")).withColumn("chars", F.length("ref"))
+
+
+@query(f"WITH {_CER} SELECT doc_id, round(CASE WHEN chars = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE err / chars END, 6) AS cer, round(CASE WHEN chars = 0 OR length(hyp) = 0 THEN 0 ELSE greatest(0, 1 - err / length(hyp)) END, 6) AS sim FROM e")
+def cer_rows(spark, sf):
+    return _texts(spark, sf).select("doc_id", r6(X.error_rate(F.col("ref"), F.col("hyp"))).alias("cer"), r6(F.when((F.col("chars") == 0) | (F.length("hyp") == 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("err") / F.length("hyp")))).alias("sim"))
+
+
+@query(f"WITH {_CER} SELECT round(coalesce(sum(err) FILTER (chars > 0) / nullif(sum(chars) FILTER (chars > 0), 0), 0), 6) AS cer FROM e")
+def micro_cer(spark, sf):
+    return _texts(spark, sf).agg(r6(metrics.micro_error(F.col("err"), F.col("chars"))).alias("cer"))
+
+
+@query(f"WITH {_CER} SELECT round(CASE WHEN sum(chars) = 0 THEN CASE WHEN sum(err) = 0 THEN 0 ELSE 1 END ELSE sum(err) / sum(chars) END, 6) AS cer FROM e")
+def micro_cer_official(spark, sf):
+    return _texts(spark, sf).agg(r6(metrics.micro_error_official(F.col("err"), F.col("chars"))).alias("cer"))
+
+
+_LABELLED = f"{_CER}, v AS (SELECT *, CASE WHEN quality = 1 THEN ref WHEN toxic = 0 THEN '' END AS label, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 7 = 0 THEN 'null' ELSE hyp END AS content FROM e)"
+
+
+def _labelled(spark, sf):
+    d = _texts(spark, sf).withColumn("label", F.when(F.col("quality") == 1, F.col("ref")).when(F.col("toxic") == 0, ""))
+    return d.withColumn("content", F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 7 == 0, "null").otherwise(F.col("hyp")))
+
+
+@query(f"WITH {_LABELLED} SELECT round(count(*) FILTER (coalesce(content, '') IN ('', 'null')) / count(*), 6) AS rr, round(1 - count(*) FILTER (content <> '') / count(*), 6) AS rr_strict FROM v WHERE label IS NULL OR label IN ('', 'null')")
+def rejection_rate(spark, sf):
+    d = _labelled(spark, sf).where(metrics.is_negative(F.col("label")))
+    return d.agg(r6(metrics.rejection_rate(F.col("content"))).alias("rr"), r6(metrics.rejection_rate_strict(F.col("content"))).alias("rr_strict"))
+
+
+@query(f"""WITH {_LABELLED}, a AS (SELECT coalesce(sum(err) FILTER (label <> '' AND chars > 0) / nullif(sum(chars) FILTER (label <> '' AND chars > 0), 0), 0) AS cer,
+    count(*) FILTER ((label IS NULL OR label IN ('', 'null')) AND content IN ('', 'null')) / count(*) FILTER (label IS NULL OR label IN ('', 'null')) AS rr,
+    count(*) FILTER (label <> '') AS pos_count, count(*) FILTER (label IS NULL OR label IN ('', 'null')) AS neg_count FROM v)
+    SELECT round(cer, 6) AS cer, round(rr, 6) AS rr, round((1 - cer) * 0.4 + rr * 0.4, 6) AS score, round((1 - cer) * 40 + rr * 40, 6) AS score80, pos_count, neg_count FROM a""")
+def evaluate(spark, sf):
+    e = metrics.evaluate(_labelled(spark, sf))
+    return e.select(*[r6(c).alias(c) for c in ("cer", "rr", "score", "score80")], "pos_count", "neg_count")
+
+
+@query(f"WITH {_LABELLED} SELECT doc_id, round(CASE WHEN label IS NULL THEN NULL WHEN label = '' AND content = '' THEN 0 WHEN label = '' OR content = '' THEN 1 ELSE levenshtein(content, label) / length(label) END, 6) AS cer FROM v")
+def outcome_cer(spark, sf):
+    return _labelled(spark, sf).select("doc_id", r6(X.outcome_error(F.col("label"), F.col("content"))).alias("cer"))
+
+
+@query(f"WITH {_CER} SELECT count(*) FILTER (abs(err / nullif(chars, 0) - 0.75) > 1e-6) AS differ FROM e")
+def cer_mismatches(spark, sf):
+    return _texts(spark, sf).agg(metrics.mismatches(F.try_divide("err", "chars"), F.lit(0.75)).alias("differ"))
+
+
+@query("SELECT count(*) FILTER (regexp_matches(text, '[A-Z\\uFF01-\\uFF5E]')) AS n FROM documents".replace("\\uFF01", "！").replace("\\uFF5E", "～"))
+def uppercase_labels(spark, sf):
+    return t(spark, sf, "documents").agg(F.count_if(metrics.uppercase_or_wide(F.col("text"))).alias("n"))
+
+
+@query("SELECT conv_id, turn, regexp_matches(text, '[A-Za-z]') AS english, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 2 ELSE 1 END::INT AS languages, contains(text, 'CO') OR contains(text, '打开') AS reliable FROM conversations")
+def instruct_reliable(spark, sf):
+    d = t(spark, sf, "conversations")
+    return d.select("conv_id", "turn", X.has_letters(F.col("text")).alias("english"), F.size(X.language_order(F.col("text"))).alias("languages"), X.instruction_reliable(F.col("text")).alias("reliable"))
+
+
+_HIT = "SELECT CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'zh' END AS language, length(text) % 3 = 0 AS hit, turn % 2 = 0 AS sep FROM conversations"
+
+
+@query(f"""SELECT coalesce(language, 'all') AS language, count(*) AS total, count(*) FILTER (hit AND NOT sep) AS direct_hit, count(*) FILTER (hit AND sep) AS separated_hit,
+    count(*) FILTER (NOT hit AND sep) AS separated_miss, count(*) FILTER (NOT hit AND NOT sep) AS no_match, round(count(*) FILTER (hit) / count(*), 6) AS rate FROM ({_HIT}) GROUP BY CUBE (language)""")
+def kws_breakdown(spark, sf):
+    d = t(spark, sf, "conversations").select(F.col("text").alias("kws_text"), (F.length("text") % 3 == 0).alias("hit"), (F.col("turn") % 2 == 0).alias("separated"))
+    return metrics.hit_breakdown(d).withColumn("rate", r6("rate"))
+
+
+@query()
+def wakeword_sim(spark, sf):
+    d = t(spark, sf, "conversations").where("text is not null")
+    return d.select("conv_id", "turn", X.wakeword_similarity(F.substring("text", 1, 8), F.substring("text", 3, 16)).alias("sim"))
+
+
+@query()
+def normalize_digits(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.md5(digits.normalize_digits("text")).alias("digest"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, 'root/' || replace(source, '\\', '/') AS path, replace(source || '.wav', '.wav', '_processed.wav') AS renamed FROM documents")
+def paths_and_digests(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), X.rooted("root", F.col("source")).alias("path"), X.suffixed(F.concat("source", F.lit(".wav")), ".wav", "_processed.wav").alias("renamed"))
+
+
+# ---------------------------------------------------------------- gate
+
+_GATE = """g AS (SELECT d.doc_id, l.quality = 1 AS positive, (d.doc_id * 37 % 100) / 100.0::DOUBLE AS sim, CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE (d.doc_id * 53 % 100) / 100.0::DOUBLE END AS best, d.doc_id % 4 = 0 AS trig FROM documents d JOIN labels l USING (doc_id)),
+    h AS (SELECT *, list_filter([CASE WHEN NOT positive AND sim > 0.555 THEN 'G1_neg_high_sim' END, CASE WHEN positive AND best < 0.305 THEN 'G2_pos_low_sim' END, CASE WHEN trig AND best - sim > 0.305 THEN 'G3_jump_artifact' END], lambda r: r IS NOT NULL) AS hits FROM g)"""
+_LIMITS = {"neg_high_sim": 0.555, "pos_low_sim": 0.305, "jump_cap": 0.305}
+
+
+def _gated(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "labels"), "doc_id")
+    d = d.select("doc_id", (F.col("quality") == 1).alias("positive"), (F.col("doc_id") * 37 % 100 / 100).alias("sim"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") * 53 % 100 / 100).alias("best"), (F.col("doc_id") % 4 == 0).alias("triggered"))
+    return d.withColumn("hits", gate.rule_hits(F.col("positive"), F.col("sim"), F.col("best"), F.col("triggered"), _LIMITS))
+
+
+@query(f"WITH {_GATE} SELECT doc_id, array_to_string(hits, ',') AS hits, len(hits) = 0 AS kept FROM h")
+def quality_gate(spark, sf):
+    return _gated(spark, sf).select("doc_id", F.array_join("hits", ",").alias("hits"), gate.passed(F.col("hits")).alias("kept"))
+
+
+@query(f"WITH {_GATE}, u AS (SELECT unnest(hits) AS rule FROM h) SELECT rule, count(*) AS n FROM u GROUP BY rule")
+def gate_report(spark, sf):
+    return gate.rule_counts(_gated(spark, sf))
+
+
+@query(f"WITH {_GATE} SELECT count(*) AS total, count(*) FILTER (sim IS NOT NULL OR best IS NOT NULL) AS has_gate_fields, count(*) FILTER (sim IS NULL AND best IS NULL) AS missing_gate_fields FROM h")
+def gate_coverage(spark, sf):
+    return gate.coverage(_gated(spark, sf))
+
+
+@query(f"WITH {_GATE}, u AS (SELECT doc_id, unnest(hits) AS rule FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY doc_id)::INT AS rn FROM u) SELECT rule, doc_id, rn FROM r WHERE rn <= 50")
+def gate_topn(spark, sf):
+    return gate.examples(_gated(spark, sf), ["doc_id"]).select("rule", "doc_id", "rn")
+
+
+# ---------------------------------------------------------------- joins, sets, limits
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
+def resume_anti(spark, sf):
+    done = t(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sets.resume(t(spark, sf, "orders"), done, "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def val_semi(spark, sf):
+    keys = t(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return sets.semi(t(spark, sf, "orders"), keys, "o_custkey").select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem k WHERE k.l_partkey = l.l_partkey AND k.l_suppkey = l.l_suppkey AND k.l_discount > 0.08)")
+def val_semi_composite(spark, sf):
+    d = t(spark, sf, "lineitem")
+    return sets.semi(d, d.where("l_discount > 0.08").select("l_partkey", "l_suppkey"), ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT d.doc_id, l.quality, l.toxic, d.source FROM documents d JOIN labels l USING (doc_id)")
+def positional_join(spark, sf):
+    return sets.aligned(t(spark, sf, "documents").select("doc_id", "source"), t(spark, sf, "labels"), ("doc_id",)).select("doc_id", "quality", "toxic", "source")
+
+
+@query()
+def pool_pairs(spark, sf):
+    return sets.pool_pairs(t(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 2)
+
+
+_SPLIT = "SELECT doc_id, CASE WHEN quality = 1 THEN 'pos' ELSE 'neg' END AS split FROM labels"
+
+
+@query(f"WITH s AS ({_SPLIT}), p AS (SELECT * FROM s WHERE split = 'pos' ORDER BY doc_id LIMIT 100), n AS (SELECT * FROM s WHERE split = 'neg' ORDER BY doc_id LIMIT 200 - (SELECT count(*) FROM p)::INT) SELECT * FROM p UNION ALL SELECT * FROM n")
+def balanced_limit(spark, sf):
+    d = t(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "pos").otherwise("neg").alias("split"))
+    return sampling.balanced(d, 200, order=("doc_id",))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) <= 200 AS is_val FROM labels")
+def last_n_val(spark, sf):
+    return sampling.last_n_split(t(spark, sf, "labels").select("doc_id"), 200, [F.desc("doc_id")])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def topk(spark, sf):
+    return t(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id >= 100 AND doc_id < 400")
+def slice_rows(spark, sf):
+    return sampling.first_n(t(spark, sf, "labels"), 300, "doc_id", 100).select("doc_id")
+
+
+@query("SELECT doc_id, lang, 'pos' AS split, NULL::BIGINT AS extra FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, lang, 'neg', n_chars FROM documents WHERE lang <> 'en'")
+def union_splits(spark, sf):
+    d = t(spark, sf, "documents")
+    a = d.where("lang = 'en'").select("doc_id", "lang", F.lit("pos").alias("split"))
+    b = d.where("lang <> 'en'").select("doc_id", "lang", F.lit("neg").alias("split"), F.col("n_chars").alias("extra"))
+    return sets.union_splits(a, b)
+
+
+@query("SELECT u.user_id, y.event_type FROM (SELECT DISTINCT user_id FROM events) u, (SELECT DISTINCT event_type FROM events) y EXCEPT SELECT user_id, event_type FROM events")
+def missing_types(spark, sf):
+    e = t(spark, sf, "events")
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]  # the declared types
+    expected = e.select("user_id").distinct().withColumn("event_type", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    return sets.missing_types(expected, e, ("user_id", "event_type"))
+
+
+@query("SELECT DISTINCT path FROM (SELECT source AS path FROM documents UNION ALL SELECT lang FROM documents)")
+def distinct_paths(spark, sf):
+    return sets.distinct_paths(t(spark, sf, "documents"), ["source", "lang"])
+
+
+@query("SELECT doc_id FROM labels WHERE NOT (quality = 1 AND toxic = 0)")
+def complement(spark, sf):
+    return sets.complement(t(spark, sf, "labels"), (F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
+
+
+@query()
+def hashed_sample(spark, sf):
+    return sampling.hashed_sample(t(spark, sf, "labels"), 64, ["doc_id"])
+
+
+@query()
+def training_folds(spark, sf):
+    return t(spark, sf, "labels").select("doc_id", sampling.folds("doc_id").alias("fold"))
+
+
+# ---------------------------------------------------------------- windows
+
+_EV = "SELECT event_id, user_id, ts, round(value * 100)::BIGINT AS cents FROM events"
+
+
+@query(f"SELECT event_id, round((coalesce(lag(cents) OVER w, cents) + cents + coalesce(lead(cents) OVER w, cents)) / 300.0::DOUBLE, 6) AS mean3 FROM ({_EV}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def moving_avg3(spark, sf):
+    e = t(spark, sf, "events")
+    cents = F.round(F.col("value") * 100).cast("long")
+    return e.select("event_id", r6(windows.moving_average3(cents, ["user_id"], ["ts", "event_id"]) / 100).alias("mean3"))
+
+
+@query(f"SELECT event_id, round(sum(cents) OVER w / count(*) OVER w / 100, 6) AS mean100 FROM ({_EV}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+def rolling_mean100(spark, sf):
+    return t(spark, sf, "events").select("event_id", r6(windows.rolling_mean_cents(F.col("value"), 100, ["user_id"], ["ts", "event_id"])).alias("mean100"))
+
+
+@query(f"SELECT event_id, cents < least(1000000000, min(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS is_best FROM ({_EV})")
+def running_best(spark, sf):
+    e = t(spark, sf, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return metrics.running_best(e, "cents", ["ts", "event_id"], 1_000_000_000, ["user_id"]).select("event_id", "is_best")
+
+
+@query(f"SELECT user_id, event_id, cents FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cents, event_id) AS rn FROM ({_EV})) WHERE rn = 1")
+def best_epoch(spark, sf):
+    e = t(spark, sf, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    w = Window.partitionBy("user_id").orderBy("cents", "event_id")
+    return e.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_id", "cents")
+
+
+@query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL")
+def segment_counts(spark, sf):
+    return t(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
