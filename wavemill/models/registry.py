@@ -12,15 +12,14 @@ are deterministic, for tests, and only used where they are named.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import spectral
-from ..functions.text import normalise
+from ..functions.text import arrow_udf, normalise
 
 KINDS = ("denoiser", "separator", "extractor", "recogniser")
 _FACTORIES: dict[tuple[str, str], Callable[[], Callable]] = {}
@@ -77,13 +76,8 @@ def table_recogniser(answers: dict[int, str]) -> Callable[[], Callable]:
 def _mapped(kind: str, name: str, returns: str, call, *columns: Column) -> Column:
     make = factory(kind, name)
 
-    @F.pandas_udf(returns)
-    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        model = _model(kind, name, make)
-        for rows in parts:
-            yield pd.Series([call(model, *r) for r in zip(*rows)], dtype=object)
-
-    return run(*columns)
+    # The same evaluation type as the text functions: Spark then runs chains of them in one Python pass.
+    return arrow_udf(returns, lambda *row: call(_model(kind, name, make), *row), *columns)
 
 
 def _arr(x) -> np.ndarray:

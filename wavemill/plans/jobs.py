@@ -129,7 +129,7 @@ def score_dataset(df: DataFrame, profile: Profile, main: str = "default", quick:
     """
     one = phase_one(df, profile, separator).persist()
     judged = fuse.zscore_fuse(one, ["cam", "eres", "rnet"], profile.weights, stats).withColumn("is_target", fuse.accept(F.col("fused"), profile.z_threshold))
-    yes = judged.where("is_target").withColumn("heard_from", post_recognition(F.col("cmd")))
+    yes = judged.where("is_target").withColumn("heard_from", post_recognition(F.col("cmd"))).persist()
     model = lambda name: lambda d: d.withColumn("heard", R.recognise(name, F.col("heard_from"), F.col("rate"), F.lit("zh")))
     spoken = C.recognise_command(yes, model(quick), model(main), X.instruction_reliable) if quick else model(main)(yes).withColumnRenamed("heard", "value")
     spoken = spoken.withColumn("content", finish_text(F.col("value"))).select(*judged.columns, "content")
