@@ -47,6 +47,8 @@ from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed
 
 #: Shingles of each set that the first round looks at.
 FIRST = 6
+#: Bits of the short parity sketch that index entries carry.
+FOLD = 512
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -103,7 +105,7 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, common: np.ndarra
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 s1 = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 s2 = [int(mix64(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                parity = [_parity(s) for s in sets]
+                parity, fold = [_parity(s) for s in sets], [_parity(s, FOLD) for s in sets]
                 first = []
                 for s in sets:
                     p = len(s) - -(-len(s) * num // den) + 1 if len(s) else 0
@@ -113,20 +115,21 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, common: np.ndarra
                         if often.any():
                             s = np.concatenate([s[~often], held.value[np.sort(place[at[often]])]])
                     first.append(s[:p].view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), _lists(first), _lists(parity)], ["doc_id", "n", "s1", "s2", "prefix", "parity"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), _lists(first), _lists(parity), _lists(fold)], ["doc_id", "n", "s1", "s2", "prefix", "parity", "fold"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>, parity array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>, parity array<long>, fold array<long>")
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]), pa.int32()), pa.array(np.concatenate(rows)))
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    """Of a power of two of bits, as many as shingles at least, in whole numbers of 64."""
-    m = 64
-    while m < len(s):
-        m *= 2
+def _parity(s: np.ndarray, m: int = 0) -> np.ndarray:
+    """``m`` bits, by default a power of two and as many as shingles at least, in whole numbers of 64."""
+    if not m:
+        m = 64
+        while m < len(s):
+            m *= 2
     odd = np.bincount((mix64(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -178,7 +181,7 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     full = rows.where("n > 0 and doc_id is not null")
     equal = checkpointed(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     reps = full.join(equal.select("s1", "s2", F.col("n").alias("_n"), "rep").withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"]).where("n = _n")
-    reps = checkpointed(reps.select("doc_id", "n", "prefix", "parity").dropDuplicates(["doc_id", "n", "prefix", "parity"]))
+    reps = checkpointed(reps.select("doc_id", "n", "prefix", "parity", "fold").dropDuplicates(["doc_id", "n", "prefix", "parity"]))
 
     # First round: each set against the head of the lists of its first shingles.
     few = reps.select("doc_id", "n", F.explode(F.slice("prefix", 1, FIRST)).alias("token"))
@@ -188,22 +191,24 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     classes = components(_verified(_possible(pairs, reps, num, den), docs, words, num, den))
 
     # Second round: what still spans two classes in the whole index.
-    known = reps.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("class"), "prefix")
+    bits = [f"f{k}" for k in range(FOLD // 64)]
+    known = reps.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("class"), "prefix", *[F.col("fold")[k].alias(f) for k, f in enumerate(bits)])
     known = checkpointed(known)
     mixed = known.select("class", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("token")
     mixed = checkpointed(mixed)
-    entries = joined(known.select("doc_id", "n", "class", "prefix", F.posexplode("prefix").alias("pos", "token")).withColumn("before", F.when(F.col("pos") > 0, F.element_at("prefix", F.col("pos")))).drop("prefix"), mixed, "token", "left_semi", mixed.count())
+    entries = joined(known.select("doc_id", "n", "class", *bits, "prefix", F.posexplode("prefix").alias("pos", "token")).withColumn("before", F.when(F.col("pos") > 0, F.element_at("prefix", F.col("pos")))).drop("prefix"), mixed, "token", "left_semi", mixed.count())
     block = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int") if num < den else F.col("n").cast("int")
     entries = checkpointed(entries.withColumn("block", block))
-    small = entries.select("token", "block", *[F.col(c).alias("a_" + c) for c in ("doc_id", "n", "class", "pos", "before")])
+    small = entries.select("token", "block", *[F.col(c).alias("a_" + c) for c in ("doc_id", "n", "class", "pos", "before", *bits)])
     # A set meets those of its own block and of the block below.
-    large = entries.select("token", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), *[F.col(c).alias("b_" + c) for c in ("doc_id", "n", "class", "pos", "before")])
+    large = entries.select("token", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), *[F.col(c).alias("b_" + c) for c in ("doc_id", "n", "class", "pos", "before", *bits)])
     both = F.col("a_n") + F.col("b_n")
     need = F.ceil(both * num / (num + den) - 1e-9)
     fits = (F.col("a_class") != F.col("b_class")) & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_doc_id") < F.col("b_doc_id"))))
     fits &= (F.col("a_n") * den >= F.col("b_n") * num) & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need)
     # A pair is taken at its first common shingle: not where the entries before are equal, nor after more unequal ones than may differ.
     fits &= (F.col("a_pos") + F.col("b_pos") <= both - 2 * need) & ~F.coalesce(F.col("a_before") == F.col("b_before"), F.lit(False))
+    fits &= sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in bits), F.lit(0)) <= both - 2 * need
     cross = small.join(large, ["token", "block"]).where(fits).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"))
     links = _verified(_possible(cross.distinct(), reps, num, den), docs, words, num, den)
     of = known.select("doc_id", "class")
