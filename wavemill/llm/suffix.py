@@ -294,67 +294,54 @@ def _trees(members: DataFrame, length: int) -> DataFrame:
     return ordered.mapInArrow(run, "key long, start long, stop long")
 
 
-#: Windows over a common anchor are first tested at every so many bytes.
-STEP = 8
+#: Up to so many repeated fingerprints are sent to all tasks; beyond, windows are joined with them.
+MOST_SENT = 500_000
 
 
-def _again(texts: DataFrame, lists: DataFrame, starts, names: list[str]) -> DataFrame:
-    """Fingerprints of the strings ``starts(todo, size of the text)`` gives (place, then start, stop, ...), kept where they occur again."""
+def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """``key, start, stop`` of repeats over common anchors: every window over such a place is counted by fingerprint.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A window of a document counts once, whatever number of places it covers.
+    """
+    lists = checkpointed(rows.groupBy("key").agg(F.collect_list("at").alias("todo")))
+    source = joined(texts, lists, "key", "inner", lists.count()).select("key", "text", "todo")
+    reach = length - ANCHOR
+
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         for whole in batches:
             for b in batches_of(whole, "text", 1 << 20):
                 for key, t, todo in zip(*(b.column(c).to_pylist() for c in ("key", "text", "todo"))):
                     data = t.encode()
-                    one, two = Hasher(data), Hasher(data, 0xA0761D6478BD642F)
-                    found = np.array(starts(todo, len(data)), dtype=np.int64).reshape(-1, len(names))
-                    a, z = found[:, 1], found[:, 2]
-                    yield pa.RecordBatch.from_arrays([*(_column(h.of(a, z)) for h in (one, two)), pa.array(np.full(len(a), key)), *(pa.array(c) for c in found.T)], ["f1", "f2", "key", *names])
-
-    seen = _with_text(texts, lists).select("key", "text", "todo").mapInArrow(run, "f1 long, f2 long, key long, " + ", ".join(f"{n} long" for n in names))
-    # One string of a document may be given for several places; two different starts are needed.
-    ends = [f(c).alias(f"{n}_{c}") for c in ("key", "start") for n, f in (("least", F.min), ("most", F.max))]
-    again = seen.groupBy("f1", "f2").agg(*ends).where("least_key < most_key or least_start < most_start").select("f1", "f2")
-    return (seen.where("wanted = 1") if "wanted" in names else seen).join(again, ["f1", "f2"]).select("key", *names)
-
-
-def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """``key, start, stop`` of repeats over common anchors: windows over such a place are counted by fingerprint.
-
-    All repeated windows over one place make up one span, from the first to the
-    last.  Every ``STEP``-th window is counted, and every ``STEP``-th string
-    that is ``STEP`` bytes shorter: the windows that hold such a string can only
-    occur again if it does.  All that pass this test are counted one by one, and
-    those outside the repeated windows found so far are looked up.
-    """
-    reach, short = length - ANCHOR, length - STEP
-
-    def coarse(todo: list[int], size: int) -> list[tuple[int, int, int]]:
-        out = []
-        for at in todo:
-            p = at >> 17
-            for a in range(p, max(-1, p - reach - 1), -STEP):
-                out += [(p, a, a + n) for n in (length, short) if a + n <= size]
-        return out
-
-    def fine(todo: list, size: int) -> list[tuple[int, int, int, int]]:
-        out = []
-        for x in todo:
-            p, first, last = x["place"], x["first"], x["last"]
-            for c in x["blocks"]:
-                for a in range(c - STEP + 1, c):
-                    if a >= max(0, p - reach) and a + length <= size:
-                        out.append((p, a, a + length, int(first is None or a < first or a > last)))
-        return out
-
-    names = ["place", "start", "stop"]
-    steps = checkpointed(_again(texts, rows.groupBy("key").agg(F.collect_list("at").alias("todo")), coarse, names))
-    is_window = F.col("stop") - F.col("start") == length
-    per = steps.groupBy("key", "place").agg(F.min(F.when(is_window, F.col("start"))).alias("first"), F.max(F.when(is_window, F.col("start"))).alias("last"), F.collect_set(F.when(~is_window, F.col("start"))).alias("blocks"))
-    per = checkpointed(per)
-    more = _again(texts, per.where(F.size("blocks") > 0).groupBy("key").agg(F.collect_list(F.struct("place", "first", "last", "blocks")).alias("todo")), fine, [*names, "wanted"])
-    whole = per.where("first is not null").select("key", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    return whole.unionByName(more.select("key", "start", "stop"))
+                    p = np.array(todo, dtype=np.int64) >> 17
+                    start = np.unique((p[:, None] - np.arange(reach + 1)[None, :]).ravel())
+                    start = start[(start >= 0) & (start + length <= len(data))]
+                    yield key, start, *(h.of(start, start + length) for h in (Hasher(data), Hasher(data, 0xA0761D6478BD642F)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, start, one, two in fingerprints(batches):
+            yield pa.RecordBatch.from_arrays([_column(one), _column(two), pa.array(np.full(len(start), key)), pa.array(start)], ["f1", "f2", "key", "start"])
+
+    seen = source.mapInArrow(counted, "f1 long, f2 long, key long, start long")
+    again = checkpointed(seen.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f1", "f2"))
+    if again.count() > MOST_SENT:
+        return seen.join(again, ["f1", "f2"]).select("key", "start", (F.col("start") + length).alias("stop"))
+    known = again.toPandas().sort_values(["f1", "f2"])
+    held = texts.sparkSession.sparkContext.broadcast(tuple(known[c].to_numpy(np.int64) for c in ("f1", "f2")))  # MOST_SENT pairs at most
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k1, k2 = (np.append(k, np.iinfo(np.int64).max) for k in held.value)
+        for key, start, one, two in fingerprints(batches):
+            one, two = one.view(np.int64), two.view(np.int64)
+            at = np.minimum(np.searchsorted(k1, one), len(k1) - 1)
+            hit = (k1[at] == one) & (k2[at] == two)
+            at = np.minimum(at + 1, len(k1) - 1)  # two pairs may share their first half
+            hit |= (k1[at] == one) & (k2[at] == two)
+            spans = _merge([(x, x + length) for x in start[hit].tolist()])
+            if spans:
+                a, z = zip(*spans)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(a)), pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["key", "start", "stop"])
+
+    return source.mapInArrow(found, "key long, start long, stop long")
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
