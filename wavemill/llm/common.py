@@ -87,12 +87,12 @@ def _coded(flat: pa.Array) -> tuple[np.ndarray, list]:
 
 
 def word_ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character n-grams of ``<word>``: (word index, bucket) pairs ordered by word."""
+    """Hashed character n-grams of ``<word>`` (and the whole word): pairs of word index and bucket, in no order of words."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     lens = np.array([len(w) + 2 for w in words], dtype=np.int64)
     codes = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), lens)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lens)
     who, what = [], []
     for n in sizes:
         if len(codes) < n:
@@ -102,16 +102,14 @@ def word_ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole: b
             h = h * np.uint64(0x100000001B3) + codes[j : len(codes) - n + 1 + j]
         inside = owner[: len(h)] == owner[n - 1 :]
         who.append(owner[: len(h)][inside])
-        what.append(mix64(h[inside]) % np.uint64(buckets))
+        what.append((mix64(h[inside]) % np.uint64(buckets)).astype(np.int32))
     if whole:
         powers = np.cumprod(np.full(int(lens.max()), 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
         starts = np.cumsum(lens) - lens
         h = np.add.reduceat(mix64(codes) * powers[np.arange(len(codes)) - np.repeat(starts, lens)], starts)
-        who.append(np.arange(len(words)))
-        what.append(mix64(h) % np.uint64(buckets))
-    who_all, what_all = np.concatenate(who), np.concatenate(what).astype(np.int64)
-    order = np.argsort(who_all, kind="stable")
-    return who_all[order], what_all[order]
+        who.append(np.arange(len(words), dtype=np.int32))
+        what.append((mix64(h) % np.uint64(buckets)).astype(np.int32))
+    return np.concatenate(who), np.concatenate(what)
 
 
 def joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str, rows: int, limit: int = 300_000) -> DataFrame:

@@ -140,7 +140,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_chars: int = 16_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_chars: int = 10_000_000) -> Model:
     """Train on the labelled rows that are not held out.
 
     The sample: of each class the ``max_docs`` rows first in a hashed order,
@@ -162,9 +162,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_chars: int
             chosen.add(r["doc_id"])
     if not chosen:
         return train([], np.zeros(0))
-    got = joined.where(F.col("doc_id").isin(*chosen) if len(chosen) <= 200 else F.length("text") <= max_chars).select("doc_id", "toxic", "text").toPandas()
-    got = got[got.doc_id.isin(chosen)].drop_duplicates().sort_values(["doc_id", "toxic", "text"], kind="stable")
-    return train(got.text.tolist(), got.toxic.to_numpy())
+    # One task on an executor trains on the bounded sample, so the driver holds the model only; a lost task is run again.
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long")
+    rows = joined.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").repartition(1)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
+        model = train(got.column("text").to_pylist(), got.column("toxic").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.vectors, model.softmax, model.bias)], ["vectors", "softmax", "bias"])
+
+    row, model = rows.mapInArrow(learn, "vectors binary, softmax binary, bias binary").first(), Model()
+    for name in ("vectors", "softmax", "bias"):
+        old = getattr(model, name)
+        setattr(model, name, np.frombuffer(bytes(row[name]), np.float32).reshape(old.shape).copy())
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
