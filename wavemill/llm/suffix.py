@@ -21,8 +21,9 @@ their spans, not just neighbours.
 
 *Skew.*  Of equal whole texts one is looked at.  Equal surroundings of an
 anchor are repeats at once and are one member.  The commonest anchors (a
-bounded list, counted over all documents) are not gathered: each window over
-such an anchor is counted by its fingerprint instead, in plain aggregation.
+bounded list, counted over all documents) are not gathered: strings over such
+an anchor are counted by fingerprint, coarse ones first, then whole windows
+whose coarse strings occur again, combined within each task before they travel.
 
 Fingerprints (anchors, surroundings, windows, whole texts) have 64 bits or
 more; windows' fingerprints and whole texts are salted by independent hashes.
@@ -296,37 +297,100 @@ def _trees(members: DataFrame, length: int) -> DataFrame:
 
 #: Up to so many repeated fingerprints are sent to all tasks; beyond, windows are joined with them.
 MOST_SENT = 500_000
+#: Extents of the coarse strings around an anchor are multiples of so many bytes, from round to round.
+STEPS = (17, 4)
+
+
+def _counted(values: Iterator[tuple[np.ndarray, ...]], names: list[str], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Distinct tuples of the given columns with their number ``n``, combined within the task over about ``size`` tuples."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        cols = [np.concatenate(c) for c in zip(*held)]
+        order = np.lexsort(cols[::-1])
+        cols = [c[order] for c in cols]
+        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+        first = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([*(_column(c[first]) for c in cols), pa.array(np.diff(np.append(first, len(new))))], [*names, "n"])
+
+    for x in values:
+        if len(x[0]):
+            held.append(x)
+            n += len(x[0])
+        if n >= size:
+            yield from rows()
+            held, n = [], 0
+    if held:
+        yield from rows()
 
 
 def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """``key, start, stop`` of repeats over common anchors: every window over such a place is counted by fingerprint.
+    """``key, start, stop`` of repeats over common anchors: windows over such a place (key, at) are counted by fingerprint.
 
     A window of a document counts once, whatever number of places it covers.
+    Coarse strings go first: a window that reaches ``l`` bytes to the left of
+    its anchor holds the string whose extents to the left and right are
+    multiples of a step that depend on ``l`` alone, so only windows whose
+    string occurs again can.  The next round does the same with longer strings
+    of the windows left.  Where too many strings of a round occur again, that
+    round drops nothing.
     """
     lists = checkpointed(rows.groupBy("key").agg(F.collect_list("at").alias("todo")))
     source = joined(texts, lists, "key", "inner", lists.count()).select("key", "text", "todo")
-    reach = length - ANCHOR
+    sc, reach = texts.sparkSession.sparkContext, length - ANCHOR
+    reaches = np.arange(reach + 1)
+    rounds: list[tuple] = []  # where a window's string begins, its width, and those that occur again
 
-    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes, Hasher]]:
+        """Per document: the anchors and reaches of the windows that the rounds so far leave."""
         for whole in batches:
             for b in batches_of(whole, "text", 1 << 20):
                 for key, t, todo in zip(*(b.column(c).to_pylist() for c in ("key", "text", "todo"))):
                     data = t.encode()
-                    p = np.array(todo, dtype=np.int64) >> 17
-                    start = np.unique((p[:, None] - np.arange(reach + 1)[None, :]).ravel())
-                    start = start[(start >= 0) & (start + length <= len(data))]
-                    yield key, start, *(h.of(start, start + length) for h in (Hasher(data), Hasher(data, 0xA0761D6478BD642F)))
+                    one = Hasher(data)
+                    p, l = (x.ravel() for x in np.meshgrid(np.array(todo, dtype=np.int64) >> 17, reaches, indexing="ij"))
+                    keep = (p >= l) & (p - l + length <= len(data))
+                    for back, width, again in rounds:
+                        p, l = p[keep], l[keep]
+                        string, which = np.unique(p - back[l], return_inverse=True)
+                        known, f = np.append(again.value, np.iinfo(np.int64).max), one.of(string, string + width).view(np.int64)
+                        keep = (known[np.searchsorted(known[:-1], f)] == f)[which]
+                    yield key, p[keep], l[keep], data, one
+
+    for step in STEPS:
+        blocks = max(0, -(-(reach - 2 * (step - 1)) // step))
+        back, width = np.minimum(reaches // step, blocks) * step, ANCHOR + blocks * step
+
+        def strings(batches: Iterator[pa.RecordBatch], back=back, width=width) -> Iterator[pa.RecordBatch]:
+            starts = ((one, np.unique(p - back[l])) for _, p, l, _, one in left(batches))
+            return _counted(((one.of(x, x + width),) for one, x in starts), ["f"])
+
+        twice = checkpointed(source.mapInArrow(strings, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1").select("f"))
+        if twice.count() <= MOST_SENT:
+            rounds = [*rounds, (back, width, sc.broadcast(np.sort(twice.toPandas()["f"].to_numpy(np.int64))))]  # MOST_SENT at most
+
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for key, p, l, data, one in left(batches):
+            start = np.unique(p - l)
+            if len(start):
+                yield key, start, *(h.of(start, start + length) for h in (one, Hasher(data, 0xA0761D6478BD642F)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, start, one, two in fingerprints(batches):
-            yield pa.RecordBatch.from_arrays([_column(one), _column(two), pa.array(np.full(len(start), key)), pa.array(start)], ["f1", "f2", "key", "start"])
+        return _counted(((one, two) for _, _, one, two in fingerprints(batches)), ["f1", "f2"])
 
-    seen = source.mapInArrow(counted, "f1 long, f2 long, key long, start long")
-    again = checkpointed(seen.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f1", "f2"))
+    seen = source.mapInArrow(counted, "f1 long, f2 long, n long")
+    again = checkpointed(seen.groupBy("f1", "f2").agg(F.sum("n").alias("n")).where("n > 1").select("f1", "f2"))
     if again.count() > MOST_SENT:
-        return seen.join(again, ["f1", "f2"]).select("key", "start", (F.col("start") + length).alias("stop"))
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, start, one, two in fingerprints(batches):
+                yield pa.RecordBatch.from_arrays([_column(one), _column(two), pa.array(np.full(len(start), key)), pa.array(start)], ["f1", "f2", "key", "start"])
+
+        every = source.mapInArrow(placed, "f1 long, f2 long, key long, start long")
+        return every.join(again, ["f1", "f2"]).select("key", "start", (F.col("start") + length).alias("stop"))
     known = again.toPandas().sort_values(["f1", "f2"])
-    held = texts.sparkSession.sparkContext.broadcast(tuple(known[c].to_numpy(np.int64) for c in ("f1", "f2")))  # MOST_SENT pairs at most
+    held = sc.broadcast(tuple(known[c].to_numpy(np.int64) for c in ("f1", "f2")))  # MOST_SENT pairs at most
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k1, k2 = (np.append(k, np.iinfo(np.int64).max) for k in held.value)
@@ -376,11 +440,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, share: float = 0.005)
     found.append(_trees(_members(texts, rare.where("member").select("key", "anchor", "at"), length), length))
     if len(common):
         often = checkpointed(places.where("often").select("anchor", "around", "key", "at"))
-        per = often.groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one"))
-        mine = often.join(per, ["anchor", "around"])
+        per = checkpointed(often.groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one")))
+        equal = per.where("n > 1").select("anchor", "around")
+        mine = joined(often, equal, ["anchor", "around"], "left_semi", equal.count())
         place, left, right = F.shiftright("at", 17), F.shiftright("at", 9).bitwiseAND(255), F.col("at").bitwiseAND(511)
-        found.append(mine.where("n > 1").select("key", (place - left).alias("start"), (place + right).alias("stop")).where(F.col("stop") - F.col("start") >= length))
-        found.append(_windows(texts, mine.where((F.struct("key", "at") == F.col("one")) & (left + right >= length)).select("key", "at"), length))
+        found.append(mine.select("key", (place - left).alias("start"), (place + right).alias("stop")).where(F.col("stop") - F.col("start") >= length))
+        found.append(_windows(texts, per.select("one.key", "one.at").where(left + right >= length), length))
     spans = found[0]
     for x in found[1:]:
         spans = spans.unionByName(x)
