@@ -13,14 +13,16 @@ among their first ``n - ceil(threshold * n) + 1``.
 *Answer-level skipping.*  A first round looks only at each set's first few
 shingles and verifies each set against one head of its list.  A set that links
 to a head takes over the head's answers: its class is known and no pair inside
-a class is ever generated again.
+a class is ever generated again.  Of several possible heads the one with the
+smallest id is tried; what this misses, the second round finds.
 
 *Index-level skipping.*  The second round takes the whole prefix index, but
 only lists that still hold two classes at least; lists are cut in blocks by set
 size, incompatible blocks never meet, and inside a block an entry's position
 bounds the overlap that is still possible, so entries too deep in their sets
 are skipped.  Every pair of sets in different classes that can link at all is
-generated here and verified, so no link between classes is lost.
+generated here.  One pair of each two classes is verified first, then every
+other pair whose classes are still apart, so no link between classes is lost.
 
 *Verification.*  Pairs first compare parity sketches: bit ``i`` says whether the
 number of a set's shingles with hash ``i`` is odd.  Bits that differ never
@@ -188,7 +190,8 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     heads = few.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("long")).where("long > 1").select("token", F.col("head.doc_id").alias("a"), F.col("head.n").alias("na"))
     near = few.join(heads, "token").where((F.col("doc_id") != F.col("a")) & (F.least("n", "na") * den >= F.greatest("n", "na") * num))
     pairs = near.select("a", F.col("doc_id").alias("b")).distinct()
-    classes = components(_verified(_possible(pairs, reps, num, den), docs, words, num, den))
+    one_head = checkpointed(_possible(pairs, reps, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    classes = components(_verified(one_head, docs, words, num, den))
 
     # Second round: what still spans two classes in the whole index.
     bits = [f"f{k}" for k in range(FOLD // 64)]
@@ -210,10 +213,18 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     fits &= (F.col("a_pos") + F.col("b_pos") <= both - 2 * need) & ~F.coalesce(F.col("a_before") == F.col("b_before"), F.lit(False))
     fits &= sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in bits), F.lit(0)) <= both - 2 * need
     cross = small.join(large, ["token", "block"]).where(fits).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"))
-    links = _verified(_possible(cross.distinct(), reps, num, den), docs, words, num, den)
-    of = known.select("doc_id", "class")
-    between = links.join(of.select(F.col("doc_id").alias("a"), F.col("class").alias("ca")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("class").alias("cb")), "b")
-    merged = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    of = known.select("doc_id", "class").distinct()
+    between = _possible(cross.distinct(), reps, num, den).join(of.select(F.col("doc_id").alias("a"), F.col("class").alias("ca")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("class").alias("cb")), "b")
+    between = checkpointed(between.select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")))
+    # One pair of each two classes first; then all pairs of those that are still apart.
+    first = checkpointed(between.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b", "ca", "cb"))
+    links = first.join(_verified(first.select("a", "b"), docs, words, num, den), ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = components(links.distinct())
+    at = [merged.select(F.col("node").alias(c), F.col("component").alias("m" + c)) for c in ("ca", "cb")]
+    apart = between.join(first.select("a", "b"), ["a", "b"], "left_anti").join(at[0], "ca", "left").join(at[1], "cb", "left").where(F.coalesce("mca", "ca") != F.coalesce("mcb", "cb")).select("a", "b", "ca", "cb")
+    apart = checkpointed(apart)
+    more = apart.join(_verified(apart.select("a", "b").distinct(), docs, words, num, den), ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = components(links.union(more).distinct())
     final = known.select("doc_id", "class").distinct().join(merged.withColumnRenamed("node", "class"), "class", "left").select(F.col("doc_id").alias("rep"), F.coalesce("component", "class").alias("component"))
     final = final.groupBy("rep").agg(F.min("component").alias("component"))
 
