@@ -408,6 +408,32 @@ def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     return source.mapInArrow(found, "key long, start long, stop long")
 
 
+def _equal(often: DataFrame, equal: DataFrame, length: int) -> DataFrame:
+    """``key, start, stop`` of the checkpointed places whose surroundings are among the checkpointed ``equal`` ones, merged within a batch."""
+    sent = equal.count() <= MOST_SENT
+    # The surroundings hold the anchor, so their hash alone tells them.
+    held = often.sparkSession.sparkContext.broadcast(np.sort(equal.toPandas()["around"].to_numpy(np.int64)) if sent else None)  # MOST_SENT at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            around, key, at = (np.asarray(b.column(c)) for c in ("around", "key", "at"))
+            start, stop = (at >> 17) - (at >> 9 & 255), (at >> 17) + (at & 511)
+            hit = stop - start >= length
+            if held.value is not None:
+                known = np.append(held.value, np.iinfo(np.int64).max)
+                hit &= known[np.searchsorted(held.value, around)] == around
+            key, start, stop = key[hit], start[hit], stop[hit]
+            order = np.lexsort((start, key))
+            key, start, stop = key[order], start[order], stop[order]
+            # Within a text both ends grow from place to place.
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (start[1:] > stop[:-1])])) if len(key) else np.zeros(0, np.int64)
+            last = np.append(new[1:], len(key)) - 1 if len(key) else new
+            yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(start[new]), pa.array(stop[last])], ["key", "start", "stop"])
+
+    places = often if sent else often.join(equal, ["anchor", "around"], "left_semi")
+    return places.select("around", "key", "at").mapInArrow(run, "key long, start long, stop long")
+
+
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, z in sorted(spans):
@@ -441,10 +467,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, share: float = 0.005)
     if len(common):
         often = checkpointed(places.where("often").select("anchor", "around", "key", "at"))
         per = checkpointed(often.groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one")))
-        equal = per.where("n > 1").select("anchor", "around")
-        mine = joined(often, equal, ["anchor", "around"], "left_semi", equal.count())
-        place, left, right = F.shiftright("at", 17), F.shiftright("at", 9).bitwiseAND(255), F.col("at").bitwiseAND(511)
-        found.append(mine.select("key", (place - left).alias("start"), (place + right).alias("stop")).where(F.col("stop") - F.col("start") >= length))
+        left, right = F.shiftright("at", 9).bitwiseAND(255), F.col("at").bitwiseAND(511)
+        found.append(_equal(often, per.where("n > 1").select("anchor", "around"), length))
         found.append(_windows(texts, per.select("one.key", "one.at").where(left + right >= length), length))
     spans = found[0]
     for x in found[1:]:
