@@ -11,9 +11,9 @@ The order is global but nothing is collected for it: documents are dealt to
 shards by a hash of the id, numbered in their shard, and the shards' counts
 (buckets * shards rows) give each shard's first number.
 
-Lengths up to ``exact_to`` are counted one by one; longer ones are rounded up
-to steps of 1/64 of their power of two, so the histogram has a bounded number
-of rows, and boundaries above ``exact_to`` lie on these steps.  Null or empty
+Every length is counted exactly, so the padding is the least that any choice
+of boundaries gives.  The histogram has a row per distinct length, as many as
+words in the longest text at most.  Null or empty
 text has length 0.  Repeated rows are packed each for itself, in an order by
 id and length; equal rows may swap places.  An empty table gives no rows.
 """
@@ -30,7 +30,6 @@ from .common import checkpointed, table
 
 BUCKETS = 16
 BUDGET = 16_384
-EXACT_TO = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -39,12 +38,6 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(bare, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
-def rounded(n: Column, exact_to: int = EXACT_TO) -> Column:
-    """``n``, or the next step above it beyond ``exact_to``."""
-    step = F.floor(F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(128)).cast("double"))) - 6)).cast("long")
-    return F.when(n <= exact_to, n).otherwise(F.ceil(n / step) * step).cast("long")
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets over ascending lengths with the least padding in all.
 
@@ -93,14 +86,14 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length:
     """
     spark = docs.sparkSession
     n = (word_count(F.col(text_col)) if length is None else length).cast("long")
-    sized = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n_tokens")).withColumn("at", rounded(F.col("n_tokens"))))
-    seen = sorted((r["at"], r["count"]) for r in sized.groupBy("at").count().collect())  # EXACT_TO + 64 * 50 rows at most
+    sized = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n_tokens")))
+    seen = sorted((r["n_tokens"], r["count"]) for r in sized.groupBy("n_tokens").count().collect())  # one row per distinct length
     total = sum(c for _, c in seen)
     cuts = boundaries(np.array([a for a, _ in seen], dtype=np.int64), np.array([c for _, c in seen], dtype=np.int64), buckets)
     # 16 * 1024 rows of counts at most
     shards = shards or min(1024, max(8, math.ceil(total / 200_000)))
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array(F.lit(0).cast("long"))
-    bucket = F.size(F.filter(bounds, lambda b: b < F.col("at"))).cast("int")
+    bucket = F.size(F.filter(bounds, lambda b: b < F.col("n_tokens"))).cast("int")
     shard = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int")
     placed = sized.withColumn("bucket", bucket).withColumn("shard", shard)
     per = {}
