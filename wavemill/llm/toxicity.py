@@ -11,6 +11,10 @@ in numpy on a bounded sample of labelled documents (``max_docs`` per class and
 A text without words (null, empty, white space) scores as the zero vector: the
 softmax of the biases.  Rows are scored one by one, so repeated rows, ties and
 other columns have no influence.
+
+Without any usable labelled row (no labels, labels of other ids only, all of
+them held out) there is nothing to learn from and nothing is called toxic:
+every document gets the score of clean labels only, about 0.018.
 """
 
 from __future__ import annotations
@@ -28,10 +32,14 @@ from .common import batches_of, table, word_ngrams, words_of_batch
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5, 6)
 WINDOW = 12
+#: The bias of a model that saw clean labels only, or none.
+CLEAN = -4.0
 
 
 class Model:
-    """``vectors[BUCKETS, dims]``, ``softmax[dims, 2]``, ``bias[2]``."""
+    """``vectors[BUCKETS, dims]``, ``softmax[dims, 2]``, ``bias[2]``; ``trained`` unless there was no row to learn from."""
+
+    trained = True
 
     def __init__(self, dims: int = 16, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -78,6 +86,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 120, warm: int = 2
         if len(texts):
             model.bias[:] = (-2, 2) if labels[0] else (2, -2)
         model.vectors[:] = 0
+        model.trained = len(texts) > 0
         return model
     ids, words, offsets = words_of_batch(pa.array(texts, pa.large_string()))
     who, what = word_ngrams(words, SIZES, BUCKETS)
@@ -179,8 +188,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_chars: int
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """Every column of ``docs`` and ``out``, a double from 0 to 1; an equally named column is replaced."""
+    """Every column of ``docs`` and ``out``, a double from 0 to 1; an equally named column is replaced.
+
+    An untrained model calls nothing toxic.
+    """
     gram, bias = model.collapsed()
+    bias = bias if model.trained else CLEAN
     docs = docs.drop(out)
     names = docs.columns
     held = docs.sparkSession.sparkContext.broadcast((gram.astype(np.float32), bias))  # BUCKETS floats
