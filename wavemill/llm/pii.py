@@ -1,11 +1,18 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-One regular expression finds candidates in the whole text: e-mail addresses,
-IBANs, IPv4 addresses, social security numbers (``ddd-dd-dddd``), dates
-(``yyyy-mm-dd``, ``yyyy/mm/dd``, ``dd.mm.yyyy``, ``mm/dd/yyyy``), payment card
-numbers and phone numbers.  A candidate is replaced only if it is valid (Luhn
-sum, IBAN remainder, octets under 256, issued number ranges, real days between
-1700-01-01 and 2138-01-23, 9 to 15 phone digits); anything else stays as it is.
+One regular expression finds e-mail addresses and runs of numbers in the whole
+text.  In a run every piece from one group of digits (or letters, for IBANs)
+to another is a candidate: IBANs, IPv4 addresses, social security numbers
+(``ddd-dd-dddd``), dates (``yyyy-mm-dd``, ``yyyy/mm/dd``, ``dd.mm.yyyy``,
+``mm/dd/yyyy``), payment card numbers and phone numbers.  A candidate is valid
+by its Luhn sum, IBAN remainder, octets under 256, issued number ranges, a real
+day between 1700-01-01 and 2138-01-23, or 9 to 15 phone digits.  Of valid
+candidates that overlap one is replaced: IBANs first, then cards in their usual
+groups, then in text order addresses, security numbers, dates, undivided cards
+and phone numbers with a plus, then other cards of 16 digits, other cards and
+other phone numbers; of two with one start the longer.  So a number beside a
+card (expiry date, card code) does not hide it, a group of digits is never cut,
+and anything else stays as it is.
 
 A valid value is permuted by a keyed Feistel network over its own format: each
 position keeps its alphabet, check digits are recomputed, separators stay, a
@@ -39,11 +46,14 @@ _MDY = r"\d{2}/\d{2}/\d{4}"
 _CARD = r"\d(?:[ -]?\d){12,18}"
 _PHONE = r"\+\d[\d ().-]{6,18}\d|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}"
 _BEFORE, _AFTER = r"(?<![\w@.+-])", r"(?![\w@]|[.-]\d)"
-_ANY = (
-    rf"(?<![A-Za-z0-9._%+-]){_EMAIL}|{_BEFORE}(?:{_IBAN}|{_IP}|{_SSN}|"
-    + r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}"
-    + rf"|{_DMY}|{_MDY}|{_CARD}|{_PHONE}){_AFTER}"
-)
+# a group of digits that neither a word nor an e-mail address goes on with
+_GROUP = r"\d++(?![\w@])(?![.%+-][\w.%+-]*+@)"
+_MORE = rf"(?:[ ().+/-]++{_GROUP})*+"
+_RUN = rf"(?=[+(]?\d(?:[ ().+/-]*+\d){{3}})[+(]?{_GROUP}{_MORE}"
+_ANY = rf"(?<![A-Za-z0-9._%+-]){_EMAIL}|{_BEFORE}(?:{_IBAN}{_AFTER}{_MORE}|{_RUN})"
+_USUAL = r"^(?:\d{16}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})$"
+#: A card has at most as many groups, an IBAN with spaces at most as many characters.
+_MOST_GROUPS, _LONGEST = 19, 43
 
 
 def _let(value: Column, use) -> Column:
@@ -234,6 +244,69 @@ def pseudonym(s: Column, kind: Column, key: str) -> Column:
     return out.when(kind == "ssn", _ssn(s, key)).when(kind == "date", _date(s, key)).when(kind == "card", _card(s, key)).when(kind == "phone", _phone(s, key)).otherwise(s)
 
 
+def _candidates(units: Column, tokens: Column, gaps: Column) -> Column:
+    """The valid candidates of a run: ``rank, i, less, e, kind, text, signed`` from group ``i`` to ``e``, in order of choice."""
+    n = F.size(tokens)
+
+    def judged(i: Column, e: Column, s: Column, signed: bool) -> Column:
+        before, after = gaps[i], gaps[e + 1]
+        start = ((i == 0) | before.rlike(r"[^.+-][+(]$")) if signed else ~before.rlike(r"[.+-]$")
+        strict = start & ~after.isin(".", "-")
+        loose = F.lit(False) if signed else ~before.rlike(r"[.+]$") & (after != ".")
+
+        def ranked(k: Column) -> Column:
+            usual, whole = s.rlike(_USUAL), s.rlike(r"^\d+$")
+            card = F.when(usual, 1).when(whole, 2).when(F.length(_digits(s)) == 16, 3).otherwise(4)
+            rank = F.when(k == "iban", F.when(s.rlike(f"^{_IBAN}$"), 0)).when(k == "card", card).when(k == "phone", F.when(s.startswith("+"), 2).otherwise(5)).otherwise(2)
+            fits = F.when(k == "card", loose).otherwise(strict) & k.isNotNull() & rank.isNotNull()
+            return F.when(fits, F.struct(rank.alias("rank"), i.alias("i"), (-F.length(s)).alias("less"), e.alias("e"), k.alias("kind"), s.alias("text"), F.lit(signed).alias("signed")))
+
+        return _let(F.when(strict | loose, kind_of(s)), ranked)
+
+    def piece(i: Column, e: Column) -> Column:
+        def both(s: Column) -> Column:
+            sign = F.right(gaps[i], F.lit(1))
+            signed = F.when(sign.isin("+", "("), _let(F.concat(sign, s), lambda x: judged(i, e, x, True)))
+            return F.when(F.length(s).between(7, _LONGEST), F.array(judged(i, e, s, False), signed)).otherwise(F.array())
+
+        return _let(F.concat(tokens[i], F.array_join(F.slice(units, i + 2, e - i), "")), both)
+
+    ends = lambda i: F.flatten(F.transform(F.sequence(i, F.least(i + _MOST_GROUPS - 1, n - 1)), lambda e: piece(i, e)))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), ends))
+    return F.array_sort(F.filter(every, lambda c: c.isNotNull()))
+
+
+def _treated_run(run: Column, key: str) -> Column:
+    """``kinds`` and ``new`` text of a run of numbers."""
+    word = "[A-Za-z0-9]+"
+
+    def split(x: Column) -> Column:
+        tokens, gaps, units = x["tokens"], x["gaps"], x["units"]
+        kind = "array<struct<rank:int,i:int,less:int,e:int,kind:string,text:string,signed:boolean>>"
+
+        def choose(acc: Column, c: Column) -> Column:
+            return F.when(F.exists(acc, lambda a: (a["i"] <= c["e"]) & (c["i"] <= a["e"])), acc).otherwise(F.concat(acc, F.array(c)))
+
+        chosen = F.aggregate(_candidates(units, tokens, gaps), F.array().cast(kind), choose)
+        ordered = F.array_sort(F.transform(chosen, lambda c: F.struct(c["i"].alias("i"), c["e"].alias("e"), c["kind"].alias("kind"), c["text"].alias("text"), c["signed"].alias("signed"))))
+
+        def put(acc: Column, c: Column) -> Column:
+            gap = F.when(c["signed"], F.left(gaps[c["i"]], F.length(gaps[c["i"]]) - 1)).otherwise(gaps[c["i"]])
+            between = F.array_join(F.slice(units, acc["at"] + 1, c["i"] - acc["at"]), "")
+            return F.struct((c["e"] + 1).alias("at"), F.concat(acc["out"], between, gap, pseudonym(c["text"], c["kind"], key)).alias("out"))
+
+        def finished(found: Column) -> Column:
+            end = lambda a: F.concat(a["out"], F.array_join(F.slice(units, a["at"] + 1, F.size(units)), ""), gaps[F.size(units)])
+            new = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, end)
+            return F.struct(F.transform(found, lambda c: c["kind"]).alias("kinds"), new.alias("new"))
+
+        return _let(ordered, finished)
+
+    tokens, gaps = F.regexp_extract_all(run, F.lit(word), F.lit(0)), F.split(run, word, -1)
+    parts = lambda p: F.struct(p["tokens"].alias("tokens"), p["gaps"].alias("gaps"), F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["tokens"])), p["tokens"], lambda g, t: F.concat(g, t)).alias("units"))
+    return _let(_let(F.struct(tokens.alias("tokens"), gaps.alias("gaps")), parts), split)
+
+
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
     """Every column of ``docs`` with the text pseudonymised, ``n_pseudonyms long`` and ``kinds array<string>``, in text order."""
     text = F.col(text_col)
@@ -243,13 +316,13 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     found = F.when(maybe, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
 
     def treat(m: Column) -> Column:
-        return _let(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("new")))
+        return F.when(m.contains("@"), F.struct(F.array(F.lit("email")).alias("kinds"), pseudonym(m, F.lit("email"), key).alias("new"))).otherwise(_treated_run(m, key))
 
     marked = docs.withColumn("_found", found).withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", treat)))
-    hit = F.coalesce(F.exists("_new", lambda x: x["kind"].isNotNull()), F.lit(False))
+    hit = F.coalesce(F.exists("_new", lambda x: F.size(x["kinds"]) > 0), F.lit(False))
     rest = F.split(text, _ANY, -1)
     joined = F.array_join(F.zip_with(rest, F.transform("_new", lambda x: x["new"]), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    kinds = F.coalesce(F.filter(F.transform("_new", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    kinds = F.coalesce(F.flatten(F.transform("_new", lambda x: x["kinds"])), F.array().cast("array<string>"))
     new_text = F.when(hit, joined).otherwise(text).alias(text_col)
     return marked.select(*[new_text if c == text_col else F.col(c) for c in names], F.size(kinds).cast("long").alias("n_pseudonyms"), kinds.alias("kinds"))
 
