@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import os
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -109,10 +110,18 @@ def wakeword(keyword: str | None, heard: str | None, syllables: Callable[[str],
     if not k or not h:
         return 0.0
     best = max(0.0, 1 - _distance(k, h) / max(len(k), len(h)))
+    counts = Counter(k)
     for i in range(len(h)):
+        left, common = dict(counts), 0
         for j in range(i + 1, len(h) + 1):
-            # The ratio cannot exceed this bound, so most parts need no matching.
-            if 2 * min(len(k), j - i) / (len(k) + j - i) > best:
+            size = len(k) + j - i
+            if j - i >= len(k) and 2 * len(k) / size <= best:
+                break
+            if left.get(h[j - 1]):
+                left[h[j - 1]] -= 1
+                common += 1
+            # Nor can the ratio exceed that of the characters in common, so most parts need no matching.
+            if 2 * common / size > best:
                 best = max(best, difflib.SequenceMatcher(None, k, h[i:j]).ratio())
     return best
 
