@@ -61,10 +61,10 @@ def train(texts: list[str], languages: list[str]) -> Model:
     return Model(names, (logs - logs.mean(0)).astype(np.float32))
 
 
-def fit(docs: DataFrame, per_language: int = 150, max_chars: int = 20_000, max_languages: int = 64) -> Model:
-    """Train on at most ``per_language`` documents of at most ``max_chars`` characters of each of the ``max_languages`` commonest languages."""
+def fit(docs: DataFrame, per_language: int = 150, max_chars: int = 20_000) -> Model:
+    """Train on at most ``per_language`` documents of at most ``max_chars`` characters of each language."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text is not null and lang is not null and doc_id is not null")
-    common = [r["lang"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    common = [r["lang"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]  # one name per language
     texts, languages = [], []
     for name in common:
         rows = d.where((F.col("lang") == name) & (F.length("text") <= max_chars)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_language).select("text").collect()
