@@ -55,7 +55,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The stages hold trained models and hashes that SQL cannot express; tests hold run() against a brute-force version.
+#: The stages hold trained models and hashes that SQL cannot express; tests check the stages one by one, not run() as a whole.
 ORACLE_SQL = None
 
 
