@@ -265,3 +265,48 @@ def test_packing(spark):
     per = Counter((r["bucket"]) for r in got)
     assert len(size) == sum(-(-n // max(1, 400 // next(r["padded_to"] for r in got if r["bucket"] == b))) for b, n in per.items())
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_jaccard_of_a_large_group_alike(spark):
+    """Copies of one text with more and more edits: many pairs alike, some linked; a repeated id joins two classes."""
+    rng = random.Random(8)
+    base = words(rng, 150, 5000).split()
+    rows = [(i, " ".join(w if rng.random() > (i % 40) / 300 else f"e{rng.randrange(10**6)}" for w in base)) for i in range(240)]
+    rows += [(1000 + i, words(rng, 30, 5000) + " " + " ".join(base[20:70])) for i in range(30)] + [(5, words(rng, 80)), (2000, rows[7][1] + " x")]
+    rows += [(2001, words(random.Random(9), 80)), (2002, words(random.Random(9), 80) + " y z")] + [(5, words(random.Random(9), 80))]
+    for k, t in ((3, 90), (5, 80)):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), words=k, threshold=(t, 100)).collect())
+        sets = [(i, {tuple(w[j : j + k]) for w in [x.split()] for j in range(len(w) - k + 1)}) for i, x in rows]
+        to = {i: i for i, _ in sets}
+
+        def root(x):
+            while to[x] != x:
+                x = to[x]
+            return x
+
+        for n, (i, a) in enumerate(sets):
+            for j, b in sets[:n]:
+                if 100 * len(a & b) >= t * len(a | b):
+                    x, y = sorted((root(i), root(j)))
+                    to[y] = x
+        assert got == sorted((i, len(s), root(i)) for i, s in sets)
+
+
+def test_jaccard_lists_over_batch_borders(spark):
+    rng = random.Random(10)
+    rows = [(rng.randrange(40), rng.randrange(6)) for _ in range(200)] + [(99, i % 7) for i in range(50)]
+    want = {(k, n) for k, n in rows if len({y for x, y in rows if x == k}) > 1}
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(setting)
+    for size in (1, 2, 3, 7):
+        spark.conf.set(setting, str(size))
+        got = [tuple(r) for r in jaccard._lists(spark.createDataFrame(rows, "key long, node long")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    spark.conf.set(setting, usual)
+
+
+def test_components_of_a_long_chain_and_stars(spark):
+    edges = [((i * 7919) % 1009, ((i + 1) * 7919) % 1009) for i in range(600)] + [(5000, 5001 + i) for i in range(100)] + [(5000 - 1, 5050)]
+    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    chain = {x for e in edges[:600] for x in e}
+    assert all(out[x] == min(chain) for x in chain) and all(out[x] == 4999 for x in range(4999, 5101))

@@ -12,7 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch of rows on its way to Python, at most (one row at least); JVM and Python each hold a few.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of a batch; batches of long texts would else take most of an executor."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(setting).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,6 +35,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     is used.
     """
     spark = df.sparkSession
+    small_batches(spark)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
@@ -151,8 +164,20 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node moves to the first node of its closed neighbourhood
     (by number in the first round, then by a hash that changes each round, so
     long paths shrink by a constant factor), and the links are carried along,
-    until none is left.  Nothing is collected; each round is checkpointed.
+    until none is left.  Nothing is collected; each round is checkpointed.  A
+    checkpoint keeps what the optimizer knows of its columns, which from round
+    to round would grow without end, so this is switched off meanwhile.
     """
+    conf, setting = edges.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(setting)
+    conf.set(setting, "false")
+    try:
+        return _contracted(edges)
+    finally:
+        conf.set(setting, before)
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     edges = checkpointed(edges.select("a", "b").where("a <> b"))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     where, k = checkpointed(nodes.withColumn("at", F.col("node"))), 0

@@ -1,56 +1,59 @@
 """Exact n-gram Jaccard join with set-relation skipping, and its classes.
 
 A document's set holds the 64-bit hashes of its distinct word shingles.  Two
-documents link when ``|A and B| / |A or B| >= threshold``; classes are the
-connected components of all links.
-
-*Prefix index.*  All shingles have one global order: rare ones by hash, then
-the bounded list of the commonest by frequency.  Linked sets share a shingle
-among their first ``n - ceil(threshold * n) + 1``.
-
-*Equal sets* are one set, the smallest id standing for all.
-
-*Answer-level skipping.*  A first round looks only at each set's first few
-shingles and verifies each set against one head of its list.  A set that links
-to a head takes over the head's answers: its class is known and no pair inside
-a class is ever generated again.  Of several possible heads the one with the
-smallest id is tried; what this misses, the second round finds.
-
-*Index-level skipping.*  The second round takes the whole prefix index, but
-only lists that still hold two classes at least; lists are cut in blocks by set
-size, incompatible blocks never meet, and inside a block an entry's position
-bounds the overlap that is still possible, so entries too deep in their sets
-are skipped.  Every pair of sets in different classes that can link at all is
-generated here.  One pair of each two classes is verified first, then every
-other pair whose classes are still apart, so no link between classes is lost.
-
-*Verification.*  Pairs first compare parity sketches: bit ``i`` says whether the
-number of a set's shingles with hash ``i`` is odd.  Bits that differ never
-outnumber the shingles that differ, so a pair with too many cannot link; this
-drops most without their texts.  For the rest the shingles of both whole texts
-are counted.  Null text, empty text
-and text without words have an empty set, which links with nothing.  With fewer
-than ``words`` words the whole sequence is the one shingle.  Rows with one id
-are one document; rows with a null id get a null component.
+documents link when ``|A and B| / |A or B| >= threshold``, that is when at most
+``room = (|A| + |B|) * (1 - threshold) / (1 + threshold)`` shingles are in one
+set only; classes are the connected components of all links.
+
+*Equal sets* are one node, named by the fingerprint of the set.
+
+*Index with block skipping by position.*  Sets are in blocks by size, so that
+a set can link only with its own block and the next.  A set's shingles in
+ascending order are cut in ``k + 1 + x`` parts by position in the range of
+hashes, where ``k`` is the most room that two sets of these blocks have.  Two
+linked sets are equal in ``x + 1`` parts at least, so each may leave out its
+``x`` weakest (those with the fewest rare shingles, then with the fewest): the
+strongest equal part is indexed by both.  A list of the index holds the sets
+that are equal in one whole part; all other parts' entries are never met.
+
+*Answers derived from a similar set's.*  A set weighs as much as the lists that
+it is in hold; the heaviest set of a list (usually the text that the others
+were copied from) is its head.  Each set's head is the one that it meets most
+often; heads' heads are heavier and lead to a root.  The
+difference ``D(X)`` between a set and its root is computed once from both
+whole texts.  For two sets of one root the difference is ``D(X) xor D(Y)``, so
+what the root has in common with both is skipped: they link with the root and
+so are in one class, or else ``D(X)`` and ``D(Y)`` share some shingles.  Those
+pairs are found by a prefix index on the differences, rarest first, where an
+entry's position bounds the overlap that is still possible.  So a large group
+of texts that are alike, whether linked or not, costs no pair of its members
+but those that may link.  Two sets of different roots that meet in a list are
+decided by ``D(X) xor (root xor root') xor D(Y)``; the roots' difference is
+computed once for all such pairs.
+
+Null text, empty text and text without words have an empty set, which links
+with nothing.  With fewer than ``words`` words the whole sequence is the one
+shingle.  Rows with one id are one document, whatever their texts; rows with a
+null id link with nothing and get a null component.  Very long texts are whole;
+other columns are ignored; an empty table gives no rows.  Fingerprints of
+shingles, parts and sets have 64 bits.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed, components, heavy_values, id_text, joined, mix64, table
 
-#: Shingles of each set that the first round looks at.
-FIRST = 6
-#: Bits of the short parity sketch that index entries carry.
-FOLD = 512
+#: The parts left out, as a share of the room.
+SPARE = 0.5
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -60,7 +63,7 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     n = len(code)
     h = np.full(max(0, n - words + 1), words, np.uint64)
     for j in range(words):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + code[j : n - words + 1 + j])
+        h = mix64(h * _ODD + code[j : n - words + 1 + j])
     out = []
     for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if z - a >= words:
@@ -68,169 +71,246 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
         elif z > a:
             one = np.full(1, z - a, np.uint64)
             for x in code[a:z]:
-                one = mix64(one * np.uint64(0x9E3779B97F4A7C15) + x)
+                one = mix64(one * _ODD + x)
             out.append(one)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
-def _frequent(docs: DataFrame, words: int, share: float) -> DataFrame:
-    """``value, n`` of shingles in at least ``share`` of the documents of a chunk."""
+def _fingerprint(s: np.ndarray, seed: int) -> int:
+    return int(mix64(s ^ np.uint64(seed)).sum(dtype=np.uint64).view(np.int64))
+
+
+def _surveyed(docs: DataFrame, words: int, share: float) -> DataFrame:
+    """Of each document ``doc_id, th, n, s1, s2`` (hash of the text, size and signatures of the set), and of each shingle in at least ``share`` of the documents of a chunk ``value, often``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = ChunkCounter(share, 8)
+        kinds = (pa.int64(),) * 7
+        names = ["doc_id", "th", "n", "s1", "s2", "value", "often"]
 
         def rows(got) -> Iterator[pa.RecordBatch]:
             if got and len(got[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(got[0].view(np.int64)), pa.array(got[1])], ["value", "n"])
+                none = pa.nulls(len(got[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(got[0].view(np.int64)), pa.array(got[1])], names)
 
         for whole in batches:
             for b in batches_of(whole, "text", 8 << 20):
                 sets = shingle_sets(b.column("text"), words)
+                cols = [b.column("doc_id"), b.column("th"), [len(s) for s in sets], [_fingerprint(s, 0) for s in sets], [_fingerprint(s, 0xA5A5A5A5DEADBEEF) for s in sets], [None] * len(sets), [None] * len(sets)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names)
                 yield from rows(counter.add(np.concatenate(sets), len(sets)))
         yield from rows(counter.flush())
 
-    return docs.select("text").mapInArrow(run, "value long, n long")
+    return docs.mapInArrow(run, "doc_id long, th long, n long, s1 long, s2 long, value long, often long")
+
+
+class Blocks:
+    """Blocks of set sizes: what can link with a set is in its own block or in a neighbouring one."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.starts = [1]
+
+    def of(self, n: int) -> int:
+        while self.starts[-1] <= n:
+            self.starts.append(self.starts[-1] * self.den // self.num + 1)
+        return int(np.searchsorted(self.starts, n, side="right")) - 1
+
+    def room(self, block: int) -> int:
+        """The most shingles in one set only, of two linked sets of which the smaller is in ``block``."""
+        while len(self.starts) < block + 2:
+            self.of(self.starts[-1])
+        small = self.starts[block + 1] - 1
+        return (small + small * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+
+
+def part_keys(s: np.ndarray, rare: np.ndarray, block: int, room: int) -> np.ndarray:
+    """Keys of the ``room + 1`` strongest parts of a sorted set; ``rare`` marks its rare shingles."""
+    spare = int(np.ceil(SPARE * room)) + 2
+    m = room + 1 + spare
+    cuts = np.minimum(np.arange(1, m) * (2.0**64 / m), 2.0**64 - 4096).astype(np.uint64)
+    at = np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s + _ODD))])
+    number = np.concatenate([[0], np.cumsum(rare)])
+    keys = mix64((sums[at[1:]] - sums[at[:-1]]) * _ODD + mix64(np.arange(m, dtype=np.uint64) + np.uint64(block << 40)))
+    return keys[np.lexsort((np.diff(at), np.diff(number[at])))[spare:]]
 
 
-def _prefixes(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """``doc_id, n, s1, s2, prefix, parity``: set size, two signatures of the set, the first shingles in the global order, and a parity sketch."""
-    held = docs.sparkSession.sparkContext.broadcast(common)  # of bounded length, rarest first
+def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray) -> DataFrame:
+    """``key, node`` of every indexed part."""
+    held = docs.sparkSession.sparkContext.broadcast(np.sort(common))  # of bounded length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.argsort(held.value)
-        known = held.value[place]
+        known, blocks = np.append(held.value, np.uint64((1 << 64) - 1)), Blocks(num, den)
         for whole in batches:
-            for b in batches_of(whole, "text", 8 << 20):
-                sets = shingle_sets(b.column("text"), words)
-                n = np.array([len(s) for s in sets], dtype=np.int64)
-                s1 = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                s2 = [int(mix64(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                parity, fold = [_parity(s) for s in sets], [_parity(s, FOLD) for s in sets]
-                first = []
-                for s in sets:
-                    p = len(s) - -(-len(s) * num // den) + 1 if len(s) else 0
-                    if len(known) and len(s):
-                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        often = known[at] == s
-                        if often.any():
-                            s = np.concatenate([s[~often], held.value[np.sort(place[at[often]])]])
-                    first.append(s[:p].view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), _lists(first), _lists(parity), _lists(fold)], ["doc_id", "n", "s1", "s2", "prefix", "parity", "fold"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>, parity array<long>, fold array<long>")
-
-
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]), pa.int32()), pa.array(np.concatenate(rows)))
-
-
-def _parity(s: np.ndarray, m: int = 0) -> np.ndarray:
-    """``m`` bits, by default a power of two and as many as shingles at least, in whole numbers of 64."""
-    if not m:
-        m = 64
-        while m < len(s):
-            m *= 2
-    odd = np.bincount((mix64(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _possible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """The ``a, b`` pairs that their parity sketches do not rule out."""
-    both = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
-    # Sizes of sets that can link differ by less than a factor of 2 if the threshold is over 1/2; the longer sketch is folded.
-    folded = lambda x, n: F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))
-    short = F.least(F.size("pa"), F.size("pb"))
-    pa_, pb_ = (F.when(F.size(x) == short, F.col(x)).when(F.size(x) == 2 * short, folded(F.col(x), short)) for x in ("pa", "pb"))
-    differ = F.aggregate(F.zip_with(pa_, pb_, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
-    room = F.col("na") + F.col("nb") - 2 * F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
-    return checkpointed(both.where(differ.isNull() | (differ <= room)).select("a", "b").distinct())
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Of the checkpointed ``a, b`` pairs those whose whole texts link."""
-    ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = joined(docs.where("doc_id is not null"), ids, "doc_id", "left_semi", ids.count()).repartition("doc_id").dropDuplicates(["doc_id", "text"])
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+            for b in batches_of(whole, "text", 2 << 20):
+                keys, nodes = [], []
+                for s in shingle_sets(b.column("text"), words):
+                    if not len(s):
+                        continue
+                    rare, own, node = known[np.searchsorted(held.value, s)] != s, blocks.of(len(s)), _fingerprint(s, 0)
+                    for block in {own, max(0, own - 1)}:
+                        room = blocks.room(block)
+                        if room:  # else only equal sets link
+                            keys.append(part_keys(s, rare, block, room))
+                            nodes.append(np.full(len(keys[-1]), node, np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+    return docs.select("text").mapInArrow(run, "key long, node long")
+
+
+def _lists(entries: DataFrame) -> DataFrame:
+    """``key, node`` of the lists of two sets at least.  Lists stream through: nothing but the last entry is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # key, node, whether it was given out
+        for b in batches:
+            key, node = np.asarray(b.column("key")), np.asarray(b.column("node"))
+            if last is not None:
+                key, node = np.append(last[0], key), np.append(last[1], node)
+            if not len(key):
+                continue
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            key, node = key[new], node[new]
+            same = np.concatenate([[False], key[1:] == key[:-1]])
+            give = same | np.append(same[1:], False)
+            out = give.copy()
+            if last is not None:
+                out[0] &= not last[2]
+                give[0] |= last[2]
+            last = (key[-1], node[-1], bool(give[-1]))
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out])], ["key", "node"])
+
+    return entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
+
+
+def _differences(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``a, b, na, nb, d, delta``: of pairs ``a, b, most`` the sizes, the number of shingles in one set only, and these where they are ``most`` at most (null: any number)."""
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "most", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in batches_of(whole, "text_b", 4 << 20):
+            for b in batches_of(whole, "text_b", 2 << 20):
                 heads = b.column("text_a").dictionary_encode()  # a head stands in many rows
                 head_sets = shingle_sets(heads.dictionary, words)
-                other = shingle_sets(b.column("text_b"), words)
-                keep = np.zeros(b.num_rows, bool)
-                for i, (h, y) in enumerate(zip(heads.indices.to_pylist(), other)):
+                other, sizes, deltas = shingle_sets(b.column("text_b"), words), [], []
+                for h, y, most in zip(heads.indices.to_pylist(), other, b.column("most").to_pylist()):
                     x = head_sets[h]
-                    both = len(x) + len(y)
-                    if min(len(x), len(y)) * den >= max(len(x), len(y)) * num:
-                        common = both - len(np.unique(np.concatenate([x, y])))
-                        keep[i] = common * den >= (both - common) * num
-                kept = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(kept), b.column("b").filter(kept)], ["a", "b"])
+                    delta = np.setxor1d(x, y, assume_unique=True)
+                    sizes.append((len(x), len(y), len(delta)))
+                    deltas.append(delta.view(np.int64) if most is None or len(delta) <= most else None)
+                cols = [pa.array(c, pa.int64()) for c in zip(*sizes)] if sizes else [pa.array([], pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *cols, pa.array(deltas, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "d", "delta"])
+
+    return checkpointed(both.mapInArrow(run, "a long, b long, na long, nb long, d long, delta array<long>"))
+
+
+def _xor(a: Column, b: Column) -> Column:
+    return F.array_except(F.concat(a, b), F.array_intersect(a, b))
+
 
-    return checkpointed(both.mapInArrow(run, "a long, b long").distinct())
+def _roots(parents: DataFrame) -> DataFrame:
+    """``node, root`` of ``node, parent`` rows without cycles, by doubling the way each round."""
+    where = checkpointed(parents.select("node", F.col("parent").alias("root")))
+    while True:
+        above = where.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        step = checkpointed(where.join(above, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        where = step.select("node", "root")
+        if step.where("moved").isEmpty():
+            return where
 
 
 def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", share: float = 0.002) -> DataFrame:
     """``doc_id, n_shingles long, component_id`` for every row; ``threshold`` is a fraction (numerator, denominator)."""
     num, den = threshold
-    docs = id_text(docs, id_col, text_col)
-    common = heavy_values(_frequent(docs, words, share))
-    rows = checkpointed(_prefixes(docs, words, num, den, common))
+    docs = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    seen = checkpointed(_surveyed(docs, words, share))
+    common = heavy_values(seen.where("value is not null").select("value", F.col("often").alias("n")))
+    rows = seen.where("value is null").select("doc_id", "th", "n", "s1", "s2")
     full = rows.where("n > 0 and doc_id is not null")
-    equal = checkpointed(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = full.join(equal.select("s1", "s2", F.col("n").alias("_n"), "rep").withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"]).where("n = _n")
-    reps = checkpointed(reps.select("doc_id", "n", "prefix", "parity", "fold").dropDuplicates(["doc_id", "n", "prefix", "parity"]))
-
-    # First round: each set against the head of the lists of its first shingles.
-    few = reps.select("doc_id", "n", F.explode(F.slice("prefix", 1, FIRST)).alias("token"))
-    heads = few.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("long")).where("long > 1").select("token", F.col("head.doc_id").alias("a"), F.col("head.n").alias("na"))
-    near = few.join(heads, "token").where((F.col("doc_id") != F.col("a")) & (F.least("n", "na") * den >= F.greatest("n", "na") * num))
-    pairs = near.select("a", F.col("doc_id").alias("b")).distinct()
-    one_head = checkpointed(_possible(pairs, reps, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    classes = components(_verified(one_head, docs, words, num, den))
-
-    # Second round: what still spans two classes in the whole index.
-    bits = [f"f{k}" for k in range(FOLD // 64)]
-    known = reps.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("class"), "prefix", *[F.col("fold")[k].alias(f) for k, f in enumerate(bits)])
-    known = checkpointed(known)
-    mixed = known.select("class", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("token")
-    mixed = checkpointed(mixed)
-    entries = joined(known.select("doc_id", "n", "class", *bits, "prefix", F.posexplode("prefix").alias("pos", "token")).withColumn("before", F.when(F.col("pos") > 0, F.element_at("prefix", F.col("pos")))).drop("prefix"), mixed, "token", "left_semi", mixed.count())
-    block = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int") if num < den else F.col("n").cast("int")
-    entries = checkpointed(entries.withColumn("block", block))
-    small = entries.select("token", "block", *[F.col(c).alias("a_" + c) for c in ("doc_id", "n", "class", "pos", "before", *bits)])
-    # A set meets those of its own block and of the block below.
-    large = entries.select("token", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), *[F.col(c).alias("b_" + c) for c in ("doc_id", "n", "class", "pos", "before", *bits)])
-    both = F.col("a_n") + F.col("b_n")
-    need = F.ceil(both * num / (num + den) - 1e-9)
-    fits = (F.col("a_class") != F.col("b_class")) & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_doc_id") < F.col("b_doc_id"))))
-    fits &= (F.col("a_n") * den >= F.col("b_n") * num) & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need)
-    # A pair is taken at its first common shingle: not where the entries before are equal, nor after more unequal ones than may differ.
-    fits &= (F.col("a_pos") + F.col("b_pos") <= both - 2 * need) & ~F.coalesce(F.col("a_before") == F.col("b_before"), F.lit(False))
-    fits &= sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in bits), F.lit(0)) <= both - 2 * need
-    cross = small.join(large, ["token", "block"]).where(fits).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"))
-    of = known.select("doc_id", "class").distinct()
-    between = _possible(cross.distinct(), reps, num, den).join(of.select(F.col("doc_id").alias("a"), F.col("class").alias("ca")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("class").alias("cb")), "b")
-    between = checkpointed(between.select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")))
-    # One pair of each two classes first; then all pairs of those that are still apart.
-    first = checkpointed(between.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b", "ca", "cb"))
-    links = first.join(_verified(first.select("a", "b"), docs, words, num, den), ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = components(links.distinct())
-    at = [merged.select(F.col("node").alias(c), F.col("component").alias("m" + c)) for c in ("ca", "cb")]
-    apart = between.join(first.select("a", "b"), ["a", "b"], "left_anti").join(at[0], "ca", "left").join(at[1], "cb", "left").where(F.coalesce("mca", "ca") != F.coalesce("mcb", "cb")).select("a", "b", "ca", "cb")
-    apart = checkpointed(apart)
-    more = apart.join(_verified(apart.select("a", "b").distinct(), docs, words, num, den), ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = components(links.union(more).distinct())
-    final = known.select("doc_id", "class").distinct().join(merged.withColumnRenamed("node", "class"), "class", "left").select(F.col("doc_id").alias("rep"), F.coalesce("component", "class").alias("component"))
-    final = final.groupBy("rep").agg(F.min("component").alias("component"))
-
-    by_set = equal.join(final, "rep").select("s1", "s2", F.col("n").alias("_n"), "component")
-    out = rows.select("doc_id", "n", "s1", "s2").join(by_set, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    equal = checkpointed(full.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies")))
+    again = equal.where("copies > 1")
+    copies = checkpointed(full.join(again.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where((F.col("doc_id") != F.col("rep.doc_id")) | (F.col("th") != F.col("rep.th"))).select("doc_id", "th").distinct())
+    rep_docs = joined(docs.where("doc_id is not null"), copies, ["doc_id", "th"], "left_anti", copies.count())
+    lists = checkpointed(_lists(_entries(rep_docs, words, num, den, common)))
+    nodes = equal.select(F.col("s1").alias("node"), "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        """``node, text`` of the given nodes."""
+        wanted = checkpointed(ids.distinct().join(nodes, "node").select("node", "doc_id", "th"))
+        return joined(docs.where("doc_id is not null"), wanted, ["doc_id", "th"], "inner", wanted.count()).select("node", "text").dropDuplicates(["node"])
+
+    def linked(d: Column, s: Column) -> Column:
+        return d * (num + den) <= s * (den - num)
+
+    # Heads, and what each set differs in from its root.
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    weights = lists.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
+    heads = lists.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h")).select("key", F.col("h.weight").alias("weight"), F.col("h.node").alias("head"))
+    met = lists.join(heads, "key").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("met"), F.max("weight").alias("weight"))
+    star = checkpointed(met.groupBy("node").agg(F.max(F.struct("met", "weight", "head")).alias("m")).select(F.col("m.head").alias("a"), F.col("node").alias("b"), F.lit(None).cast("long").alias("most")))
+    ends = texts(star.select(F.col("a").alias("node")).union(star.select("b")))
+    near = _differences(star, ends, words).where(F.col("d") * 2 <= F.col("na") + F.col("nb"))
+    root_of = _roots(near.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    direct = near.join(root_of.select(F.col("node").alias("b"), F.col("root").alias("a")), ["a", "b"])
+    deep = checkpointed(root_of.join(near.select(F.col("a").alias("root"), F.col("b").alias("node")), ["root", "node"], "left_anti").select(F.col("root").alias("a"), F.col("node").alias("b"), F.lit(None).cast("long").alias("most")))
+    far = _differences(deep, texts(deep.select(F.col("a").alias("node")).union(deep.select("b"))), words)
+    members = direct.select("a", "b", "na", "nb", "d", "delta").unionByName(far)
+    members = checkpointed(members.select(F.col("b").alias("node"), F.col("a").alias("root"), F.col("nb").alias("n"), "d", "delta", linked(F.col("d"), F.col("na") + F.col("nb")).alias("linked")))
+    classes = members.where("linked").select("node", F.col("root").alias("class"))
+
+    # Two sets of one root: prefix index on the differences.
+    active = members.join(members.where("not linked").select("root").distinct(), "root", "left_semi")
+    tokens = active.select("root", "node", F.explode("delta").alias("token"))
+    number = tokens.groupBy("root", "token").agg(F.count(F.lit(1)).alias("number")).where("number > 1")
+    ranked = tokens.join(number, ["root", "token"], "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("number", F.lit(1)).alias("number"), "token"))).alias("ranked"))
+    most = F.floor((F.col("n") + F.floor(F.col("n") * den / num)) * (den - num) / (den + num) + 1e-9).cast("int") + 1
+    prefix = active.select("node", "root", "n", "d", "linked").join(ranked, "node").select("node", "root", "n", "d", "linked", F.posexplode(F.slice("ranked", F.lit(1), most)).alias("pos", "t"))
+    prefix = checkpointed(prefix.where("t.number > 1").select("root", F.col("t.token").alias("token"), "node", "n", "d", "linked", "pos"))
+    left, right = (prefix.select("root", "token", *[F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "d", "linked", "pos")]) for i in "ab")
+    room = (F.col("n_a") + F.col("n_b")) * (den - num)
+    fits = (F.col("node_a") < F.col("node_b")) & ~(F.col("linked_a") & F.col("linked_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    fits &= ((2 * F.col("pos_a") - F.col("d_a") + F.col("d_b")) * (den + num) <= room) & ((2 * F.col("pos_b") - F.col("d_b") + F.col("d_a")) * (den + num) <= room)
+    alike = checkpointed(left.join(right, (left["root"] == right["root"]) & (left["token"] == right["token"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    deltas = [members.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("delta").alias("d" + x)) for x in "ab"]
+    within = alike.join(deltas[0], "a").join(deltas[1], "b").where(linked(F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db")), F.col("na") + F.col("nb"))).select("a", "b")
+
+    # Sets of different roots that meet in a list: by the difference of their roots.
+    none = F.array().cast("array<long>")
+    placed = lists.select("key", "node").join(members.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = checkpointed(placed)
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    entries = checkpointed(placed.join(mixed, "key", "left_semi").join(nodes.select("node", "n"), "node"))
+    one, two = (entries.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("node", "root", "n")]) for i in "ab")
+    meet = (F.col("root_a") < F.col("root_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    cross = one.join(two, (one["key"] == two["key"]) & meet).select("node_a", "root_a", "n_a", "node_b", "root_b", "n_b").distinct()
+    apart = [members.select(F.col("node").alias(f"node_{i}"), F.col("delta").alias(f"delta_{i}")) for i in "ab"]
+    cross = checkpointed(cross)
+    reach = F.coalesce(F.size("delta_a"), F.lit(0)) + F.coalesce(F.size("delta_b"), F.lit(0)) + F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num) + 1e-9)
+    sized = [x.select(f"node_{i}", F.col(f"delta_{i}")) for x, i in zip(apart, "ab")]
+    heads = cross.join(sized[0], "node_a", "left").join(sized[1], "node_b", "left").groupBy("root_a", "root_b").agg(F.max(reach).alias("most"))
+    heads = checkpointed(heads.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"), F.col("most").cast("long").alias("most")))
+    between = _differences(heads, texts(heads.select(F.col("a").alias("node")).union(heads.select("b"))), words).where("delta is not null").select(F.col("a").alias("root_a"), F.col("b").alias("root_b"), "delta")
+    known = cross.join(between, ["root_a", "root_b"]).join(apart[0], "node_a", "left").join(apart[1], "node_b", "left")
+    whole = _xor(_xor(F.col("delta"), F.coalesce("delta_a", none)), F.coalesce("delta_b", none))
+    across = known.where(linked(F.size(whole), F.col("n_a") + F.col("n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    # Rows with one id are one document.
+    shared = full.select("doc_id", "s1").groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("_z")).where("a < _z").select("doc_id", "a")
+    shared = full.join(shared, "doc_id").select("a", F.col("s1").alias("b")).distinct()
+    for x in "ab":
+        within, across, shared = (e.join(classes.select(F.col("node").alias(x), "class"), x, "left").withColumn(x, F.coalesce("class", x)).select("a", "b") for e in (within, across, shared))
+    merged = components(within.union(across).union(shared)).select(F.col("node").alias("class"), "component")
+    named = equal.select("s1", "s2", "n", F.col("rep.doc_id").alias("doc_id")).join(classes.withColumnRenamed("node", "s1"), "s1", "left").withColumn("class", F.coalesce("class", "s1"))
+    named = checkpointed(named.join(merged, "class", "left").select("s1", "s2", "n", F.coalesce("component", "class").alias("component"), "doc_id"))
+    by_set = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("s1", "s2", "n", "component_id")
+    out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("s1")).alias("s1"), "s2").join(by_set, ["s1", "s2", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
