@@ -310,3 +310,62 @@ def test_components_of_a_long_chain_and_stars(spark):
     out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     chain = {x for e in edges[:600] for x in e}
     assert all(out[x] == min(chain) for x in chain) and all(out[x] == 4999 for x in range(4999, 5101))
+
+
+def removed(texts, length):
+    """Brute force: the bytes of each text under a string that starts anywhere else."""
+    seen = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
+    out = []
+    for b in texts:
+        mask = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                mask[k : k + length] = b"\1" * length
+        out.append(bytes(x for x, m in zip(b, mask) if not m))
+    return out
+
+
+def passages(rng):
+    one, two = words(rng, 200), words(rng, 90)
+    rows = [words(rng, rng.randrange(5, 60)) + " " + one[rng.randrange(300) : rng.randrange(400, 900)] + " " + words(rng, 20) for _ in range(24)]
+    return rows + [two + words(rng, 5) + two[40:], "ab" * 900, two, None, "", "x" * 63]
+
+
+@pytest.mark.parametrize("length, piece, most", [(64, 1 << 20, 20_000), (200, 300, 20_000), (320, 1 << 20, 4), (600, 700, 20_000)])
+def test_suffix_at_other_lengths(spark, monkeypatch, length, piece, most):
+    monkeypatch.setattr(suffix, "PIECE", piece)
+    monkeypatch.setattr(suffix, "MOST_MEMBERS", most)
+    texts = passages(random.Random(length))
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix.remove_repeats(frame(spark, list(enumerate(texts))), length=length).collect()}
+    assert [got[i] for i in range(len(texts))] == removed([(t or "").encode() for t in texts], length)
+
+
+def test_suffix_of_one_very_long_text(spark):
+    """2 MB in one row, a passage of which stands in another."""
+    rng = random.Random(12)
+    long = "".join(rng.choices("abcdefghij \n", k=2_000_000))
+    rows = [(1, long), (2, "start " + long[1_048_000:1_049_000] + " end"), (3, "other")]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept"]) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2][:2] == (1000, 1) and bytes(got[2][2]) == b"start  end" and got[1][:2] == (1000, 1) and got[3][0] == 0
+
+
+def test_maximal_repeats(spark):
+    rng = random.Random(11)
+    a, b = words(rng, 12), words(rng, 12)
+    texts = [f"one {a} two", f"three {a} {b} four", f"{b} five", f"six {a} two", "none"]
+    got = {}
+    for r in suffix.repeat_groups(frame(spark, list(enumerate(texts))), length=30).collect():
+        got.setdefault((r["group_id"], r["n_bytes"]), set()).add((r["doc_id"], r["start"]))
+    data = [t.encode() for t in texts]
+    said = {}
+    for (_, n), where in got.items():
+        strings = {data[i][s : s + n] for i, s in where}
+        assert len(strings) == 1 and len(where) > 1
+        said[strings.pop()] = where
+    for string, where in said.items():  # all occurrences
+        assert where == {(i, m.start()) for i, d in enumerate(data) for m in re.finditer(b"(?=" + re.escape(string) + b")", d)}
+    covered = [set() for _ in data]
+    for string, where in said.items():
+        for i, s in where:
+            covered[i] |= set(range(s, s + len(string)))
+    assert [bytes(x for k, x in enumerate(d) if k not in c) for d, c in zip(data, covered)] == removed(data, 30)

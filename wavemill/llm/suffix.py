@@ -21,7 +21,8 @@ their spans, not just neighbours.
 
 *Skew.*  Of equal whole texts one is looked at.  Equal surroundings of an
 anchor are repeats at once and are one member.  The commonest anchors (a
-bounded list, counted over all documents) are not gathered: strings over such
+bounded list, counted over all documents) and all others with more than
+``MOST_MEMBERS`` surroundings are not gathered: strings over such
 an anchor are counted by fingerprint, coarse ones first, then whole windows
 whose coarse strings occur again, combined within each task before they travel.
 
@@ -30,6 +31,9 @@ more; windows' fingerprints and whole texts are salted by independent hashes.
 
 Null text counts as empty: no bytes, nothing removed.  Repeated rows are equal
 texts, so they are removed whole if ``length`` bytes long.  Null ids are kept.
+An empty table gives no rows.  Very long texts are taken in pieces that overlap,
+so that what is held besides a text does not grow with it.  Columns other than
+the id, the text and those named in ``carry`` do not matter.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +51,23 @@ from .common import ChunkCounter, batches_of, checkpointed, heavy_values, id_tex
 LENGTH = 200
 ANCHOR = 64
 
+#: Long texts are hashed in pieces of about this many bytes.
+PIECE = 1 << 20
+#: Anchors with more surroundings than this are not gathered: windows over them are counted instead.
+MOST_MEMBERS = 20_000
+
+
+def anchor_size(length: int) -> int:
+    """Bytes of an anchor: ``ANCHOR``, or a third of a short ``length``."""
+    if length < 3:
+        raise ValueError("length must be 3 at least")
+    return min(ANCHOR, length // 3)
+
+
+def _bits(length: int) -> int:
+    return length.bit_length()
+
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -87,16 +108,24 @@ def sliding_first_min(h: np.ndarray, w: int) -> np.ndarray:
     return (low[np.concatenate([[True], low[1:] != low[:-1]])] & place).astype(np.int64)
 
 
-def anchors(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, Hasher]:
-    """Places and hashes of the anchors of a text."""
-    hasher = Hasher(data)
-    n = len(data) - anchor + 1
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), hasher
-    i = np.arange(n)
-    h = hasher.of(i, i + anchor)
-    at = sliding_first_min(h, length - anchor + 1)
-    return at, h[at], hasher
+def anchors(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, Hasher, int]]:
+    """Places and hashes of the anchors of a text, piece by piece, with a hasher of the piece and where it begins.
+
+    A piece goes ``length`` bytes beyond its anchors to the left and right, as far as the text does.
+    """
+    size, last = anchor_size(length), -1
+    for first in range(0, len(data) - length + 1, PIECE):
+        begin = max(0, first - length)
+        piece = Hasher(data[begin : first + PIECE + 2 * length])
+        i = np.arange(first, min(len(data), first + PIECE - 1 + length) - size + 1) - begin  # starts of anchors in windows that start here
+        h = piece.of(i, i + size)
+        at = sliding_first_min(h, length - size + 1)
+        h, at = h[at], at + first
+        if len(at) and at[0] == last:
+            h, at = h[1:], at[1:]
+        if len(at):
+            last = at[-1]
+            yield at, h, piece, begin
 
 
 def _key():
@@ -108,9 +137,17 @@ def _column(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values)
 
 
-# A place and the bytes around it that its text has: at << 17 | left << 9 | right.
-def _packed(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return at << 17 | left << 9 | right
+def _packed(at: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    """A place and the numbers of bytes around it that its text has, ``length`` at most."""
+    return at << 2 * bits | left << bits | right
+
+
+def _unpacked(at, bits: int) -> tuple:
+    """The same apart; of arrays or of a column."""
+    low = (1 << bits) - 1
+    if isinstance(at, Column):
+        return F.shiftright(at, 2 * bits), F.shiftright(at, bits).bitwiseAND(F.lit(low)), at.bitwiseAND(F.lit(low))
+    return at >> 2 * bits, at >> bits & low, at & low
 
 
 def _frequent(texts: DataFrame, share: float, length: int) -> DataFrame:
@@ -124,7 +161,8 @@ def _frequent(texts: DataFrame, share: float, length: int) -> DataFrame:
         for whole in batches:
             for b in batches_of(whole, "text"):
                 for t in b.column("text").to_pylist():
-                    yield from rows(counter.add(np.unique(anchors(t.encode(), length)[1]), 1))
+                    for _, h, _, _ in anchors(t.encode(), length):
+                        yield from rows(counter.add(np.unique(h), 1))
         yield from rows(counter.flush())
 
     return texts.select("text").mapInArrow(run, "value long, n long")
@@ -133,7 +171,7 @@ def _frequent(texts: DataFrame, share: float, length: int) -> DataFrame:
 def _places(texts: DataFrame, common: np.ndarray, length: int) -> DataFrame:
     """``anchor, around, key, at, often``: each anchor, the hash of its surroundings, and where it is."""
     held = texts.sparkSession.sparkContext.broadcast(np.sort(common))  # of bounded length
-    reach = length - ANCHOR
+    reach, bits = length - anchor_size(length), _bits(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
@@ -142,10 +180,10 @@ def _places(texts: DataFrame, common: np.ndarray, length: int) -> DataFrame:
                 out = []
                 for key, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
                     data = t.encode()
-                    at, h, hasher = anchors(data, length)
-                    left, right = np.minimum(at, reach), np.minimum(len(data) - at, length)
-                    around = mix64(hasher.of(at - left, at + right) + left.astype(np.uint64))
-                    out.append((h, around, np.full(len(at), key), _packed(at, left, right)))
+                    for at, h, piece, begin in anchors(data, length):
+                        left, right = np.minimum(at, reach), np.minimum(len(data) - at, length)
+                        around = mix64(piece.of(at - left - begin, at + right - begin) + left.astype(np.uint64))
+                        out.append((h, around, np.full(len(at), key), _packed(at, left, right, bits)))
                 if out:
                     h, around, key, at = (np.concatenate(c) for c in zip(*out))
                     often = np.isin(h, known)
@@ -211,34 +249,65 @@ def intervals(lcp: np.ndarray) -> list[tuple[int, int, int]]:
     return [x for x in out if x[2] > x[1]]
 
 
-def tree_spans(left: list[bytes], lcp: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For members of one anchor in suffix order (``left`` reversed): how far repeats reach to the left and right, 0 and 0 if none."""
-    m = len(left)
-    reach_l, reach_r = np.zeros(m, np.int64), np.zeros(m, np.int64)
+def tree_groups(left: list[bytes], lcp: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Maximal repeats over one anchor: how far each reaches to the left and right of it, and all its members.
+
+    ``left`` has the bytes before the members (reversed) in suffix order, ``lcp``
+    the common prefixes of neighbours from the anchor on.  An interval's members
+    agree to the right as far as its depth; sorted by their left sides, a second
+    stack scan gives those that agree to the left.  Of these a set is a maximal
+    repeat if it goes on unequally to the right too.
+    """
+    order = np.array(sorted(range(len(left)), key=left.__getitem__))
+    rank = np.argsort(order)
+    pairs = ((left[order[k - 1]], left[order[k]]) for k in range(1, len(order)))
+    common = [0] + [next((j for j, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q))) for p, q in pairs]
+    to_left, to_right = _least_between(np.array(common)), _least_between(lcp)
     for depth, a, z in intervals(lcp):
-        if depth < ANCHOR:
-            continue
-        order = sorted(range(a, z + 1), key=left.__getitem__)
-        common = [0] * (len(order) + 1)
-        for k in range(1, len(order)):
-            x, y = left[order[k - 1]], left[order[k]]
-            n = min(len(x), len(y))
-            common[k] = n if x[:n] == y[:n] else next(j for j in range(n) if x[j] != y[j])
-        for k, i in enumerate(order):
-            ext = max(common[k], common[k + 1])
+        inside = np.sort(rank[a : z + 1])
+        agree = np.concatenate([[0], to_left(inside[:-1] + 1, inside[1:])])
+        for ext, x, y in intervals(agree):
             if ext + depth >= length:
-                reach_l[i], reach_r[i] = max(reach_l[i], ext), max(reach_r[i], depth)
+                who = np.sort(order[inside[x : y + 1]])
+                if to_right(who[:1] + 1, who[-1:])[0] == depth:
+                    yield ext, depth, who
+
+
+def _least_between(values: np.ndarray):
+    """A function of arrays ``a <= z``: the least value from place ``a`` to ``z``, by doubling."""
+    levels = [values]
+    while 2 << (len(levels) - 1) <= len(values):
+        step = 1 << (len(levels) - 1)
+        levels.append(np.minimum(levels[-1][:-step], levels[-1][step:]))
+
+    def least(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        k = np.frexp((z - a + 1).astype(float))[1] - 1
+        out = np.empty(len(a), values.dtype)
+        for level in np.unique(k):
+            at = k == level
+            out[at] = np.minimum(levels[level][a[at]], levels[level][z[at] - (1 << level) + 1])
+        return out
+
+    return least
+
+
+def tree_spans(left: list[bytes], lcp: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For members of one anchor in suffix order (``left`` reversed): how far repeats reach to the left and right, 0 and 0 if none."""
+    reach_l, reach_r = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    for ext, depth, who in tree_groups(left, lcp, length):
+        reach_l[who], reach_r[who] = np.maximum(reach_l[who], ext), np.maximum(reach_r[who], depth)
     return reach_l, reach_r
 
 
 def _with_text(texts: DataFrame, lists: DataFrame) -> DataFrame:
-    lists = checkpointed(lists)
-    return joined(texts, lists, "key", "inner", lists.count())
+    """The texts that have a list, with it.  Lists grow with the corpus, so texts and lists meet by a shuffle."""
+    return texts.join(lists, "key")
 
 
 def _members(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     """``anchor, right, left, key, at`` with the bytes around each place of ``rows`` (key, anchor, at); ``left`` is reversed."""
     lists = rows.groupBy("key").agg(F.collect_list(F.struct("anchor", "at")).alias("todo"))  # a document's own places
+    reach, shift = length - anchor_size(length), 2 * _bits(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -247,8 +316,8 @@ def _members(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 for key, t, todo in zip(*(b.column(c).to_pylist() for c in ("key", "text", "todo"))):
                     data = t.encode()
                     for x in todo:
-                        p = x["at"] >> 17
-                        out.append((x["anchor"], data[p : p + length], data[max(0, p - (length - ANCHOR)) : p][::-1], key, p))
+                        p = x["at"] >> shift
+                        out.append((x["anchor"], data[p : p + length], data[max(0, p - reach) : p][::-1], key, p))
                 for i in range(0, len(out), 4096):
                     cols = zip(*out[i : i + 4096])
                     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
@@ -295,6 +364,40 @@ def _trees(members: DataFrame, length: int) -> DataFrame:
     return ordered.mapInArrow(run, "key long, start long, stop long")
 
 
+def repeat_groups(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``group_id, n_bytes, doc_id, start``: every maximal repeat of ``length`` bytes or more, with all its occurrences.
+
+    A repeat is seen ``length`` bytes to the right of an anchor and as many
+    less the anchor to the left; one that goes on beyond is several groups that
+    overlap.  Rows with one id are one another's occurrences too.  Each anchor's
+    places are held by one task, so more than ``MOST_MEMBERS`` are an error;
+    ``remove_repeats`` has no such limit.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    places = checkpointed(_places(texts, np.zeros(0, np.uint64), length).select("key", "anchor", "at"))
+    again = checkpointed(places.groupBy("anchor").count().where("count > 1"))
+    if not again.where(F.col("count") > MOST_MEMBERS).isEmpty():
+        raise ValueError(f"an anchor has more than {MOST_MEMBERS} places")
+    rows = joined(places, again.select("anchor"), "anchor", "left_semi", again.count())
+    ordered = _members(texts, rows, length).distinct().repartition("anchor").sortWithinPartitions("anchor", "right", "left", "key", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _sorted_groups(batches, "anchor"):
+            anchor, key, at = (np.asarray(t.column(c)) for c in ("anchor", "key", "at"))
+            right, left = t.column("right").to_pylist(), t.column("left").to_pylist()
+            ends = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor))
+            for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                lens = np.array([len(x) for x in right[a:z]])
+                rows = np.frombuffer(b"".join(x.ljust(length, b"\0") for x in right[a:z]), np.uint8).reshape(-1, length)
+                for ext, depth, who in tree_groups(left[a:z], lcp_of_neighbours(rows, lens), length):
+                    one = a + int(who[0])
+                    said = Hasher(left[one][:ext][::-1] + right[one][:depth]).of(np.array([0]), np.array([ext + depth]))
+                    cols = (np.full(len(who), said.view(np.int64)[0]), np.full(len(who), ext + depth), key[a:z][who], at[a:z][who] - ext)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["group_id", "n_bytes", "doc_id", "start"])
+
+    return ordered.mapInArrow(run, "group_id long, n_bytes long, doc_id long, start long").distinct()
+
+
 #: Up to so many repeated fingerprints are sent to all tasks; beyond, windows are joined with them.
 MOST_SENT = 500_000
 #: Extents of the coarse strings around an anchor are multiples of so many bytes, from round to round.
@@ -336,34 +439,44 @@ def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     of the windows left.  Where too many strings of a round occur again, that
     round drops nothing.
     """
-    lists = checkpointed(rows.groupBy("key").agg(F.collect_list("at").alias("todo")))
-    source = joined(texts, lists, "key", "inner", lists.count()).select("key", "text", "todo")
-    sc, reach = texts.sparkSession.sparkContext, length - ANCHOR
+    sc, size = texts.sparkSession.sparkContext, anchor_size(length)
+    # Two tasks a core: the fewer tasks, the more of their equal strings are counted before they travel.
+    source = _with_text(texts, rows.groupBy("key").agg(F.collect_list("at").alias("todo"))).select("key", "text", "todo").coalesce(2 * sc.defaultParallelism)
+    reach, shift = length - size, 2 * _bits(length)
     reaches = np.arange(reach + 1)
     rounds: list[tuple] = []  # where a window's string begins, its width, and those that occur again
 
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes, Hasher]]:
-        """Per document: the anchors and reaches of the windows that the rounds so far leave."""
+    def left(data: bytes, todo: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, Hasher, int]]:
+        """The anchors and reaches of the windows that the rounds so far leave, with a hasher of the piece and where it begins."""
+        places = np.sort(np.array(todo, dtype=np.int64) >> shift)
+        for first in range(0, len(places), 4096):
+            some = places[first : first + 4096]
+            for k in np.unique(some // PIECE).tolist():
+                part = some[some // PIECE == k]
+                begin = max(0, int(part[0]) - length)
+                one = Hasher(data[begin : int(part[-1]) + 2 * length])
+                p, l = (x.ravel() for x in np.meshgrid(part, reaches, indexing="ij"))
+                keep = (p >= l) & (p - l + length <= len(data))
+                for back, width, again in rounds:
+                    p, l = p[keep], l[keep]
+                    string, which = np.unique(p - back[l], return_inverse=True)
+                    known, f = np.append(again.value, np.iinfo(np.int64).max), one.of(string - begin, string - begin + width).view(np.int64)
+                    keep = (known[np.searchsorted(known[:-1], f)] == f)[which]
+                yield p[keep], l[keep], one, begin
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[int]]]:
         for whole in batches:
             for b in batches_of(whole, "text", 1 << 20):
                 for key, t, todo in zip(*(b.column(c).to_pylist() for c in ("key", "text", "todo"))):
-                    data = t.encode()
-                    one = Hasher(data)
-                    p, l = (x.ravel() for x in np.meshgrid(np.array(todo, dtype=np.int64) >> 17, reaches, indexing="ij"))
-                    keep = (p >= l) & (p - l + length <= len(data))
-                    for back, width, again in rounds:
-                        p, l = p[keep], l[keep]
-                        string, which = np.unique(p - back[l], return_inverse=True)
-                        known, f = np.append(again.value, np.iinfo(np.int64).max), one.of(string, string + width).view(np.int64)
-                        keep = (known[np.searchsorted(known[:-1], f)] == f)[which]
-                    yield key, p[keep], l[keep], data, one
+                    yield key, t.encode(), todo
 
     for step in STEPS:
         blocks = max(0, -(-(reach - 2 * (step - 1)) // step))
-        back, width = np.minimum(reaches // step, blocks) * step, ANCHOR + blocks * step
+        back, width = np.minimum(reaches // step, blocks) * step, size + blocks * step
 
         def strings(batches: Iterator[pa.RecordBatch], back=back, width=width) -> Iterator[pa.RecordBatch]:
-            starts = ((one, np.unique(p - back[l])) for _, p, l, _, one in left(batches))
+            # A string at the border of two pieces may count twice; then it just rules nothing out.
+            starts = ((one, np.unique(p - back[l]) - begin) for _, data, todo in documents(batches) for p, l, one, begin in left(data, todo))
             return _counted(((one.of(x, x + width),) for one, x in starts), ["f"])
 
         twice = checkpointed(source.mapInArrow(strings, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1").select("f"))
@@ -371,10 +484,15 @@ def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
             rounds = [*rounds, (back, width, sc.broadcast(np.sort(twice.toPandas()["f"].to_numpy(np.int64))))]  # MOST_SENT at most
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        for key, p, l, data, one in left(batches):
-            start = np.unique(p - l)
-            if len(start):
-                yield key, start, *(h.of(start, start + length) for h in (one, Hasher(data, 0xA0761D6478BD642F)))
+        for key, data, todo in documents(batches):
+            mask = np.zeros(len(data), bool)
+            for p, l, _, _ in left(data, todo):
+                mask[p - l] = True
+            for begin in range(0, len(data), PIECE):
+                start = np.flatnonzero(mask[begin : begin + PIECE])
+                if len(start):
+                    piece = data[begin : begin + PIECE + length]
+                    yield key, start + begin, *(Hasher(piece, *seed).of(start, start + length) for seed in ((), (0xA0761D6478BD642F,)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _counted(((one, two) for _, _, one, two in fingerprints(batches)), ["f1", "f2"])
@@ -410,14 +528,15 @@ def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
 
 def _equal(often: DataFrame, equal: DataFrame, length: int) -> DataFrame:
     """``key, start, stop`` of the checkpointed places whose surroundings are among the checkpointed ``equal`` ones, merged within a batch."""
-    sent = equal.count() <= MOST_SENT
+    sent, bits = equal.count() <= MOST_SENT, _bits(length)
     # The surroundings hold the anchor, so their hash alone tells them.
     held = often.sparkSession.sparkContext.broadcast(np.sort(equal.toPandas()["around"].to_numpy(np.int64)) if sent else None)  # MOST_SENT at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             around, key, at = (np.asarray(b.column(c)) for c in ("around", "key", "at"))
-            start, stop = (at >> 17) - (at >> 9 & 255), (at >> 17) + (at & 511)
+            place, before, after = _unpacked(at, bits)
+            start, stop = place - before, place + after
             hit = stop - start >= length
             if held.value is not None:
                 known = np.append(held.value, np.iinfo(np.int64).max)
@@ -462,14 +581,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, share: float = 0.005)
     places = _places(texts, common, length)
     rare_sorted = places.where("not often").select("anchor", "around", "key", "at").repartition("anchor").sortWithinPartitions("anchor", "around")
     rare = checkpointed(rare_sorted.mapInArrow(_sorted_rare, "key long, at long, anchor long, full boolean, member boolean"))
-    found = [rare.where("full").select("key", (F.shiftright("at", 17) - F.shiftright("at", 9).bitwiseAND(255)).alias("start"), (F.shiftright("at", 17) + F.col("at").bitwiseAND(511)).alias("stop")).where(F.col("stop") - F.col("start") >= length)]
-    found.append(_trees(_members(texts, rare.where("member").select("key", "anchor", "at"), length), length))
+    place, before, after = _unpacked(F.col("at"), _bits(length))
+    found = [rare.where("full").select("key", (place - before).alias("start"), (place + after).alias("stop")).where(F.col("stop") - F.col("start") >= length)]
+    members = rare.where("member").select("key", "anchor", "at")
+    large = checkpointed(members.groupBy("anchor").count().where(F.col("count") > MOST_MEMBERS).select("anchor"))
+    n_large, to_count = large.count(), []
+    if n_large:
+        to_count.append(joined(members, large, "anchor", "left_semi", n_large).select("key", "at"))
+        members = joined(members, large, "anchor", "left_anti", n_large)
+    found.append(_trees(_members(texts, members, length), length))
     if len(common):
         often = checkpointed(places.where("often").select("anchor", "around", "key", "at"))
         per = checkpointed(often.groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one")))
-        left, right = F.shiftright("at", 9).bitwiseAND(255), F.col("at").bitwiseAND(511)
         found.append(_equal(often, per.where("n > 1").select("anchor", "around"), length))
-        found.append(_windows(texts, per.select("one.key", "one.at").where(left + right >= length), length))
+        to_count.append(per.select("one.key", "one.at"))
+    if to_count:
+        places = to_count[0].unionByName(to_count[-1]) if len(to_count) > 1 else to_count[0]
+        found.append(_windows(texts, places.where(before + after >= length), length))
     spans = found[0]
     for x in found[1:]:
         spans = spans.unionByName(x)
@@ -493,7 +621,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, share: float = 0.005,
     whole, spans = repeated_spans(rows.select("doc_id", "text"), length, share)
     base = rows.withColumn("key", _key())
     both = joined(base, whole.select("key", F.lit(True).alias("copied")), "key", "left", whole.count())
-    both = joined(both, spans, "key", "left", spans.count()).drop("key")
+    # Copies have no spans of their own; they are dealt out evenly.
+    both = both.withColumn("key", F.when(F.col("copied"), F.xxhash64("key", "doc_id")).otherwise(F.col("key"))).join(spans, "key", "left").drop("key")
     kinds = {"kept": T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType()}
     passed = [f for f in both.schema.fields if f.name not in ("text", "copied", "spans")]
 
@@ -503,7 +632,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, share: float = 0.005,
                 kept, counts = [], []
                 for text, copied, todo in zip(*(b.column(c).to_pylist() for c in ("text", "copied", "spans"))):
                     data = text.encode()
-                    cut = [(0, len(data))] if copied and len(data) >= length else [(s["start"], s["stop"]) for s in todo or ()]
+                    cut = [(0, len(data))][: len(data) >= length] if copied else [(s["start"], s["stop"]) for s in todo or ()]
                     if whole_characters:
                         cut = [(a, z) for a, z in (_characters(data, *c) for c in cut) if a < z]
                     ends = [0, *(z for _, z in cut)]
