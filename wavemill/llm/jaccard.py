@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed, components, heavy_values, id_text, joined, mix64, table
+from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed, components, heavy_values, id_text, joined, mix64, table, trimmed
 
 #: The parts left out, as a share of the room.
 SPARE = 0.5
@@ -96,14 +96,14 @@ def _surveyed(docs: DataFrame, words: int, share: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(got[0].view(np.int64)), pa.array(got[1])], names)
 
         for whole in batches:
-            for b in batches_of(whole, "text", 8 << 20):
+            for b in batches_of(whole, "text", 2 << 20):
                 sets = shingle_sets(b.column("text"), words)
                 cols = [b.column("doc_id"), b.column("th"), [len(s) for s in sets], [_fingerprint(s, 0) for s in sets], [_fingerprint(s, 0xA5A5A5A5DEADBEEF) for s in sets], [None] * len(sets), [None] * len(sets)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names)
                 yield from rows(counter.add(np.concatenate(sets), len(sets)))
         yield from rows(counter.flush())
 
-    return docs.mapInArrow(run, "doc_id long, th long, n long, s1 long, s2 long, value long, often long")
+    return docs.mapInArrow(trimmed(run), "doc_id long, th long, n long, s1 long, s2 long, value long, often long")
 
 
 class Blocks:
@@ -159,7 +159,7 @@ def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long")
+    return docs.select("text").mapInArrow(trimmed(run), "key long, node long")
 
 
 def _lists(entries: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _lists(entries: DataFrame) -> DataFrame:
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out])], ["key", "node"])
 
-    return entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
+    return entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(trimmed(run), "key long, node long")
 
 
 def _differences(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _differences(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 cols = [pa.array(c, pa.int64()) for c in zip(*sizes)] if sizes else [pa.array([], pa.int64())] * 3
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *cols, pa.array(deltas, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "d", "delta"])
 
-    return checkpointed(both.mapInArrow(run, "a long, b long, na long, nb long, d long, delta array<long>"))
+    return checkpointed(both.mapInArrow(trimmed(run), "a long, b long, na long, nb long, d long, delta array<long>"))
 
 
 def _xor(a: Column, b: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, checkpointed, id_text, table
+from .common import batches_of, checkpointed, id_text, table, trimmed
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -68,7 +68,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 rows = np.array([measure(t) for t in b.column("text").to_pylist()], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(rows[:, i]) for i in range(len(_FIELDS)))], ["doc_id", *_FIELDS])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in _FIELDS))
+    return id_text(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, " + ", ".join(f"{f} long" for f in _FIELDS))
 
 
 def base_failed() -> Column:

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkCounter, batches_of, checkpointed, heavy_values, id_text, joined, mix64, table
+from .common import ChunkCounter, batches_of, checkpointed, heavy_values, id_text, joined, mix64, table, trimmed
 
 LENGTH = 200
 ANCHOR = 64
@@ -165,7 +165,7 @@ def _frequent(texts: DataFrame, share: float, length: int) -> DataFrame:
                         yield from rows(counter.add(np.unique(h), 1))
         yield from rows(counter.flush())
 
-    return texts.select("text").mapInArrow(run, "value long, n long")
+    return texts.select("text").mapInArrow(trimmed(run), "value long, n long")
 
 
 def _places(texts: DataFrame, common: np.ndarray, length: int) -> DataFrame:
@@ -189,7 +189,7 @@ def _places(texts: DataFrame, common: np.ndarray, length: int) -> DataFrame:
                     often = np.isin(h, known)
                     yield pa.RecordBatch.from_arrays([_column(h), _column(around), pa.array(key), pa.array(at), pa.array(often)], ["anchor", "around", "key", "at", "often"])
 
-    return texts.mapInArrow(run, "anchor long, around long, key long, at long, often boolean")
+    return texts.mapInArrow(trimmed(run), "anchor long, around long, key long, at long, often boolean")
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
@@ -323,7 +323,7 @@ def _members(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "right", "left", "key", "at"])
 
-    return _with_text(texts, lists).select("key", "text", "todo").mapInArrow(run, "anchor long, right binary, left binary, key long, at long")
+    return _with_text(texts, lists).select("key", "text", "todo").mapInArrow(trimmed(run), "anchor long, right binary, left binary, key long, at long")
 
 
 def _trees(members: DataFrame, length: int) -> DataFrame:
@@ -361,7 +361,7 @@ def _trees(members: DataFrame, length: int) -> DataFrame:
             hit = reach_r > 0
             yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, at - reach_l, at + reach_r)], ["key", "start", "stop"])
 
-    return ordered.mapInArrow(run, "key long, start long, stop long")
+    return ordered.mapInArrow(trimmed(run), "key long, start long, stop long")
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,7 +395,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                     cols = (np.full(len(who), said.view(np.int64)[0]), np.full(len(who), ext + depth), key[a:z][who], at[a:z][who] - ext)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["group_id", "n_bytes", "doc_id", "start"])
 
-    return ordered.mapInArrow(run, "group_id long, n_bytes long, doc_id long, start long").distinct()
+    return ordered.mapInArrow(trimmed(run), "group_id long, n_bytes long, doc_id long, start long").distinct()
 
 
 #: Up to so many repeated fingerprints are sent to all tasks; beyond, windows are joined with them.
@@ -479,7 +479,7 @@ def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
             starts = ((one, np.unique(p - back[l]) - begin) for _, data, todo in documents(batches) for p, l, one, begin in left(data, todo))
             return _counted(((one.of(x, x + width),) for one, x in starts), ["f"])
 
-        twice = checkpointed(source.mapInArrow(strings, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1").select("f"))
+        twice = checkpointed(source.mapInArrow(trimmed(strings), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1").select("f"))
         if twice.count() <= MOST_SENT:
             rounds = [*rounds, (back, width, sc.broadcast(np.sort(twice.toPandas()["f"].to_numpy(np.int64))))]  # MOST_SENT at most
 
@@ -497,7 +497,7 @@ def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _counted(((one, two) for _, _, one, two in fingerprints(batches)), ["f1", "f2"])
 
-    seen = source.mapInArrow(counted, "f1 long, f2 long, n long")
+    seen = source.mapInArrow(trimmed(counted), "f1 long, f2 long, n long")
     again = checkpointed(seen.groupBy("f1", "f2").agg(F.sum("n").alias("n")).where("n > 1").select("f1", "f2"))
     if again.count() > MOST_SENT:
 
@@ -505,7 +505,7 @@ def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
             for key, start, one, two in fingerprints(batches):
                 yield pa.RecordBatch.from_arrays([_column(one), _column(two), pa.array(np.full(len(start), key)), pa.array(start)], ["f1", "f2", "key", "start"])
 
-        every = source.mapInArrow(placed, "f1 long, f2 long, key long, start long")
+        every = source.mapInArrow(trimmed(placed), "f1 long, f2 long, key long, start long")
         return every.join(again, ["f1", "f2"]).select("key", "start", (F.col("start") + length).alias("stop"))
     known = again.toPandas().sort_values(["f1", "f2"])
     held = sc.broadcast(tuple(known[c].to_numpy(np.int64) for c in ("f1", "f2")))  # MOST_SENT pairs at most
@@ -523,7 +523,7 @@ def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 a, z = zip(*spans)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(a)), pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["key", "start", "stop"])
 
-    return source.mapInArrow(found, "key long, start long, stop long")
+    return source.mapInArrow(trimmed(found), "key long, start long, stop long")
 
 
 def _equal(often: DataFrame, equal: DataFrame, length: int) -> DataFrame:
@@ -550,7 +550,7 @@ def _equal(often: DataFrame, equal: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(start[new]), pa.array(stop[last])], ["key", "start", "stop"])
 
     places = often if sent else often.join(equal, ["anchor", "around"], "left_semi")
-    return places.select("around", "key", "at").mapInArrow(run, "key long, start long, stop long")
+    return places.select("around", "key", "at").mapInArrow(trimmed(run), "key long, start long, stop long")
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -580,7 +580,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, share: float = 0.005)
     common = heavy_values(_frequent(texts, share, length))
     places = _places(texts, common, length)
     rare_sorted = places.where("not often").select("anchor", "around", "key", "at").repartition("anchor").sortWithinPartitions("anchor", "around")
-    rare = checkpointed(rare_sorted.mapInArrow(_sorted_rare, "key long, at long, anchor long, full boolean, member boolean"))
+    rare = checkpointed(rare_sorted.mapInArrow(trimmed(_sorted_rare), "key long, at long, anchor long, full boolean, member boolean"))
     place, before, after = _unpacked(F.col("at"), _bits(length))
     found = [rare.where("full").select("key", (place - before).alias("start"), (place + after).alias("stop")).where(F.col("stop") - F.col("start") >= length)]
     members = rare.where("member").select("key", "anchor", "at")
@@ -608,7 +608,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, share: float = 0.005)
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([[{"start": a, "stop": z} for a, z in row] for row in flat], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["key", "spans"])
 
     grouped = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return whole, checkpointed(grouped.mapInArrow(run, "key long, spans array<struct<start:long,stop:long>>"))
+    return whole, checkpointed(grouped.mapInArrow(trimmed(run), "key long, spans array<struct<start:long,stop:long>>"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, share: float = 0.005, whole_characters: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -641,7 +641,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, share: float = 0.005,
                 cols = [pa.array(c, pa.int64()) for c in zip(*counts)]
                 yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in passed), pa.array(kept, pa.binary()), *cols], [*(f.name for f in passed), *kinds])
 
-    out = both.mapInArrow(run, T.StructType([*passed, *(T.StructField(n, k) for n, k in kinds.items())]))
+    out = both.mapInArrow(trimmed(run), T.StructType([*passed, *(T.StructField(n, k) for n, k in kinds.items())]))
     return out.select("doc_id", *[F.col(f"_{i}").alias(c) for i, c in enumerate(carry)], *kinds)
 
 

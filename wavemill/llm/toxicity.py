@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import batches_of, table, word_ngrams, words_of_batch
+from .common import batches_of, table, trimmed, word_ngrams, words_of_batch
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5, 6)
@@ -60,8 +60,8 @@ class Windows:
         size = np.minimum(lens, WINDOW)
         count = np.where(lens > 0, lens - size + 1, 0)
         before = np.cumsum(count) - count
-        self.start = np.repeat(offsets[:-1] - before, count) + np.arange(count.sum())
-        self.length = np.repeat(size, count)
+        self.start = np.repeat((offsets[:-1] - before).astype(np.int32), count) + np.arange(count.sum(), dtype=np.int32)  # a slice's words
+        self.length = np.repeat(size.astype(np.int32), count)
         self.rows = np.flatnonzero(count)
         self.first, self.count = before[self.rows], count[self.rows]
 
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_chars: int
         model = train(got.column("text").to_pylist(), got.column("toxic").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.vectors, model.softmax, model.bias)], ["vectors", "softmax", "bias"])
 
-    row, model = rows.mapInArrow(learn, "vectors binary, softmax binary, bias binary").first(), Model()
+    row, model = rows.mapInArrow(trimmed(learn), "vectors binary, softmax binary, bias binary").first(), Model()
     for name in ("vectors", "softmax", "bias"):
         old = getattr(model, name)
         setattr(model, name, np.frombuffer(bytes(row[name]), np.float32).reshape(old.shape).copy())
@@ -201,10 +201,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, b0 = held.value
         for whole in batches:
-            for b in batches_of(whole, text_col, 8 << 20):
+            for b in batches_of(whole, text_col, 1 << 20):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_texts(b.column(text_col), g, b0), pa.float64())], [*names, out])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+    return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
