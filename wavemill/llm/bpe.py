@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, id_text, table
+from .common import batches_of, id_text, table, trimmed
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Texts over this many characters are cut at safe boundaries into pieces of about this size.
@@ -84,7 +84,20 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "ids"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_text(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, ids array<int>")
+
+
+def counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens long`` of every whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(path)
+        for whole in batches:
+            for b in batches_of(whole, "text", 4 << 20):
+                n = [len(encode_text(enc, t or "")) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+
+    return id_text(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, n_tokens long")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -98,7 +111,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             out = [enc.decode_bytes(flat[x:y].tolist()) for x, y in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, ids array<int>, bytes binary")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

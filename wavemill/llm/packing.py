@@ -12,8 +12,9 @@ shards by a hash of the id, numbered in their shard, and the shards' counts
 (buckets * shards rows) give each shard's first number.
 
 Every length is counted exactly, so the padding is the least that any choice
-of boundaries gives.  The histogram has a row per distinct length, as many as
-words in the longest text at most.  Null or empty
+of boundaries gives.  A length is a text's number of byte-level BPE tokens.  The
+histogram has a row per distinct length, as many as tokens in the longest text
+at most.  Very long texts are whole; other columns are ignored.  Null or empty
 text has length 0.  Repeated rows are packed each for itself, in an order by
 id and length; equal rows may swap places.  An empty table gives no rows.
 """
@@ -26,6 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import counts
 from .common import checkpointed, table
 
 BUCKETS = 16
@@ -33,7 +35,7 @@ BUDGET = 16_384
 
 
 def word_count(text: Column) -> Column:
-    """Number of white-space separated words, the length that packing uses by default."""
+    """Number of white-space separated words, a cheaper length than the default."""
     bare = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[^\x20\x09-\x0D]+", "\x01")
     return F.length(F.translate(bare, " \t\n\x0b\x0c\r", "")).cast("long")
 
@@ -83,10 +85,13 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length:
 
     ``batch_id`` is unique over all buckets: batches of shorter buckets come
     first.  A batch holds at most ``budget`` padded tokens, or one document.
+    ``length`` is the length of a row; by default its text's tokens are counted.
     """
     spark = docs.sparkSession
-    n = (word_count(F.col(text_col)) if length is None else length).cast("long")
-    sized = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n_tokens")))
+    if length is None:
+        sized = checkpointed(counts(docs, id_col=id_col, text_col=text_col))
+    else:
+        sized = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), length.cast("long").alias("n_tokens")))
     seen = sorted((r["n_tokens"], r["count"]) for r in sized.groupBy("n_tokens").count().collect())  # one row per distinct length
     total = sum(c for _, c in seen)
     cuts = boundaries(np.array([a for a, _ in seen], dtype=np.int64), np.array([c for _, c in seen], dtype=np.int64), buckets)
