@@ -16,7 +16,9 @@ own prior.
 
 Null or empty pages have no text evidence and follow the other sources; null
 addresses share one empty host.  Repeated rows count as often as they occur.
-Ties between languages go to the first in the alphabet.
+Ties between languages go to the first in the alphabet.  Very long pages are
+whole; other columns are ignored; an empty table of pages gives no rows, and
+without any document of known language every language is null.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, checkpointed, table, word_ngrams, words_of_batch
+from .common import batches_of, checkpointed, joined, table, trimmed, word_ngrams, words_of_batch
 
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
@@ -48,29 +50,44 @@ class Model:
         self.languages, self.logs = languages, logs
 
 
-def train(texts: list[str], languages: list[str]) -> Model:
+def ngram_counts(texts: list[str]) -> np.ndarray:
+    out = np.zeros(BUCKETS)
+    ids, words, _ = words_of_batch(pa.array(texts, pa.large_string()))
+    if len(ids):
+        who, what = word_ngrams(words, SIZES, BUCKETS, whole=False)
+        out += np.bincount(what, weights=np.bincount(ids, minlength=len(words))[who], minlength=BUCKETS)
+    return out
+
+
+def modelled(by_language: dict[str, np.ndarray]) -> Model:
     """Log-probability of each bucket under each language, add-half smoothed, as difference from their mean."""
-    names = sorted(set(languages))
-    counts = np.full((len(names), BUCKETS), 0.5)
-    for k, name in enumerate(names):
-        ids, words, _ = words_of_batch(pa.array([t for t, x in zip(texts, languages) if x == name], pa.large_string()))
-        if len(ids):
-            who, what = word_ngrams(words, SIZES, BUCKETS, whole=False)
-            counts[k] += np.bincount(what, weights=np.bincount(ids, minlength=len(words))[who], minlength=BUCKETS)
+    names = sorted(by_language)
+    counts = np.array([by_language[x] for x in names]).reshape(len(names), BUCKETS) + 0.5
     logs = np.log(counts / counts.sum(1, keepdims=True))
-    return Model(names, (logs - logs.mean(0)).astype(np.float32))
+    return Model(names, (logs - logs.mean(0)).astype(np.float32) if names else logs)
 
 
 def fit(docs: DataFrame, per_language: int = 150, max_chars: int = 20_000) -> Model:
-    """Train on at most ``per_language`` documents of at most ``max_chars`` characters of each language."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text is not null and lang is not null and doc_id is not null")
-    common = [r["lang"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]  # one name per language
-    texts, languages = [], []
-    for name in common:
-        rows = d.where((F.col("lang") == name) & (F.length("text") <= max_chars)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_language).select("text").collect()
-        texts += [r["text"] for r in rows]
-        languages += [name] * len(rows)
-    return train(texts, languages)
+    """Train on at most ``per_language`` documents of at most ``max_chars`` characters of each language.
+
+    They are the first in a hashed order of ids.  Their n-grams are counted by
+    executors; the driver gets a row of counts for each language.
+    """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null")
+    short = F.length("text") <= max_chars
+    # Each task passes on per_language rows of a language at most before they are ranked.
+    ranked = d.where(short).select("lang", "doc_id", F.xxhash64("text").alias("th")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "th")))
+    chosen = checkpointed(ranked.where(F.col("r") <= per_language).select("lang", "doc_id", "th").distinct())
+    sample = joined(d.withColumn("th", F.xxhash64("text")), chosen, ["lang", "doc_id", "th"], "left_semi", chosen.count())
+
+    def learn(rows: pa.Table) -> pa.Table:
+        return pa.table({"lang": [rows.column("lang")[0].as_py()], "counts": pa.array([ngram_counts(rows.column("text").to_pylist()).tobytes()], pa.binary())})
+
+    # A language's sample has per_language * max_chars characters at most (more only where rows repeat).
+    got = sample.select("lang", "text").dropDuplicates().groupBy("lang").applyInArrow(learn, "lang string, counts binary").collect()
+    names = sorted(r["lang"] for r in d.select("lang").distinct().collect())
+    known = {r["lang"]: np.frombuffer(bytes(r["counts"]), np.float64) for r in got}
+    return modelled({x: known.get(x, np.zeros(BUCKETS)) for x in names})
 
 
 def evidence(pages: DataFrame, model: Model, tempered: float = 40.0) -> DataFrame:
@@ -105,7 +122,7 @@ def evidence(pages: DataFrame, model: Model, tempered: float = 40.0) -> DataFram
                 ll = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * n_lang, pa.int32()), pa.array(out.ravel()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), ll], [*kept, "ll"])
 
-    return src.mapInArrow(run, "page_id long, declared string, host string, domain string, suffix string, ll array<double>")
+    return src.mapInArrow(trimmed(run), "page_id long, declared string, host string, domain string, suffix string, ll array<double>")
 
 
 def softmax(ll: Column) -> Column:
@@ -129,16 +146,28 @@ def fuse(seen: DataFrame, languages: list[str], strength: float = 20.0) -> DataF
     total = sum(whole)
     top = F.array(*[F.lit((c + 1) / (total + n)) for c in whole])
     less_own = lambda c: F.transform(F.col(c), lambda x, i: (x - F.when(F.col("vote") == i, 1).otherwise(0)).cast("double"))
-    joined = seen.join(grouped("host", "by_host"), "host").join(grouped("domain", "by_domain"), "domain").join(grouped("suffix", "by_suffix"), "suffix").join(grouped("declared", "by_declared"), "declared")
+    def with_counts(rows: DataFrame, key: str, prefix: str) -> DataFrame:
+        """Rows with their key's counts; keys of half a percent of all rows or more (200 at most) are broadcast, so no task gets one key's rows."""
+        by, size = grouped(key, prefix), F.aggregate(F.col(prefix), F.lit(0).cast("long"), lambda a, b: a + b)
+        sized = checkpointed(by.withColumn("_n", size))
+        hot = sized.where((F.col("_n") > 0) & (F.col("_n") * 200 >= total)).select(key, F.col(prefix).alias("_hot"))
+        own = F.when(F.col("_hot").isNotNull(), F.concat(F.lit("\0"), F.xxhash64("page_id", "ll").cast("string"))).otherwise(F.col(key))
+        rows = rows.join(F.broadcast(hot), key, "left").withColumn("_own", own)
+        rows = rows.join(sized.where((F.col("_n") == 0) | (F.col("_n") * 200 < total)).select(F.col(key).alias("_own"), F.col(prefix).alias("_cold")), "_own", "left")
+        return rows.withColumn(prefix, F.coalesce("_hot", "_cold")).drop("_own", "_hot", "_cold")
+
+    every = seen
+    for key, prefix in (("host", "by_host"), ("domain", "by_domain"), ("suffix", "by_suffix"), ("declared", "by_declared")):
+        every = with_counts(every, key, prefix)
 
     def smoothed(own: Column, above: Column) -> Column:
         return F.transform(F.array(F.aggregate(own, F.lit(0.0), lambda a, b: a + b)), lambda s: F.zip_with(own, above, lambda x, p: (x + strength * p) / (s + strength)))[0]
 
     # The declared language against the whole: P(language | declaration) / P(language) has the same shape as P(declaration | language).
-    joined = joined.withColumn("_suffix", smoothed(less_own("by_suffix"), top)).withColumn("_domain", smoothed(less_own("by_domain"), F.col("_suffix"))).withColumn("_prior", smoothed(less_own("by_host"), F.col("_domain")))
+    every = every.withColumn("_suffix", smoothed(less_own("by_suffix"), top)).withColumn("_domain", smoothed(less_own("by_domain"), F.col("_suffix"))).withColumn("_prior", smoothed(less_own("by_host"), F.col("_domain")))
     told = F.when(F.col("declared") == "", F.array_repeat(F.lit(0.0), n)).otherwise(F.zip_with(smoothed(less_own("by_declared"), top), top, lambda a, b: F.log(a / b)))
     score = F.zip_with(F.zip_with(F.col("ll"), F.transform("_prior", lambda p: F.log(p)), lambda a, b: a + b), told, lambda a, b: a + b)
-    out = joined.withColumn("_score", score).withColumn("_p", softmax(F.col("_score")))
+    out = every.withColumn("_score", score).withColumn("_p", softmax(F.col("_score")))
     at = F.array_position("_p", F.array_max("_p")).cast("int")
     return out.select("page_id", F.element_at(names, at).alias("lang"), F.array_max("_p").alias("probability"), F.when(F.col("vote").isNotNull(), F.element_at(names, F.col("vote") + 1)).alias("text_lang"), "declared", "host")
 
