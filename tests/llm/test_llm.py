@@ -369,3 +369,56 @@ def test_maximal_repeats(spark):
         for i, s in where:
             covered[i] |= set(range(s, s + len(string)))
     assert [bytes(x for k, x in enumerate(d) if k not in c) for d, c in zip(data, covered)] == removed(data, 30)
+
+
+class Lying(chat.BlockTemplate):
+    """Declares that turns do not depend on each other, but counts them once there are ten."""
+
+    context = 0
+
+    def render(self, turns):
+        return ("" if len(turns) < 10 else f"{len(turns)} ") + super().render(turns)
+
+
+def test_chat_prefixes_are_compared_whole(monkeypatch):
+    turns = [("user", f"t{i}") for i in range(40)]
+    whole = [x for _, x in enumerate(chat.trace(Lying(), turns)[1])]
+    tracer = chat.Tracer(Lying())
+    assert [tracer.add(t)[1:] for t in turns] == whole and whole[9][2] and not whole[8][2]
+    monkeypatch.setattr(chat, "WHOLE", 4)  # a lie beyond is found when the turns have doubled
+    tracer = chat.Tracer(Lying())
+    assert [i for i, t in enumerate(turns) if tracer.add(t)[3]][0] == 15 and tracer.before == Lying().render(turns)
+    honest = chat.Tracer(chat.BlockTemplate())
+    assert [honest.add(t)[1:] for t in turns] == chat.trace(chat.BlockTemplate(), turns)[1]
+
+
+def test_pii_links_notations(spark):
+    one = spark.createDataFrame([
+        (1, "GB82WEST12345698765432|GB82 WEST 1234 5698 7654 32"), (2, "Joe.Doe@x.com|joe.doe@x.com"), (3, "4111 1111 1111 1111|4111-1111-1111-1111"),
+        (4, "2020-02-29|29.02.2020"), (5, "+49 170 1234567|+49 (170) 123-4567"),
+    ], "id long, t string").select("id", F.explode(F.split("t", "\\|")).alias("text"))
+    got = {}
+    for r in pii.pseudonymise(one.withColumn("_found", F.lit("mine")).withColumn("_new", F.lit("too")), key="k").collect():
+        assert r["n_pseudonyms"] == 1 and r["_found"] == "mine" and r["_new"] == "too"
+        bare = re.sub(r"[^a-z0-9]", "", r["text"].lower())
+        if r["id"] == 4:
+            bare = "".join(sorted(bare))
+        got.setdefault(r["id"], set()).add(bare)
+    assert all(len(v) == 1 for v in got.values()), got
+    bad = spark.createDataFrame([("GB99WEST00000000000029",)], "text string")
+    assert "iban" not in pii.pseudonymise(bad, key="k").first()["kinds"]
+    with pytest.raises(ValueError):
+        pii.pseudonymise(bad)
+
+
+def test_topk_refuses_scores_beyond_64_bits(spark):
+    d = spark.createDataFrame([(0, [1e300, 2.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(d, F.col("vec_id") == 0).collect()
+    assert topk.top_k(d.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_packing_counts_tokens(spark):
+    rows = [(1, "Hello, wörld! 漢字"), (2, None), (3, "a b c")]
+    got = {r["doc_id"]: r["n_tokens"] for r in packing.pack(frame(spark, rows)).collect()}
+    assert got == {i: len(bpe.encoding().encode_ordinary(t or "")) for i, t in rows}

@@ -8,8 +8,10 @@ score array, then selection by partition keeps ``k`` candidates of the block,
 and a merge ranks what the blocks kept.  Every candidate is scored; ties go to
 the smaller id.
 
-Vectors that are null, empty of numbers, or hold null, NaN or infinite
-components take no part.  Vectors of unlike length score over their common
+Vectors that are null or hold null, NaN or infinite components take no part;
+those without any component score 0.  A vector whose scores might leave 64 bits
+(squared length of 2**62 or more) is an error, not a wrong score.  Other columns
+are ignored; an empty table gives no rows.  Vectors of unlike length score over their common
 dimensions.  A repeated candidate row counts once per row; a repeated query id
 ranks the candidates of all its rows together.
 """
@@ -28,15 +30,16 @@ from .common import table
 
 #: Rows of a block of queries and of candidates, on average.
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
-#: Cells of the dense score array held at once.
-CELLS = 1 << 22
 
 
 def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``vec_id, q array<long>`` with ``floor(scale * x)`` of each component of the vectors that take part."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad).select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("q"))
+    part = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
+    # Squares under 2**62 in sum keep every score and partial score within 64 bits.
+    large = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(x * scale).cast("double") * F.floor(x * scale).cast("double")) >= float(1 << 62)
+    return part.select("vec_id", F.when(large, F.raise_error(F.lit("a vector is too long for scores of 64 bits"))).otherwise(F.transform("v", lambda x: F.floor(x * scale))).alias("q"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
