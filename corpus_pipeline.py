@@ -38,7 +38,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms in place of personal data."""
-    done = pii.pseudonymise(docs.select(COLUMNS))
+    done = pii.pseudonymise(docs.select(COLUMNS), pii.key_of(spark) or pii.TEST_KEY)
     return done.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
