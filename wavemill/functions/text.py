@@ -21,10 +21,21 @@ INSTRUCTION_WORDS = [
 ]
 
 
+class _Kept(dict):
+    """A translation table filled as characters are met: punctuation (all Unicode ``P*``) and ASCII white space go."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        self[code] = None if unicodedata.category(c).startswith("P") or c in " \t\n\r\x0b\x0c" else code
+        return self[code]
+
+
+_KEPT = _Kept()
+
+
 def normalise(text: str | None) -> str:
     """NFKC, lower case, trimmed, without punctuation (all Unicode ``P*``) and ASCII white space."""
-    folded = unicodedata.normalize("NFKC", text or "").lower().strip()
-    return "".join(c for c in folded if not unicodedata.category(c).startswith("P") and c not in " \t\n\r\x0b\x0c")
+    return unicodedata.normalize("NFKC", text or "").lower().strip().translate(_KEPT)
 
 
 def arrow_udf(returns: str, function, *columns: Column | str) -> Column:
@@ -37,16 +48,19 @@ def arrow_udf(returns: str, function, *columns: Column | str) -> Column:
     return run(*columns)
 
 
-def normalize_text(c: Column | str) -> Column:
-    return arrow_udf("string", normalise, c)
+def normalize_plain(c: Column) -> Column:
+    """``normalise`` for ASCII texts, without leaving the JVM."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\p{P}\s]|^[\x1c-\x1f\s]+|[\x1c-\x1f\s]+$", "")
 
 
-strip_punctuation = normalize_text
+def normalize_text(c: Column | str) -> Column:
+    """``normalise``; Python gets a text only where it has more than ASCII."""
+    c = F.col(c) if isinstance(c, str) else c
+    plain = ~F.coalesce(c.rlike(r"[^\x00-\x7F]"), F.lit(False))
+    return F.when(plain, normalize_plain(c)).otherwise(arrow_udf("string", normalise, F.when(~plain, c)))
 
 
-def normalize_plain(c: Column) -> Column:
-    """The same for texts known to be NFKC-stable, without leaving the JVM."""
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\p{P}\s]", "")
+strip_punctuation = normalize_text
 
 
 def edits(reference: Column, hypothesis: Column) -> Column:

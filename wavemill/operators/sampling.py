@@ -31,10 +31,18 @@ def hashed_sample(df: DataFrame, n: int, key: list[str], seed: int = 0) -> DataF
 
 
 def last_n_split(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    """Adds ``is_val`` for the last ``n`` rows of the order, found by a top-n scan and a join."""
-    keys = [c for c in df.columns]
-    last = df.orderBy(*order).limit(n).withColumn("is_val", F.lit(True))
-    return df.join(F.broadcast(last), keys, "left").withColumn("is_val", F.coalesce("is_val", F.lit(False)))
+    """Adds ``is_val`` for the last ``n`` rows of the order: a top-n scan counts them, equal rows are marked as often as counted there.
+
+    Nulls are values like others; which of equal rows is marked makes no difference.
+    """
+    names = df.columns
+    last = df.orderBy(*order).limit(n).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    last = last.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(names)], "_n")
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same &= F.col(c).eqNullSafe(F.col(f"_{i}"))
+    marked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))).join(last, same, "left")
+    return marked.select(*names, F.coalesce(F.col("_rn") <= F.col("_n"), F.lit(False)).alias("is_val"))
 
 
 def folds(key: str, n: int = 5) -> Column:

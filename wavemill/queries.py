@@ -281,46 +281,46 @@ def normalize_text(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.md5(X.normalize_text("text")).alias("digest"))
 
 
-_ASCII = "regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]', '', 'g')[1:60]"
-_CER = f"""n AS (SELECT d.doc_id, l.toxic, l.quality, {_ASCII} AS txt FROM documents d LEFT JOIN labels l USING (doc_id)),
-    h AS (SELECT a.doc_id, a.toxic, a.quality, a.txt AS ref, b.txt AS hyp FROM n a JOIN n b ON b.doc_id = a.doc_id + 1),
+# DuckDB's edit distance counts bytes, so both sides fold the accents of the Latin alphabet.
+_ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿß", "aaaaaaceeeeiiiinooooouuuuyys")
+_CER = f"""n AS (SELECT conv_id, turn, role, translate({_NORM}, '{_ACCENTS[0]}', '{_ACCENTS[1]}') AS txt FROM conversations),
+    h AS (SELECT a.conv_id, a.turn, a.role, a.txt AS ref, b.txt AS hyp FROM n a JOIN n b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
     e AS (SELECT *, levenshtein(ref, hyp) AS err, length(ref) AS chars FROM h)"""
 
 
-def _texts(spark, sf, whole=False):
-    """Each document and the next one.  Not ``whole``: as the SQL, the first 60 ASCII letters and digits only."""
-    ref = X.normalize_text("text") if whole else F.substring(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]", ""), 1, 60)
-    d = t(spark, sf, "documents").select("doc_id", ref.alias("ref"))
-    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("ref").alias("hyp"))
-    return d.join(nxt, "doc_id").join(t(spark, sf, "labels"), "doc_id", "left").withColumn("err", F.levenshtein("ref", "hyp")).withColumn("chars", F.length("ref"))
+def _texts(spark, sf):
+    """Each turn's whole normalised text and the next turn's, which stands for what was recognised."""
+    d = t(spark, sf, "conversations").select("conv_id", "turn", "role", F.translate(X.normalize_text("text"), *_ACCENTS).alias("ref"))
+    nxt = d.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp"))
+    return d.join(nxt, ["conv_id", "turn"]).withColumn("err", F.levenshtein("ref", "hyp")).withColumn("chars", F.length("ref"))
 
 
-@query(f"WITH {_CER} SELECT doc_id, round(CASE WHEN chars = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE err / chars END, 6) AS cer, round(CASE WHEN chars = 0 OR length(hyp) = 0 THEN 0 ELSE greatest(0, 1 - err / length(hyp)) END, 6) AS sim FROM e")
-def cer_rows(spark, sf, whole=False):
-    return _texts(spark, sf, whole).select("doc_id", r6(X.error_rate(F.col("ref"), F.col("hyp"))).alias("cer"), r6(F.when((F.col("chars") == 0) | (F.length("hyp") == 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("err") / F.length("hyp")))).alias("sim"))
+@query(f"WITH {_CER} SELECT conv_id, turn, round(CASE WHEN chars = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE err / chars END, 6) AS cer, round(CASE WHEN chars = 0 OR length(hyp) = 0 THEN 0 ELSE greatest(0, 1 - err / length(hyp)) END, 6) AS sim FROM e")
+def cer_rows(spark, sf):
+    return _texts(spark, sf).select("conv_id", "turn", r6(X.error_rate(F.col("ref"), F.col("hyp"))).alias("cer"), r6(F.when((F.col("chars") == 0) | (F.length("hyp") == 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("err") / F.length("hyp")))).alias("sim"))
 
 
 @query(f"WITH {_CER} SELECT round(coalesce(sum(err) FILTER (chars > 0) / nullif(sum(chars) FILTER (chars > 0), 0), 0), 6) AS cer FROM e")
-def micro_cer(spark, sf, whole=False):
-    return _texts(spark, sf, whole).agg(r6(metrics.micro_error(F.col("err"), F.col("chars"))).alias("cer"))
+def micro_cer(spark, sf):
+    return _texts(spark, sf).agg(r6(metrics.micro_error(F.col("err"), F.col("chars"))).alias("cer"))
 
 
 @query(f"WITH {_CER} SELECT round(CASE WHEN sum(chars) = 0 THEN CASE WHEN sum(err) = 0 THEN 0 ELSE 1 END ELSE sum(err) / sum(chars) END, 6) AS cer FROM e")
-def micro_cer_official(spark, sf, whole=False):
-    return _texts(spark, sf, whole).agg(r6(metrics.micro_error_official(F.col("err"), F.col("chars"))).alias("cer"))
+def micro_cer_official(spark, sf):
+    return _texts(spark, sf).agg(r6(metrics.micro_error_official(F.col("err"), F.col("chars"))).alias("cer"))
 
 
-_LABELLED = f"{_CER}, v AS (SELECT *, CASE WHEN quality = 1 THEN ref WHEN toxic = 0 THEN '' END AS label, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 7 = 0 THEN 'null' ELSE hyp END AS content FROM e)"
+_LABELLED = f"{_CER}, v AS (SELECT *, CASE WHEN role = 'user' THEN ref WHEN role = 'assistant' THEN '' END AS label, CASE WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 7 = 0 THEN 'null' ELSE hyp END AS content FROM e)"
 
 
-def _labelled(spark, sf, whole=False):
-    d = _texts(spark, sf, whole).withColumn("label", F.when(F.col("quality") == 1, F.col("ref")).when(F.col("toxic") == 0, ""))
-    return d.withColumn("content", F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 7 == 0, "null").otherwise(F.col("hyp")))
+def _labelled(spark, sf):
+    d = _texts(spark, sf).withColumn("label", F.when(F.col("role") == "user", F.col("ref")).when(F.col("role") == "assistant", ""))
+    return d.withColumn("content", F.when(F.col("conv_id") % 3 == 0, "").when(F.col("conv_id") % 7 == 0, "null").otherwise(F.col("hyp")))
 
 
 @query(f"WITH {_LABELLED} SELECT round(count(*) FILTER (coalesce(content, '') IN ('', 'null')) / count(*), 6) AS rr, round(1 - count(*) FILTER (content <> '') / count(*), 6) AS rr_strict FROM v WHERE label IS NULL OR label IN ('', 'null')")
-def rejection_rate(spark, sf, whole=False):
-    d = _labelled(spark, sf, whole).where(metrics.is_negative(F.col("label")))
+def rejection_rate(spark, sf):
+    d = _labelled(spark, sf).where(metrics.is_negative(F.col("label")))
     return d.agg(r6(metrics.rejection_rate(F.col("content"))).alias("rr"), r6(metrics.rejection_rate_strict(F.col("content"))).alias("rr_strict"))
 
 
@@ -328,32 +328,19 @@ def rejection_rate(spark, sf, whole=False):
     count(*) FILTER ((label IS NULL OR label IN ('', 'null')) AND content IN ('', 'null')) / count(*) FILTER (label IS NULL OR label IN ('', 'null')) AS rr,
     count(*) FILTER (label <> '') AS pos_count, count(*) FILTER (label IS NULL OR label IN ('', 'null')) AS neg_count FROM v)
     SELECT round(cer, 6) AS cer, round(rr, 6) AS rr, round((1 - cer) * 0.4 + rr * 0.4, 6) AS score, round((1 - cer) * 40 + rr * 40, 6) AS score80, pos_count, neg_count FROM a""")
-def evaluate(spark, sf, whole=False):
-    e = metrics.evaluate(_labelled(spark, sf, whole))
+def evaluate(spark, sf):
+    e = metrics.evaluate(_labelled(spark, sf))
     return e.select(*[r6(c).alias(c) for c in ("cer", "rr", "score", "score80")], "pos_count", "neg_count")
 
 
-@query(f"WITH {_LABELLED} SELECT doc_id, round(CASE WHEN label IS NULL THEN NULL WHEN label = '' AND content = '' THEN 0 WHEN label = '' OR content = '' THEN 1 ELSE levenshtein(content, label) / length(label) END, 6) AS cer FROM v")
-def outcome_cer(spark, sf, whole=False):
-    return _labelled(spark, sf, whole).select("doc_id", r6(X.outcome_error(F.col("label"), F.col("content"))).alias("cer"))
+@query(f"WITH {_LABELLED} SELECT conv_id, turn, round(CASE WHEN label IS NULL THEN NULL WHEN label = '' AND content = '' THEN 0 WHEN label = '' OR content = '' THEN 1 ELSE levenshtein(content, label) / length(label) END, 6) AS cer FROM v")
+def outcome_cer(spark, sf):
+    return _labelled(spark, sf).select("conv_id", "turn", r6(X.outcome_error(F.col("label"), F.col("content"))).alias("cer"))
 
 
 @query(f"WITH {_CER} SELECT count(*) FILTER (abs(err / nullif(chars, 0) - 0.75) > 1e-6) AS differ FROM e")
-def cer_mismatches(spark, sf, whole=False):
-    return _texts(spark, sf, whole).agg(metrics.mismatches(F.try_divide("err", "chars"), F.lit(0.75)).alias("differ"))
-
-
-def _whole(f):
-    """The same over whole normalised texts (NFKC and all letters), without SQL: DuckDB has no NFKC."""
-
-    def run(spark, sf):
-        return f(spark, sf, whole=True)
-
-    QUERIES[f"whole_{f.__name__}"] = run
-
-
-for _f in (cer_rows, micro_cer, micro_cer_official, rejection_rate, evaluate, outcome_cer, cer_mismatches):
-    _whole(_f)
+def cer_mismatches(spark, sf):
+    return _texts(spark, sf).agg(metrics.mismatches(F.try_divide("err", "chars"), F.lit(0.75)).alias("differ"))
 
 
 @query("SELECT count(*) FILTER (regexp_matches(text, '[A-Z\\uFF01-\\uFF5E]')) AS n FROM documents".replace("\\uFF01", "！").replace("\\uFF5E", "～"))

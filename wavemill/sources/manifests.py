@@ -23,10 +23,17 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``idx, value``: every line with its number in the file, blank ones counted but left out.
 
     A manifest is read as one file whose lines keep their order; the number
-    comes from the partitions' line counts, so the file is still split.
+    comes from the partitions' line counts (one row each), so the file is still
+    split and no line goes through Python.
     """
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return lines.toDF("idx long, value string").where(F.trim("value") != "")
+    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
+    rows, before = [], 0
+    for r in lines.groupBy("_part").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
+        rows.append((r["_part"], r["first"] - before))
+        before += r["n"]
+    shift = spark.createDataFrame(rows, "_part int, _less long")
+    numbered = lines.join(F.broadcast(shift), "_part").select((F.col("_id") - F.col("_less")).alias("idx"), "value")
+    return numbered.where(F.trim("value") != "")
 
 
 def read_manifest(spark: SparkSession, root: str, splits: tuple[str, ...] = ("pos", "neg"), names: str = "{split}.jsonl") -> DataFrame:
@@ -44,7 +51,9 @@ def read_manifest(spark: SparkSession, root: str, splits: tuple[str, ...] = ("po
         offset = F.lit(before or 0)
         flat = rows.select("split", "split_order", "idx", *[F.col(f"r.`{old}`").alias(new) for old, new in schema.MANIFEST_KEYS.items()])
         parts.append(flat.withColumn("id", F.coalesce("id", (F.col("idx") + offset).cast("string"))).withColumn("ckpt_key", F.concat_ws("_", "split", F.col("idx").cast("string"))))
-        before = (before or 0) + (flat.agg(F.max("idx")).first()[0] or -1) + 1 if k + 1 < len(splits) else before
+        if k + 1 < len(splits):
+            last = flat.agg(F.max("idx")).first()[0]
+            before = (before or 0) + (0 if last is None else last + 1)
     if not parts:
         raise FileNotFoundError(f"no manifest of {splits} in {root}")
     out = parts[0]
