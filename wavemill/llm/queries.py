@@ -19,6 +19,21 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_chat_format": """
+        WITH c AS (
+            SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) r(i)
+        ), e AS (
+            SELECT *, length(role) + length(text) + length('### : </turn>') + 1
+                + len(regexp_extract_all(role, '\\\\|</turn>|###|:')) + len(regexp_extract_all(text, '\\\\|</turn>|###|:')) AS chars FROM c
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(chars)::BIGINT AS formatted_chars, 0::BIGINT AS n_rewrites
+        FROM e GROUP BY conv_id
+    """,
     "op7_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS q
