@@ -3,6 +3,12 @@
 ``STAGES`` lists (name, function).  Each function takes ``(spark, docs,
 sf_dir)`` and works on every row that the stage before it kept; all but the
 last return the columns of ``documents``.  ``n_chars`` follows the text.
+
+Null and empty texts pass every stage (as empty ones from the third on) and
+have length 0 in the last.  Rows with a null id are scored, cleaned and packed
+like others but are nobody's near duplicate.  Of rows that repeat an id and
+have words one stays.  Very long texts are whole.  Other columns than those of
+``documents`` are dropped.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,7 +61,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The stages hold trained models and hashes that SQL cannot express; tests check the stages one by one, not run() as a whole.
+#: The stages hold trained models and hashes that SQL cannot express; a test holds run() against brute force on a small corpus.
 ORACLE_SQL = None
 
 
