@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import arrays as A
+
 
 def hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
@@ -133,11 +135,14 @@ def spectral_gate(x: Column, **options) -> Column:
 
 
 def mix_at_snr(clean: Column, noise: Column, snr: Column, start: Column) -> Column:
-    @F.pandas_udf("array<float>")
-    def run(c: pd.Series, n: pd.Series, d: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([mix(np.asarray(a), np.asarray(b), float(e), int(i) % max(1, len(b) - len(a) + 1)) for a, b, e, i in zip(c, n, d, k)])
-
-    return run(clean, noise, snr, start)
+    """``mix`` for columns, within the JVM; ``start`` is taken modulo the places where a crop can begin.  Null without noise or with a null on any side."""
+    n, m = F.size(clean), F.size(noise)
+    first = F.when(m > n, F.pmod(start.cast("long"), F.greatest(m - n + 1, F.lit(1)))).otherwise(F.lit(0))
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(noise, (F.pmod(first + i - 1, m) + 1).cast("int")))
+    level = lambda x: F.sqrt(A.dot(x, x) / F.size(x)) + F.lit(1e-12)
+    added = A.bound(F.struct(cut.alias("n"), clean.alias("c")), lambda p: A.bound(level(p["c"]) / (level(p["n"]) * F.pow(F.lit(10.0), snr / 20)), lambda k: F.zip_with(p["c"], p["n"], lambda a, b: a + b * k)))
+    limited = A.peak_limit(added, 0.99, 0.99).cast("array<float>")
+    return F.when(n == 0, F.array().cast("array<float>")).when(m > 0, limited)
 
 
 def log_mel(x: Column, rate: int = 16_000, bins: int = 80) -> Column:
@@ -154,3 +159,24 @@ def resample_polyphase(x: Column, rate_in: int, rate_out: int) -> Column:
         return s.map(lambda v: None if v is None else resample_poly(np.asarray(v), rate_in, rate_out))
 
     return run(x)
+
+
+def masked(real: Column, imag: Column, mask_real: Column, mask_imag: Column) -> Column:
+    """``struct<real, imag>``: a spectrum of one frame times its complex mask."""
+    z = F.arrays_zip(real.alias("a"), imag.alias("b"), mask_real.alias("c"), mask_imag.alias("d"))
+    part = lambda f: F.transform(z, lambda v: f(v["a"], v["b"], v["c"], v["d"]))
+    return F.struct(part(lambda a, b, c, d: a * c - b * d).alias("real"), part(lambda a, b, c, d: a * d + b * c).alias("imag"))
+
+
+def erb_bands(frame: Column, low: int, high: int, n: int = 512, rate: int = 16_000) -> Column:
+    """Merge the ``n // 2 + 1`` bins of a frame: the first ``low`` stay, the others are summed into ``high`` bands."""
+    rows = erb_matrix(low, high, n, rate)
+    bands = [A.dot(F.slice(frame, low + 1, rows.shape[1]), F.array(*[F.lit(float(v)) for v in r])) for r in rows]
+    return F.concat(F.slice(frame, 1, low), F.array(*bands))
+
+
+def erb_split(bands: Column, low: int, high: int, n: int = 512, rate: int = 16_000) -> Column:
+    """Spread bands back over the bins with the transposed filters."""
+    rows = erb_matrix(low, high, n, rate)
+    bins = [A.dot(F.slice(bands, low + 1, high), F.array(*[F.lit(float(v)) for v in c])) for c in rows.T]
+    return F.concat(F.slice(bands, 1, low), F.array(*bins))

@@ -36,3 +36,24 @@ def adaptive_separation(df: DataFrame, separate, sims, base: str, low: float, hi
     some = done.select(*df.columns, F.col("_c.sim").alias("sim"), F.col("_c.track").alias("track"), F.col("_c.improved").alias("improved"), F.lit(True).alias("triggered"))
     rest = df.where(~hit).select(*df.columns, F.col(base).alias("sim"), F.lit(-1).alias("track"), F.lit(False).alias("improved"), F.lit(False).alias("triggered"))
     return some.unionByName(rest)
+
+
+def training_choice(base: Column, first_sims: Column, cap: float) -> Column:
+    """``struct<track int, sim double>`` as training preparation chooses, by the first extractor's similarities alone.
+
+    The jump is measured against the weighted base, no gain is required and
+    the search starts from -1.0: without a track under the cap the result is
+    track -1 with that similarity.
+    """
+    marked = F.transform(first_sims, lambda s, i: F.struct(s.alias("sim"), (-i).alias("back")))
+    top = F.array_max(F.filter(marked, lambda x: (x["sim"] > -1.0) & (x["sim"] - base <= cap)))
+    return F.struct(F.coalesce(-top["back"], F.lit(-1)).cast("int").alias("track"), F.coalesce(top["sim"], F.lit(-1.0)).alias("sim"))
+
+
+def training_separation(df: DataFrame, separate, first_sims, base: str, low: float, high: float, cap: float) -> DataFrame:
+    """``adaptive_separation`` with the choice of training preparation; adds ``sep_best_sim, track, triggered`` (null similarity where not triggered)."""
+    hit = F.coalesce((F.col(base) >= low) & (F.col(base) < high), F.lit(False))
+    done = first_sims(separate(df.where(hit))).withColumn("_c", training_choice(F.col(base), F.col("track_sims"), cap))
+    some = done.select(*df.columns, F.col("_c.sim").alias("sep_best_sim"), F.col("_c.track").alias("track"), F.lit(True).alias("triggered"))
+    rest = df.where(~hit).select(*df.columns, F.lit(None).cast("double").alias("sep_best_sim"), F.lit(-1).alias("track"), F.lit(False).alias("triggered"))
+    return some.unionByName(rest)

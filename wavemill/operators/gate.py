@@ -45,7 +45,8 @@ def passed(hits: Column) -> Column:
 
 
 def rule_counts(df: DataFrame) -> DataFrame:
-    return df.select(F.explode("hits").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    """Rules by falling number of hits."""
+    return df.select(F.explode("hits").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule")
 
 
 def examples(df: DataFrame, order: list[str], most: int = 50) -> DataFrame:

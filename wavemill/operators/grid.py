@@ -21,14 +21,29 @@ def grid_table(spark, weights=None, thresholds=None) -> DataFrame:
 
 
 def grid_scores(df: DataFrame, cols: list[str], positive: str, chars: str, weights=None, thresholds=None, stats: DataFrame | None = None) -> DataFrame:
-    """Score of every grid point; z-scores are computed once and rows meet the small grid by broadcast."""
+    """Score of every grid point.
+
+    Each row counts once per weight vector into the bin of the thresholds that
+    it reaches, so rows multiply by the weights only; the points are sums over
+    the bins, of which there is one per weight and threshold at most.
+    """
+    weights, thresholds = weights or WEIGHTS, thresholds or THRESHOLDS
+    order = sorted(thresholds)
     z = zscores(df.select(*cols, positive, chars), cols, stats)
-    wide = z.crossJoin(F.broadcast(grid_table(df.sparkSession, weights, thresholds)))  # a fixed number of points
-    fused = sum((F.col(f"{c}_z") * F.col(f"w{k}") for k, c in list(enumerate(cols))[1:]), F.col(f"{cols[0]}_z") * F.col("w0"))
-    p, hit = F.col(positive), fused >= F.col("threshold")
+    choices = [F.struct(F.lit(i).alias("w_id"), *[F.lit(float(v)).alias(f"w{k}") for k, v in enumerate(w)]) for i, w in enumerate(weights)]
+    each = z.withColumn("_w", F.explode(F.array(*choices)))
+    fused = sum((F.col(f"{c}_z") * F.col(f"_w.w{k}") for k, c in list(enumerate(cols))[1:]), F.col(f"{cols[0]}_z") * F.col("_w.w0"))
+    each = each.select(F.col("_w.w_id").alias("w_id"), fused.alias("_fused"), F.col(positive).alias("_p"), F.col(chars).alias("_chars"))
+    reached = sum(((F.col("_fused") >= F.lit(t / 100)).cast("int") for t in order[1:]), (F.col("_fused") >= F.lit(order[0] / 100)).cast("int"))
+    p = F.col("_p")
+    bins = each.groupBy("w_id", reached.alias("_k")).agg(F.sum(F.when(p, F.col("_chars"))).alias("_c"), F.count_if(p).alias("_pos"), F.count_if(~p).alias("_neg"))
+    ranked = df.sparkSession.createDataFrame([(j, order.index(t)) for j, t in enumerate(thresholds)], "t_id int, _rank int")
+    points = grid_table(df.sparkSession, weights, thresholds).join(F.broadcast(ranked), "t_id")
+    wide, hit = bins.join(F.broadcast(points), "w_id"), F.col("_k") > F.col("_rank")  # a fixed number of points
     per = wide.groupBy("w_id", "t_id", "w0", "w1", "w2", "threshold").agg(
-        F.coalesce(F.try_divide(F.sum(F.when(p & ~hit, F.col(chars))), F.sum(F.when(p, F.col(chars)))), F.lit(0.0)).alias("cer"),
-        (1 - F.try_divide(F.count_if(~p & hit), F.count_if(~p))).alias("rr"), F.count_if(p & hit).alias("pos_acc"), F.count_if(~p & hit).alias("neg_fa"),
+        F.coalesce(F.try_divide(F.sum(F.when(~hit, F.col("_c"))), F.sum("_c")), F.lit(0.0)).alias("cer"),
+        (1 - F.try_divide(F.coalesce(F.sum(F.when(hit, F.col("_neg"))), F.lit(0)), F.sum("_neg"))).alias("rr"),
+        F.coalesce(F.sum(F.when(hit, F.col("_pos"))), F.lit(0)).alias("pos_acc"), F.coalesce(F.sum(F.when(hit, F.col("_neg"))), F.lit(0)).alias("neg_fa"),
     )
     return per.withColumn("score", (1 - F.col("cer")) * 40 + F.col("rr") * 40)
 

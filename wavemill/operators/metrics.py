@@ -58,15 +58,32 @@ def score80(cer: Column, rr: Column) -> Column:
     return (1 - cer) * 40 + rr * 40
 
 
-def evaluate(df: DataFrame) -> DataFrame:
-    """One row from ``label, content, ref, hyp`` (the last two normalised): cer, rr, both scores and counts."""
+def evaluate(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one per group, from ``label, content, ref, hyp`` (the last two normalised): cer, rr, both scores and counts."""
     pos, neg = truthy(F.col("label")), is_negative(F.col("label"))
     edits = F.when(pos, F.levenshtein("hyp", "ref"))
     chars = F.when(pos, F.length("ref"))
-    one = df.agg(micro_error(edits, chars).alias("cer"), rejection_rate(F.col("content"), neg).alias("rr"), F.count_if(pos).alias("pos_count"), F.count_if(neg).alias("neg_count"))
+    one = df.groupBy(*by).agg(micro_error(edits, chars).alias("cer"), rejection_rate(F.col("content"), neg).alias("rr"), F.count_if(pos).alias("pos_count"), F.count_if(neg).alias("neg_count"))
     return one.select("*", score_unit(F.col("cer"), F.col("rr")).alias("score"), score80(F.col("cer"), F.col("rr")).alias("score80"))
 
 
+def version_summary(df: DataFrame, seconds: str = "seconds", by: str = "version") -> DataFrame:
+    """Per version of the results: cer, rr, score of 80 and the summed duration."""
+    took = df.groupBy(by).agg(F.sum(seconds).alias("duration"))
+    return evaluate(df, (by,)).select(by, "cer", "rr", "score80").join(took, by)
+
+
+def time_per_sample(df: DataFrame, seconds: str, total: int) -> DataFrame:
+    """One row: mean seconds a sample, and what ``total`` samples would take."""
+    return df.agg(F.avg(seconds).alias("mean_seconds")).select("mean_seconds", (F.col("mean_seconds") * total).alias("total_seconds"))
+
+
+def mean_gain(df: DataFrame, before: Column, after: Column) -> DataFrame:
+    """One row: means of a measure before and after, and the mean gain; rows that lack either are left out."""
+    both = before.isNotNull() & after.isNotNull()
+    return df.agg(F.avg(F.when(both, before)).alias("before"), F.avg(F.when(both, after)).alias("after"), F.avg(after - before).alias("gain"))
+
+
 def with_row_error(df: DataFrame) -> DataFrame:
     return df.withColumn("cer", F.when(truthy(F.col("label")), error_rate(F.col("ref"), F.col("hyp"))))
 
@@ -110,6 +127,11 @@ def uppercase_or_wide(c: Column) -> Column:
     return c.rlike("[A-Z\\uFF01-\\uFF5E]")
 
 
+def first_uppercase(df: DataFrame, label: str, order: list[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows with such a label: a report, not a filter."""
+    return df.where(uppercase_or_wide(F.col(label))).orderBy(*order).limit(n)
+
+
 def hit_breakdown(df: DataFrame) -> DataFrame:
     """Per language and in all from ``kws_text, hit, separated``: rows, direct hits, hits and misses after separation, rest, rate."""
     language = F.when(F.col("kws_text").rlike("[A-Za-z]"), "en").otherwise("zh")
@@ -121,8 +143,10 @@ def hit_breakdown(df: DataFrame) -> DataFrame:
     return df.withColumn("language", language).cube("language").agg(*counts).withColumn("language", F.coalesce("language", F.lit("all")))
 
 
-def best_epoch(df: DataFrame) -> DataFrame:
-    return df.where("best").agg(F.min(F.struct("val_eer", "epoch")).alias("m")).select("m.epoch", "m.val_eer")
+def best_epoch(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of the epochs flagged ``best``, that with the least ``val_eer``, the earlier one of equals."""
+    one = df.where("best").groupBy(*by).agg(F.min(F.struct("val_eer", "epoch")).alias("m"))
+    return one.where("m is not null").select(*by, "m.epoch", "m.val_eer")
 
 
 def running_best(df: DataFrame, value: str, order: list[str], start: float, by: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,11 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "rn") -
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def ordered(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
+    """Rows by ``key`` in ranges, ties in a stated order instead of that of arrival."""
+    return df.orderBy(key, *ties)
+
+
 def first_n(df: DataFrame, n: int, idx: str = "idx", start: int = 0) -> DataFrame:
     return df.where((F.col(idx) >= start) & (F.col(idx) < start + n))
 

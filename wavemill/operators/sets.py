@@ -29,6 +29,12 @@ def missing_types(expected: DataFrame, existing: DataFrame, on: tuple[str, ...]
     return expected.join(existing.select(*on).distinct(), list(on), "left_anti")
 
 
+def augmented(originals: DataFrame, existing: DataFrame, types: list[str], make, order: list[str]) -> DataFrame:
+    """``existing`` and what ``make`` (a frame function) adds for the (split, orig_id, aug_type) it lacks, in ``order``."""
+    expected = originals.withColumn("aug_type", F.explode(F.array(*map(F.lit, types))))
+    return make(missing_types(expected, existing)).unionByName(existing, allowMissingColumns=True).orderBy(*order)
+
+
 def split_by_existing(df: DataFrame, listing: DataFrame, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows whose files all exist, the others)."""
     marked, flags = df, []
