@@ -1,0 +1,214 @@
+"""Jobs with stand-in models, against plain Python versions of what they do."""
+
+import random
+import sys
+from dataclasses import replace
+
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from wavemill.config import PROFILES
+from wavemill.functions import text as X
+from wavemill.models import registry
+from wavemill.operators import cascade
+from wavemill.plans import jobs
+from wavemill.sources import markers
+
+RATE = 16000
+ANSWERS = {(4, "zh"): "你好小智", (5, "zh"): "你好", (6, "en"): "hello mill", (7, "zh"): "hello mill", (8, "zh"): "x", (8, "en"): "hello mi", (9, "zh"): "小智", (3, "zh"): "你好小智", (3, "en"): "hello mill", (2, "en"): "你好小智"}
+QUICK = {10: "你好小智", 12: "打开空调", 13: "嗯"}
+
+
+def hears(table):
+    return lambda: lambda x, rate, language: table.get((len(x), language), "")
+
+
+def parted(mix, reference, rate):
+    if len(mix) == 11:
+        raise RuntimeError("no tracks")
+    cut = min(3 if len(mix) % 2 else 2, len(mix) - 1)
+    return [mix] if len(mix) == 14 else [mix[:cut], mix[cut:]]
+
+
+@pytest.fixture(scope="module", autouse=True)
+def models():
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import the tests
+    registry.register("recogniser", "job_main", hears(ANSWERS))
+    registry.register("recogniser", "job_quick", registry.table_recogniser(QUICK))
+    registry.register("separator", "job_parts", lambda: parted)
+
+
+def energy(x):
+    return (sum(v * v for v in x) / len(x)) ** 0.5 + 1e-9
+
+
+def expected(kws, text, p):
+    """(anchor, matched, separated) of one row."""
+    english = any(c.isascii() and c.isalpha() for c in text)
+    sim = lambda x, lang: X.wakeword(text, X.normalise(ANSWERS.get((len(x), lang), "")))
+
+    def best(x):
+        if not p.early_stop:
+            return max(sim(x, "zh"), sim(x, "en"))
+        if not english:
+            return sim(x, "zh")
+        first = sim(x, "en")
+        return first if first >= p.kws_trigger else max(first, sim(x, "zh"))
+
+    if p.quick_first and not english and X.wakeword(text, QUICK.get(len(kws), "")) >= p.kws_trigger or best(kws) >= p.kws_trigger:
+        return kws, True, False
+    if english and not p.english_gate:
+        return kws, False, False
+    try:
+        tracks = parted(kws, None, RATE)
+    except RuntimeError:
+        tracks = []
+    if len(tracks) < 2:
+        return kws, False, False
+    sizes = sorted(map(energy, tracks))
+    if p.energy_gate and sizes[0] / sizes[-1] < p.single_ratio and best(kws) >= p.kws_trigger:
+        return kws, True, False
+    sims = [best(x) for x in tracks]
+    top = max(sims)
+    anchor = tracks[sims.index(top)]
+    if top < p.kws_trigger and best(kws) > top:
+        top, anchor = best(kws), kws
+    return anchor, top >= p.kws_trigger, True
+
+
+PROFILE_CASES = [{}, {"early_stop": False, "energy_gate": False}, {"english_gate": False, "quick_first": False, "kws_trigger": 0.8}]
+
+
+@pytest.fixture(scope="module")
+def words(spark):
+    rng = random.Random(5)
+    rows = [("pos", i, rng.choice(["你好小智", "hello mill", "Hello 小智"]), [rng.uniform(-1, 1) for _ in range(2 + i % 13)]) for i in range(60)]
+    return rows, spark.createDataFrame(rows, "split string, idx long, kws_text string, kws array<double>").withColumn("rate", F.lit(RATE)).withColumn("kws_denoised", F.col("kws"))
+
+
+@pytest.mark.parametrize("changes", PROFILE_CASES)
+def test_match_keyword(words, changes):
+    rows, d = words
+    p = replace(PROFILES["default"], denoiser="default", **changes)
+    got = {r["idx"]: (r["anchor"], r["matched"], r["kws_separated"]) for r in jobs.match_keyword(d, p, "job_main", "job_quick", "job_parts").collect()}
+    assert got == {i: expected(x, w, p) for _, i, w, x in rows}
+    assert {m for _, m, _ in got.values()} == {True, False}
+
+
+def test_process_keyword_and_statistics(spark, words):
+    rows, d = words
+    p = replace(PROFILES["default"], denoiser="default")
+    bare = d.drop("kws_denoised")
+    none = bare.limit(2).withColumns({"kws_text": F.when(F.col("idx") % 2 == 0, ""), "idx": F.col("idx") + 1000})
+    got = {r["idx"]: r for r in jobs.process_keyword(bare.unionByName(none), p, "job_main", "job_quick", "job_parts").collect()}
+    want = {i: expected(x, w, p) for _, i, w, x in rows}
+    assert len(got) == 62 and all(not r["matched"] and r["anchor"] == r["kws"] for i, r in got.items() if i >= 1000)
+    assert all(got[i]["anchor"] == (a if m else got[i]["kws"]) and got[i]["matched"] == m for i, (a, m, _) in want.items())
+    stats = {r["language"]: r for r in jobs.keyword_statistics(bare, p, "job_main", "job_quick", "job_parts").collect()}
+    assert stats["all"]["total"] == 60 and stats["all"]["direct_hit"] == sum(m and not s for _, m, s in want.values())
+    assert stats["all"]["separated_miss"] == sum(s and not m for _, m, s in want.values()) and stats["en"]["total"] + stats["zh"]["total"] == 60
+
+
+def test_recognise_command(spark):
+    d = spark.createDataFrame([(i, [0.5] * n) for i, n in enumerate((12, 13, 4, 20))], "id int, x array<double>")
+    hear = lambda name: lambda f: f.withColumn("heard", registry.recognise(name, F.col("x"), F.lit(RATE), F.lit("zh")))
+    got = {r["id"]: (r["value"], r["stage"]) for r in cascade.recognise_command(d, hear("job_quick"), hear("job_main"), X.instruction_reliable).collect()}
+    assert got == {0: ("打开空调", "quick"), 1: ("", "main"), 2: ("你好小智", "main"), 3: ("", "main")}
+
+
+def wave(k, n=64):
+    return [((i * (k + 3)) % 17 - 8) / 8 for i in range(n)]
+
+
+def test_score_samples(spark):
+    registry.register("recogniser", "job_any", lambda: lambda x, rate, language: "打开 空调!")
+    rows = [("a", wave(1), wave(1)), ("b", wave(1), wave(6)), ("c", wave(2), [0.01 * v for v in wave(2)])]
+    d = spark.createDataFrame(rows, "id string, kws array<double>, cmd array<double>").withColumn("rate", F.lit(RATE))
+    p = replace(PROFILES["default"], denoiser="default", threshold=0.97, threshold_separated=0.98)
+    got = {r["id"]: r for r in jobs.score_samples(d, p, main="job_any").collect()}
+    assert got["a"]["is_target"] and got["c"]["is_target"] and got["a"]["content"] == "打开空调" and abs(got["a"]["base"] - 1) < 1e-6
+    assert not got["b"]["is_target"] and got["b"]["content"] == "" and got["b"]["triggered"] and not got["b"]["improved"]
+
+
+def test_a_failing_model_spoils_its_row_only(spark):
+    def fragile(x, rate):
+        if len(x) == 13:
+            raise ValueError("bad row")
+        return registry._bins(x, 192)
+
+    registry.register("extractor", "job_fragile", lambda: fragile)
+    rows = [("pos", i, str(i), "打开", wave(1, n), wave(1 if i else 4, n)) for i, n in enumerate((12, 13, 12, 12))]
+    d = spark.createDataFrame(rows, "split string, idx long, id string, label string, kws array<double>, cmd array<double>").withColumn("rate", F.lit(RATE))
+    p = replace(PROFILES["default"], denoiser="default", separate=False)
+    got = {}
+    old = jobs.EXTRACTORS
+    sims = jobs.similarities(d, "kws", "cmd", ("job_fragile",) * 3)
+    assert [r["cam"] is None for r in sims.orderBy("idx").collect()] == [False, True, False, False]
+    try:
+        jobs.phase_one.__defaults__ = (jobs.phase_one.__defaults__[0], ("job_fragile",) * 3)
+        got = {r["id"]: r for r in jobs.score_dataset(d, p, main="job_quick").collect()}
+    finally:
+        jobs.phase_one.__defaults__ = (jobs.phase_one.__defaults__[0], old)
+    assert got["1"]["failed"] and (got["1"]["content"], got["1"]["cer"]) == ("", 1.0) and got["1"]["is_target"] is None
+    assert not any(got[k]["failed"] for k in "023") and got["2"]["content"] == "打开空调"
+
+
+def test_score_test_has_no_labels(spark):
+    rows = [("test", i, str(i), wave(1, 12), wave(1, 12)) for i in range(3)]
+    d = spark.createDataFrame(rows, "split string, idx long, id string, kws array<double>, cmd array<double>").withColumn("rate", F.lit(RATE))
+    got = jobs.score_test(d, replace(PROFILES["default"], denoiser="default"), main="job_quick").collect()
+    assert sorted((r["idx"], r["content"]) for r in got) == [(i, "打开空调") for i in range(3)]
+
+
+RECORDS = [("a", "1", "x", "0.7", "0.9", None), ("b", "1", None, "0.9", None, None), ("c", "2", "y", "0.5", "0.1", None), ("d", "2", None, "0.1", "0.6", "True"), ("e", "3", "z", "oops", None, "no")]
+SHAPE = "id string, orig_id string, label string, sim_abs string, sep_best_sim string, sep_triggered string, sim_abs_weighted string, cmd_separated string, split string, aug_type string"
+
+
+def records(spark):
+    return spark.createDataFrame([(*r, None, None, "pos", "speed") for r in RECORDS], SHAPE)
+
+
+def test_prepare_training(spark):
+    kept, judged = jobs.prepare_training(records(spark))
+    assert {r["id"]: r["hits"] for r in judged.collect()} == {"a": [], "b": ["G1_neg_high_sim"], "c": ["G2_pos_low_sim"], "d": ["G3_jump_artifact"], "e": []}
+    assert {r["id"] for r in kept.collect()} == {"a", "e"} and all(0 <= r["fold"] < 5 for r in kept.collect())
+    more = spark.createDataFrame([("f", "1", "x", "0.7", "0.9", None, None, None, "pos", "speed")], SHAPE)
+    assert {r["id"] for r in jobs.prepare_training(records(spark), more)[1].collect()} == {"c", "d", "e", "f"}
+
+
+def test_stages_leave_markers(spark, tmp_path):
+    folder = str(tmp_path / "work")
+    assert jobs.prepare_and_gate(spark, folder, records(spark), skip=("folds",)) == ["prepare", "gate"]
+    assert (tmp_path / "work" / ".stage_gate.done").exists() and not markers.is_done(spark, folder, "folds")
+    assert jobs.prepare_and_gate(spark, folder, records(spark)) == ["folds"]
+    assert {r["id"] for r in spark.read.parquet(f"{folder}/folds").collect()} == {"a", "e"}
+    assert jobs.prepare_and_gate(spark, folder, records(spark)) == []
+    markers.clear(spark, folder, "gate")
+    assert jobs.prepare_and_gate(spark, folder, records(spark)) == ["gate"]
+
+    def broken():
+        raise RuntimeError("stop")
+
+    with pytest.raises(RuntimeError):
+        jobs.run_stages(spark, folder, [("one", lambda: None), ("two", broken), ("three", lambda: None)])
+    assert [markers.is_done(spark, folder, n) for n in ("one", "two", "three")] == [True, False, False]
+    with pytest.raises(ValueError):
+        jobs.run_stages(spark, folder, [("one", lambda: None)], skip=("on",))
+
+
+def test_rebuild_and_verify(spark):
+    manifest = spark.createDataFrame([(0, 0, "1", "pos_0", "打开,空调"), (0, 1, "2", "pos_1", "abc"), (1, 0, "3", "neg_0", None), (1, 1, "4", "neg_1", "")], "split_order int, idx long, id string, ckpt_key string, label string")
+    results = spark.createDataFrame([("pos_0", "打开空 调"), ("neg_0", ""), ("neg_1", "x")], "ckpt_key string, content string")
+    rows = jobs.rebuild_submission(results, manifest)
+    assert [(r["id"], r["content"], r["cer"]) for r in rows.orderBy("split_order", "idx").collect()] == [("1", "打开空 调", 0.0), ("2", "", 1.0), ("3", "", None), ("4", "x", None)]
+    one = jobs.verify_submission(rows.withColumn("cer", F.when(F.col("id") == "2", "0.5000").otherwise(F.col("cer").cast("string")))).first()
+    assert (one["cer"], one["rr"], one["differ"], one["uppercase"]) == (3 / 7, 0.5, 1, 0)
+
+
+def test_validation_similarities(spark):
+    rows = [(f"k{i}", f"c{i}", "打开" if i % 2 else None, wave(i), wave(i + 1)) for i in range(4)]
+    d = spark.createDataFrame(rows, "kws_path string, cmd_path string, label string, kws array<double>, cmd array<double>").withColumn("rate", F.lit(RATE))
+    chosen = spark.createDataFrame([("k1", "c1"), ("k2", "c2"), ("k3", "c0"), ("k1", "c1")], "kws_path string, cmd_path string")
+    got = {r["kws_path"]: (r["positive"], r["chars"]) for r in jobs.validation_similarities(d, chosen).collect()}
+    assert got == {"k1": (True, 2), "k2": (False, 0)}

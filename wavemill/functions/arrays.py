@@ -82,7 +82,8 @@ def trim_silence(x: Column, threshold: float = 0.01) -> Column:
 
 
 def rms(x: Column) -> Column:
-    return F.sqrt(dot(x, x) / F.size(x)) + F.lit(1e-9)
+    """The constant alone for an empty array."""
+    return F.sqrt(F.when(F.size(x) == 0, 0.0).otherwise(dot(x, x) / F.size(x))) + F.lit(1e-9)
 
 
 def energy(x: Column) -> Column:

@@ -179,6 +179,10 @@ def normal_path(path: str) -> str:
     return os.path.normpath(path.replace("\\", "/")).replace("\\", "/")
 
 
+def normalised_path(path: Column | str) -> Column:
+    return arrow_udf("string", lambda v: None if pd.isna(v) else normal_path(v), path)
+
+
 def four_places(c: Column) -> Column:
     """For sinks only: four decimals from the exact binary value, ties to even, null as empty."""
 

@@ -111,7 +111,15 @@ def separate(name: str, mix: Column, reference: Column, rate: Column, timeout: f
 
 
 def extract(name: str, samples: Column, rate: Column) -> Column:
-    return _mapped("extractor", name, "array<double>", lambda m, x, r: None if x is None else _arr(m(_arr(x), int(r))), samples, rate)
+    """Vector of the samples; null where they are null or the model fails on them."""
+
+    def call(model, x, r):
+        try:
+            return None if x is None else _arr(model(_arr(x), int(r)))
+        except Exception:  # a failed row must not end the job
+            return None
+
+    return _mapped("extractor", name, "array<double>", call, samples, rate)
 
 
 def extract_tracks(name: str, tracks: Column, rate: Column) -> Column:

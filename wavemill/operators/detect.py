@@ -51,9 +51,14 @@ def training_choice(base: Column, first_sims: Column, cap: float) -> Column:
 
 
 def training_separation(df: DataFrame, separate, first_sims, base: str, low: float, high: float, cap: float) -> DataFrame:
-    """``adaptive_separation`` with the choice of training preparation; adds ``sep_best_sim, track, triggered`` (null similarity where not triggered)."""
+    """``adaptive_separation`` with the choice of training preparation; adds ``sep_best_sim, track, triggered``.
+
+    Rows that are not triggered, or get no tracks, keep the base similarity.
+    """
     hit = F.coalesce((F.col(base) >= low) & (F.col(base) < high), F.lit(False))
-    done = first_sims(separate(df.where(hit))).withColumn("_c", training_choice(F.col(base), F.col("track_sims"), cap))
+    done = first_sims(separate(df.where(hit)))
+    none = F.struct(F.lit(-1).alias("track"), F.col(base).cast("double").alias("sim"))
+    done = done.withColumn("_c", F.when(F.size("track_sims") > 0, training_choice(F.col(base), F.col("track_sims"), cap)).otherwise(none))
     some = done.select(*df.columns, F.col("_c.sim").alias("sep_best_sim"), F.col("_c.track").alias("track"), F.lit(True).alias("triggered"))
-    rest = df.where(~hit).select(*df.columns, F.lit(None).cast("double").alias("sep_best_sim"), F.lit(-1).alias("track"), F.lit(False).alias("triggered"))
+    rest = df.where(~hit).select(*df.columns, F.col(base).cast("double").alias("sep_best_sim"), F.lit(-1).alias("track"), F.lit(False).alias("triggered"))
     return some.unionByName(rest)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Profile
@@ -12,6 +14,7 @@ from ..functions.digits import normalize_digits
 from ..models import registry as R
 from ..operators import cascade as C
 from ..operators import detect, fuse, gate, metrics, sampling, sets
+from ..sources import markers
 
 EXTRACTORS = ("standin_cam", "standin_eres", "standin_rnet")
 
@@ -43,12 +46,14 @@ def match_keyword(df: DataFrame, profile: Profile, main: str, quick: str | None
         return X.wakeword_similarity(F.col("kws_text"), R.recognise(model, samples, F.col("rate"), F.lit(language)))
 
     def heard(d: DataFrame, samples, name: str) -> DataFrame:
-        """Best similarity over the languages; the second one runs only for Latin words that the first missed."""
+        """Best similarity over the languages: both for every word, or (early stop) the second only for Latin words that the first missed."""
+        if not profile.early_stop:
+            return d.withColumn(name, F.greatest(similarity(samples, main, "zh"), similarity(samples, main, "en")))
         d = d.withColumn("_en", english)
         en = d.where("_en").withColumn(name, similarity(samples, main, "en"))
         zh = d.where("not _en").withColumn(name, F.lit(-1.0))
         both = en.where(F.col(name) < sure).unionByName(zh).withColumn(name, F.greatest(F.col(name), similarity(samples, main, "zh")))
-        return (en.where(F.col(name) >= sure).unionByName(both) if profile.early_stop else both.unionByName(en.where(F.col(name) >= sure))).drop("_en")
+        return en.where(F.col(name) >= sure).unionByName(both).drop("_en")
 
     def decided(d: DataFrame, anchor, matched, separated=False) -> DataFrame:
         return d.select(*columns, anchor.alias("anchor"), matched.alias("matched"), F.lit(separated).alias("kws_separated"))
@@ -84,6 +89,26 @@ def match_keyword(df: DataFrame, profile: Profile, main: str, quick: str | None
     return sets.union_splits(*parts)
 
 
+def process_keyword(df: DataFrame, profile: Profile, main: str, quick: str | None = None, separator: str = "default") -> DataFrame:
+    """``match_keyword`` after denoising, for rows with a wake word; the others keep their denoised audio as ``anchor``.
+
+    A hit's anchor is the audio that matched; a miss goes on with the denoised one.
+    """
+    d = df.withColumn("kws_denoised", R.denoise(profile.denoiser, F.col("kws"), F.col("rate")))
+    worded = metrics.truthy(F.col("kws_text"))
+    tried = match_keyword(d.where(worded), profile, main, quick, separator)
+    tried = tried.withColumn("anchor", F.when(F.col("matched"), F.col("anchor")).otherwise(F.col("kws_denoised")))
+    rest = d.where(~worded).withColumns({"anchor": F.col("kws_denoised"), "matched": F.lit(False), "kws_separated": F.lit(False)})
+    return tried.unionByName(rest)
+
+
+def keyword_statistics(df: DataFrame, profile: Profile, main: str, quick: str | None = None, separator: str = "default") -> DataFrame:
+    """Hits per language and in all; a separation that exceeds its time counts as a row without tracks."""
+    d = df.withColumn("kws_denoised", R.denoise(profile.denoiser, F.col("kws"), F.col("rate")))
+    done = match_keyword(d, profile, main, quick, separator)
+    return metrics.hit_breakdown(done.select("kws_text", F.col("matched").alias("hit"), F.col("kws_separated").alias("separated")))
+
+
 def similarities(df: DataFrame, left: str, right: str, extractors=EXTRACTORS) -> DataFrame:
     """Adds the cosines ``cam, eres, rnet`` of two waveform columns."""
     for name, model in zip(("cam", "eres", "rnet"), extractors):
@@ -91,6 +116,12 @@ def similarities(df: DataFrame, left: str, right: str, extractors=EXTRACTORS) ->
     return df
 
 
+def validation_similarities(rows: DataFrame, chosen: DataFrame, on: tuple[str, ...] = ("kws_path", "cmd_path"), extractors=EXTRACTORS) -> DataFrame:
+    """Similarities of the ``rows`` whose keys ``chosen`` holds, with ``positive`` and ``chars`` for a search over weights."""
+    d = similarities(sets.semi(rows, chosen.select(*on), list(on)), "kws", "cmd", extractors)
+    return d.select(*on, metrics.present(F.col("label")).alias("positive"), F.length(X.normalize_text("label")).alias("chars"), "cam", "eres", "rnet")
+
+
 def phase_one(df: DataFrame, profile: Profile, separator: str = "default", extractors=EXTRACTORS) -> DataFrame:
     """Rows with ``kws, cmd, rate`` -> similarities after denoising and adaptive separation; narrow, no shuffle."""
     d = df.withColumn("cmd", R.denoise(profile.denoiser, F.col("cmd"), F.col("rate")))
@@ -122,7 +153,10 @@ def phase_one(df: DataFrame, profile: Profile, separator: str = "default", extra
 
 
 def score_dataset(df: DataFrame, profile: Profile, main: str = "default", quick: str | None = None, separator: str = "default", stats: DataFrame | None = None) -> DataFrame:
-    """Per row: ``fused, is_target, content, cer``; recognition runs on accepted rows only.
+    """Per row: ``fused, is_target, content, cer, failed``; recognition runs on accepted rows only.
+
+    A row on which a model fails has no similarities: it does not enter the
+    moments, is no target, and has an empty content and an error rate of 1.
 
     ``stats`` freezes the moments of the fusion (as streaming needs); without
     it they are those of this run.
@@ -135,7 +169,9 @@ def score_dataset(df: DataFrame, profile: Profile, main: str = "default", quick:
     spoken = spoken.withColumn("content", finish_text(F.col("value"))).select(*judged.columns, "content")
     out = spoken.unionByName(judged.where(~F.coalesce("is_target", F.lit(False))).withColumn("content", F.lit("")))
     out = out.withColumn("ref", X.normalize_text("label")).withColumn("hyp", X.normalize_text("content"))
-    return out.withColumn("cer", F.when(metrics.truthy(F.col("label")), X.error_rate(F.col("ref"), F.col("hyp"))).otherwise(X.outcome_error(F.col("label"), F.col("hyp"))))
+    out = out.withColumn("failed", F.col("cam").isNull() | F.col("eres").isNull() | F.col("rnet").isNull())
+    cer = F.when(metrics.truthy(F.col("label")), X.error_rate(F.col("ref"), F.col("hyp"))).otherwise(X.outcome_error(F.col("label"), F.col("hyp")))
+    return out.withColumn("cer", F.when(F.col("failed"), 1.0).otherwise(cer))
 
 
 def score_samples(df: DataFrame, profile: Profile, main: str = "default", separator: str = "default", extractor: str = "standin_cam") -> DataFrame:
@@ -146,7 +182,10 @@ def score_samples(df: DataFrame, profile: Profile, main: str = "default", separa
     sims = lambda x: x.withColumn("_t", R.extract_tracks(extractor, F.col("tracks"), F.col("rate"))).withColumn("track_sims", F.transform("_t", lambda t: A.cosine(F.col("_k"), t)))
     d = detect.adaptive_separation(d, tracks, sims, "base", profile.trigger_min, profile.threshold, profile.jump_cap, need_two=True)
     d = d.withColumn("is_target", fuse.dual_accept(F.col("sim"), F.col("improved"), profile.threshold, profile.threshold_separated))
-    yes = d.where("is_target").withColumn("content", finish_text(R.recognise(main, post_recognition(F.col("cmd")), F.col("rate"), F.lit("zh"))))
+    # Each Python step has its own column: Spark cannot run one inside another that uses it several times.
+    yes = d.where("is_target").withColumn("heard_from", post_recognition(F.col("cmd")))
+    yes = yes.withColumn("_heard", R.recognise(main, F.col("heard_from"), F.col("rate"), F.lit("zh")))
+    yes = yes.withColumn("content", finish_text(F.col("_heard"))).drop("_heard", "heard_from")
     return yes.unionByName(d.where(~F.coalesce("is_target", F.lit(False))).withColumn("content", F.lit(""))).drop("_k")
 
 
@@ -162,3 +201,67 @@ def prepare_training(records: DataFrame, existing: DataFrame | None = None, limi
     hits = gate.rule_hits(metrics.present(F.col("label")), F.col("sim"), F.col("best"), F.col("triggered"), limits)
     d = d.withColumn("hits", hits)
     return d.where(gate.passed(F.col("hits"))).withColumn("fold", sampling.folds("orig_id", n_folds)), d
+
+
+def rebuild_submission(results: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Results in the manifest's order with its labels: ``split_order, idx, id, content, label, cer``; rows without a result are empty."""
+    d = manifest.select("split_order", "idx", "id", "ckpt_key", "label").join(results.select("ckpt_key", F.col("content").alias("_c")), "ckpt_key", "left")
+    d = d.withColumn("content", F.coalesce("_c", F.lit("")))
+    ref, hyp = X.normalize_text("label"), X.normalize_text("content")
+    return d.select("split_order", "idx", "id", "content", "label", F.when(metrics.truthy(F.col("label")), X.error_rate(ref, hyp)).alias("cer"))
+
+
+def verify_submission(results: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """One row about results with ``content, label, cer`` as texts: official rate, rejections, and how many stated rates differ from those counted anew.
+
+    Rates are stated with four decimals, hence the tolerance.
+    """
+    d = results.select("content", "label", F.col("cer").try_cast("double").alias("stated"))
+    d = d.withColumn("ref", X.strip_punctuation("label")).withColumn("hyp", X.strip_punctuation("content"))
+    d = d.withColumn("err", F.levenshtein("hyp", "ref")).withColumn("chars", F.length("ref"))
+    pos = metrics.truthy(F.col("label")) & (F.col("label") != "null")
+    return d.agg(
+        metrics.micro_error_official(F.when(pos, F.col("err")), F.when(pos, F.col("chars"))).alias("cer"),
+        metrics.rejection_rate(F.col("content"), metrics.is_negative(F.col("label"))).alias("rr"),
+        F.coalesce(F.count_if(pos & (F.abs(F.col("stated") - X.error_rate(F.col("ref"), F.col("hyp"))) > tolerance)), F.lit(0)).alias("differ"),
+        F.count_if(metrics.uppercase_or_wide(F.col("label"))).alias("uppercase"),
+    )
+
+
+def run_stages(spark: SparkSession, folder: str, stages: list[tuple[str, Callable[[], object]]], skip: tuple[str, ...] = (), again: bool = False) -> list[str]:
+    """Run (name, function) stages in order; returns the names of those run now.
+
+    A finished stage leaves the marker ``.stage_<name>.done`` in ``folder`` (on
+    any file system Spark reaches) and is not run a second time unless
+    ``again``.  Skipped stages get no marker.  An error ends the run; the stages
+    before it stay done.
+    """
+    unknown = set(skip) - {name for name, _ in stages}
+    if unknown:
+        raise ValueError(f"no stage named {sorted(unknown)}")
+    ran = []
+    for name, work in stages:
+        if name in skip or (markers.is_done(spark, folder, name) and not again):
+            continue
+        work()
+        markers.write_done(spark, folder, name)
+        ran.append(name)
+    return ran
+
+
+def prepare_and_gate(spark: SparkSession, folder: str, records: DataFrame, existing: DataFrame | None = None, limits: dict | None = None, n_folds: int = 5, skip: tuple[str, ...] = ()) -> list[str]:
+    """Training data up to the folds as stages with markers, each written to ``folder`` before the next reads it."""
+
+    def prepare() -> None:
+        gate.tidy(records if existing is None else sets.missing_types(records, existing).unionByName(existing, allowMissingColumns=True)).write.mode("overwrite").parquet(f"{folder}/prepared")
+
+    def judge() -> None:
+        d = spark.read.parquet(f"{folder}/prepared")
+        hits = gate.rule_hits(metrics.present(F.col("label")), F.col("sim"), F.col("best"), F.col("triggered"), limits)
+        d.withColumn("hits", hits).write.mode("overwrite").parquet(f"{folder}/gated")
+
+    def split() -> None:
+        kept = spark.read.parquet(f"{folder}/gated").where(gate.passed(F.col("hits"))).drop("hits")
+        kept.withColumn("fold", sampling.folds("orig_id", n_folds)).write.mode("overwrite").partitionBy("fold").parquet(f"{folder}/folds")
+
+    return run_stages(spark, folder, [("prepare", prepare), ("gate", judge), ("folds", split)], skip)

@@ -305,8 +305,8 @@ def verify(spark, sf):
     return d.select("id", r6("v.sim").alias("sim"), "v.same")
 
 
-@query(f"""WITH {_TRIALS}, c AS (SELECT id, cam >= -0.1 AND cam < 0.1 AS triggered, [eres, rnet] AS a, list_filter([eres, rnet], lambda v: v - cam <= 0.25) AS g FROM s)
-    SELECT id, triggered, CASE WHEN triggered AND len(g) > 0 THEN list_position(a, list_max(g)) - 1 ELSE -1 END::INT AS track, round(CASE WHEN triggered THEN CASE WHEN len(g) > 0 THEN list_max(g) ELSE -1 END END, 6) AS sep_best_sim FROM c""")
+@query(f"""WITH {_TRIALS}, c AS (SELECT id, cam, cam >= -0.1 AND cam < 0.1 AS triggered, [eres, rnet] AS a, list_filter([eres, rnet], lambda v: v - cam <= 0.25) AS g FROM s)
+    SELECT id, triggered, CASE WHEN triggered AND len(g) > 0 THEN list_position(a, list_max(g)) - 1 ELSE -1 END::INT AS track, round(CASE WHEN triggered THEN CASE WHEN len(g) > 0 THEN list_max(g) ELSE -1 END ELSE cam END, 6) AS sep_best_sim FROM c""")
 def training_separation(spark, sf):
     d = trials(spark, sf).select("id", F.col("cam").alias("base"), "eres", "rnet")
     out = detect.training_separation(d, lambda x: x, lambda x: x.withColumn("track_sims", F.array("eres", "rnet")), "base", -0.1, 0.1, 0.25)

@@ -79,14 +79,16 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
-    """Finished rows, or None if there is no readable checkpoint."""
+    """Finished rows, or None if there is no checkpoint or one that is no Parquet; other errors are raised, as they may pass."""
     if not exists(spark, path):
         return None
+    done = spark.read.schema(schema.CHECKPOINT).parquet(path)
     try:
-        done = spark.read.schema(schema.CHECKPOINT).parquet(path)
-        done.limit(1).count()
-    except Exception:  # a broken checkpoint means a fresh start
-        return None
+        done.agg(F.count("ckpt_key"), F.count("id")).collect()
+    except Exception as e:
+        if "CANNOT_READ_FILE_FOOTER" in str(e) or "not a Parquet file" in str(e):  # a broken checkpoint means a fresh start
+            return None
+        raise
     from ..operators.sets import checkpoint_keys
 
     return checkpoint_keys(done)

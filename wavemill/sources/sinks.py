@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.text import four_places, rooted
+from ..functions.text import four_places, normalised_path, rooted
 
 
 def write_jsonl(df: DataFrame, path: str, manifest_keys: bool = False) -> None:
@@ -44,9 +44,10 @@ def append_checkpoint(df: DataFrame, path: str) -> None:
 
 
 def write_distribution(df: DataFrame, path: str) -> None:
-    """CSV of the gate's figures: a header, four decimals, empty for null."""
+    """CSV of the gate's figures in UTF-8 with a byte order mark: a header, four decimals, empty for null."""
     shown = [four_places(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
-    df.select(*shown).write.mode("overwrite").option("header", True).option("nullValue", "").option("encoding", "UTF-8").csv(path)
+    first, *others = df.select(*shown).columns
+    df.select(*shown).select(F.col(first).alias("\ufeff" + first), *others).write.mode("overwrite").option("header", True).option("nullValue", "").option("encoding", "UTF-8").csv(path)
 
 
 def gate_report(counts: DataFrame, examples: DataFrame, coverage: DataFrame, limits: dict) -> DataFrame:
@@ -59,5 +60,11 @@ def gate_report(counts: DataFrame, examples: DataFrame, coverage: DataFrame, lim
     return one.select(F.to_json(F.struct(F.from_json(config, "map<string,double>").alias("config"), "total", "has_gate_fields", "missing_gate_fields", "rule_hits", "detail")).alias("value"))
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """A report of few rows (statistics, a summary of versions), one object per line."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def absolute_paths(df: DataFrame, root: str, cols: list[str]) -> DataFrame:
-    return df.withColumns({c: rooted(root, F.col(c)) for c in cols})
+    """Paths under ``root`` with slashes, ``.`` and ``..`` resolved."""
+    return df.withColumns({c: normalised_path(rooted(root, F.col(c))) for c in cols})
