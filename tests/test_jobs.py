@@ -77,7 +77,7 @@ def expected(kws, text, p):
     return anchor, top >= p.kws_trigger, True
 
 
-PROFILE_CASES = [{}, {"early_stop": False, "energy_gate": False}, {"english_gate": False, "quick_first": False, "kws_trigger": 0.8}]
+PROFILE_CASES = [{"early_stop": False, "energy_gate": False}, {"english_gate": False, "quick_first": False, "kws_trigger": 0.8}]
 
 
 @pytest.fixture(scope="module")

@@ -175,16 +175,16 @@ def score_dataset(df: DataFrame, profile: Profile, main: str = "default", quick:
 
 
 def score_samples(df: DataFrame, profile: Profile, main: str = "default", separator: str = "default", extractor: str = "standin_cam") -> DataFrame:
-    """Independent rows: absolute thresholds, the higher one after separation; one narrow plan."""
+    """Independent rows: absolute thresholds, the higher one after separation; no shuffle, accepted rows are cached."""
     d = df.withColumn("cmd", R.denoise(profile.denoiser, F.col("cmd"), F.col("rate"))).withColumn("_k", R.extract(extractor, F.col("kws"), F.col("rate")))
     d = d.withColumn("base", A.cosine(F.col("_k"), R.extract(extractor, F.col("cmd"), F.col("rate"))))
     tracks = lambda x: x.withColumn("tracks", R.separate(separator, F.col("cmd"), F.col("kws"), F.col("rate")))
     sims = lambda x: x.withColumn("_t", R.extract_tracks(extractor, F.col("tracks"), F.col("rate"))).withColumn("track_sims", F.transform("_t", lambda t: A.cosine(F.col("_k"), t)))
     d = detect.adaptive_separation(d, tracks, sims, "base", profile.trigger_min, profile.threshold, profile.jump_cap, need_two=True)
     d = d.withColumn("is_target", fuse.dual_accept(F.col("sim"), F.col("improved"), profile.threshold, profile.threshold_separated))
-    # Each Python step has its own column: Spark cannot run one inside another that uses it several times.
-    yes = d.where("is_target").withColumn("heard_from", post_recognition(F.col("cmd")))
-    yes = yes.withColumn("_heard", R.recognise(main, F.col("heard_from"), F.col("rate"), F.lit("zh")))
+    # The cached steps keep the Python stages apart: Spark 4.1 leaves one of them unplanned in the union otherwise.
+    yes = d.where("is_target").withColumn("heard_from", post_recognition(F.col("cmd"))).persist()
+    yes = yes.withColumn("_heard", R.recognise(main, F.col("heard_from"), F.col("rate"), F.lit("zh"))).persist()
     yes = yes.withColumn("content", finish_text(F.col("_heard"))).drop("_heard", "heard_from")
     return yes.unionByName(d.where(~F.coalesce("is_target", F.lit(False))).withColumn("content", F.lit(""))).drop("_k")
 
