@@ -61,6 +61,11 @@ def test_sampling_and_sets(spark):
     d = spark.createDataFrame([("pos", 0), ("neg", 0), ("neg", 1), ("neg", 2)], "split string, idx long")
     assert sampling.balanced(d, 4).count() == 4
     assert sampling.full_batches(spark.range(10), 4, ["id"]).count() == 8
+    rows = [(g, k) for g, n in ((None, 3), ("a", 70), ("b", 1)) for k in range(n)]
+    groups = {}
+    for r in sampling.numbered_spread(spark.createDataFrame(rows + rows[5:7], "g string, k long"), "g", "k", buckets=8).collect():
+        groups.setdefault(r["g"], []).append(r["rn"])
+    assert {g: sorted(v) for g, v in groups.items()} == {None: [1, 2, 3], "a": list(range(1, 73)), "b": [1]}
     pairs = sets.pool_pairs(spark.range(20).withColumn("g", F.col("id") % 2), "g", "id", 2).collect()
     assert len(pairs) == 40 and all(r["pool_id"] != r["id"] and r["pool_id"] % 2 == r["g"] for r in pairs)
 

@@ -10,6 +10,21 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "rn") -
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def numbered_spread(df: DataFrame, by: str, key: str, name: str = "rn", buckets: int = 1024) -> DataFrame:
+    """Dense numbers from 1 within groups of any size, in no meaningful order.
+
+    Rows are numbered within hashed buckets of a group and shifted by the sizes
+    of the buckets before, so that no task holds a whole group.
+    """
+    cut = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    sizes = cut.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col(by).alias("_by"), F.col("_b").alias("_bucket"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inner = numbered(cut, [by, "_b"], [key], "_i")
+    joined = inner.join(shift, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_bucket")))
+    return joined.select(*df.columns, (F.col("_i") + F.col("_before")).alias(name))
+
+
 def ordered(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
     """Rows by ``key`` in ranges, ties in a stated order instead of that of arrival."""
     return df.orderBy(key, *ties)

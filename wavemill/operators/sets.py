@@ -50,9 +50,9 @@ def split_by_existing(df: DataFrame, listing: DataFrame, paths: list[str]) -> tu
 
 def pool_pairs(df: DataFrame, by: str, key: str, per_row: int = 1, seed: int = 0) -> DataFrame:
     """Each row with ``per_row`` others of its group, drawn by hash: never all pairs of a group."""
-    from .sampling import numbered
+    from .sampling import numbered_spread
 
-    left = numbered(df, [by], [key])
+    left = numbered_spread(df, by, key)
     sizes = left.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     right = left.select(F.col(by), F.col("rn").alias("_pick"), F.col(key).alias(f"pool_{key}"))
     drawn = left.join(sizes, by).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(per_row))))
