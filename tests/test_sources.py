@@ -206,6 +206,14 @@ def test_mixing_matches_the_plain_version(spark):
     assert [r[0] for r in odd.select(spectral.mix_at_snr(F.col("c"), F.col("n"), F.lit(0.0), F.lit(0))).collect()] == [[], None, None]
 
 
+def test_wake_words_by_sound(spark):
+    sounds = {"你": "ni", "好": "hao", "号": "hao", "妮": "ni"}.get
+    look = lambda c: sounds(c, c)
+    d = spark.createDataFrame([("你好", "妮号"), ("Hey You", "x"), (None, "")], "k string, h string")
+    got = d.select(X.wakeword_similarity("k", "h").alias("plain"), X.wakeword_similarity("k", "h", look).alias("sound"), X.phonetic_key("k", look).alias("key")).collect()
+    assert [tuple(r) for r in got] == [(0.0, 1.0, "nihao"), (0.0, 0.0, "heyyou"), (0.0, 0.0, None)]
+
+
 def test_small_text_functions(spark):
     d = spark.createDataFrame([("<|zh|><|SPEECH|> 打开 <a|b>", "abcd", "bcde", 0.00005), (None, "", None, None)], "r string, a string, b string, v double")
     got = d.select(X.rich_text(F.col("r")).alias("r"), X.sequence_ratio("a", "b").alias("q"), X.four_places(F.col("v")).alias("v"), X.preferred_text(F.lit(""), F.col("a")).alias("p")).collect()

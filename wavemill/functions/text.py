@@ -140,8 +140,15 @@ def wakeword(keyword: str | None, heard: str | None, syllables: Callable[[str],
     return best
 
 
-def wakeword_similarity(keyword: Column | str, heard: Column | str) -> Column:
-    return arrow_udf("double", wakeword, keyword, heard)
+def wakeword_similarity(keyword: Column | str, heard: Column | str, syllables: Callable[[str], str] | None = None) -> Column:
+    """``syllables`` gives the sound of a CJK character (a table's lookup); without it characters are compared."""
+    if syllables is None:
+        return arrow_udf("double", wakeword, keyword, heard)
+    return arrow_udf("double", lambda k, h: wakeword(k, h, syllables), keyword, heard)
+
+
+def phonetic_key(c: Column | str, syllables: Callable[[str], str] | None = None) -> Column:
+    return arrow_udf("string", lambda v: None if pd.isna(v) else phonetic(v, syllables), c)
 
 
 def sequence_ratio(a: Column | str, b: Column | str) -> Column:

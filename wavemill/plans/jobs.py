@@ -29,7 +29,7 @@ def finish_text(c):
     return normalize_digits(X.normalize_text(c))
 
 
-def match_keyword(df: DataFrame, profile: Profile, main: str, quick: str | None = None, separator: str = "default") -> DataFrame:
+def match_keyword(df: DataFrame, profile: Profile, main: str, quick: str | None = None, separator: str = "default", syllables: Callable[[str], str] | None = None) -> DataFrame:
     """Adds ``anchor`` (samples), ``matched`` and ``kws_separated`` to rows with ``kws, kws_denoised, kws_text, rate``.
 
     Stages, each for the rows the ones before left open: the quick recogniser
@@ -43,7 +43,7 @@ def match_keyword(df: DataFrame, profile: Profile, main: str, quick: str | None
     columns = df.columns
 
     def similarity(samples, model, language):
-        return X.wakeword_similarity(F.col("kws_text"), R.recognise(model, samples, F.col("rate"), F.lit(language)))
+        return X.wakeword_similarity(F.col("kws_text"), R.recognise(model, samples, F.col("rate"), F.lit(language)), syllables)
 
     def heard(d: DataFrame, samples, name: str) -> DataFrame:
         """Best similarity over the languages: both for every word, or (early stop) the second only for Latin words that the first missed."""
@@ -89,23 +89,23 @@ def match_keyword(df: DataFrame, profile: Profile, main: str, quick: str | None
     return sets.union_splits(*parts)
 
 
-def process_keyword(df: DataFrame, profile: Profile, main: str, quick: str | None = None, separator: str = "default") -> DataFrame:
+def process_keyword(df: DataFrame, profile: Profile, main: str, quick: str | None = None, separator: str = "default", syllables: Callable[[str], str] | None = None) -> DataFrame:
     """``match_keyword`` after denoising, for rows with a wake word; the others keep their denoised audio as ``anchor``.
 
     A hit's anchor is the audio that matched; a miss goes on with the denoised one.
     """
     d = df.withColumn("kws_denoised", R.denoise(profile.denoiser, F.col("kws"), F.col("rate")))
     worded = metrics.truthy(F.col("kws_text"))
-    tried = match_keyword(d.where(worded), profile, main, quick, separator)
+    tried = match_keyword(d.where(worded), profile, main, quick, separator, syllables)
     tried = tried.withColumn("anchor", F.when(F.col("matched"), F.col("anchor")).otherwise(F.col("kws_denoised")))
     rest = d.where(~worded).withColumns({"anchor": F.col("kws_denoised"), "matched": F.lit(False), "kws_separated": F.lit(False)})
     return tried.unionByName(rest)
 
 
-def keyword_statistics(df: DataFrame, profile: Profile, main: str, quick: str | None = None, separator: str = "default") -> DataFrame:
+def keyword_statistics(df: DataFrame, profile: Profile, main: str, quick: str | None = None, separator: str = "default", syllables: Callable[[str], str] | None = None) -> DataFrame:
     """Hits per language and in all; a separation that exceeds its time counts as a row without tracks."""
     d = df.withColumn("kws_denoised", R.denoise(profile.denoiser, F.col("kws"), F.col("rate")))
-    done = match_keyword(d, profile, main, quick, separator)
+    done = match_keyword(d, profile, main, quick, separator, syllables)
     return metrics.hit_breakdown(done.select("kws_text", F.col("matched").alias("hit"), F.col("kws_separated").alias("separated")))
 
 
