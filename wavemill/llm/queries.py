@@ -12,12 +12,46 @@ from .quality import op3_quality_rules
 from .suffix import op1_suffix_dedup
 from .topk import op7_topk
 from .toxicity import op6_toxicity
+from .vafile import op11_vector_codes
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_chat_format, op3_quality_rules, op4_byte_bpe, op5_language_id, op6_toxicity, op7_topk, op8_pii, op9_ngram_jaccard, op10_packing)
+    for f in (op1_suffix_dedup, op2_chat_format, op3_quality_rules, op4_byte_bpe, op5_language_id, op6_toxicity, op7_topk, op8_pii, op9_ngram_jaccard, op10_packing, op11_vector_codes)
 }
 
+
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Integer k-means round by round over long rows (vector, part, position, component)."""
+    steps = [
+        f"""v AS MATERIALIZED (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e, len(embedding) // {parts} AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), i AS (SELECT vec_id, w, unnest(range(len(e))) AS i, floor(4096 * unnest(e))::BIGINT AS x FROM v),
+        x AS MATERIALIZED (SELECT vec_id, i // w AS part, i % w AS pos, x FROM i),
+        b0 AS MATERIALIZED (
+            SELECT part, r AS entry, pos, x AS y FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM v) USING (vec_id) WHERE r < {entries}
+        )"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS (SELECT vec_id, part, entry, sum((x - y) * (x - y))::BIGINT AS d FROM x JOIN b{k} USING (part, pos) GROUP BY ALL),
+        a{k} AS MATERIALIZED (
+            SELECT vec_id, part, entry, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) AS r FROM d{k}) WHERE r = 1
+        )""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT part, entry, pos, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN a{k} USING (vec_id, part) GROUP BY ALL),
+        b{k + 1} AS MATERIALIZED (
+            SELECT part, entry, pos, CASE WHEN n IS NULL THEN y ELSE (s - ((s % n) + n) % n) // n END AS y FROM b{k} LEFT JOIN s{k} USING (part, entry, pos)
+        )""")
+    return f"""
+        WITH {", ".join(steps)},
+        c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+        FROM c JOIN v USING (vec_id)
+    """
+
+
 ORACLES = {
     "op2_chat_format": """
         WITH c AS (
@@ -65,4 +99,5 @@ ORACLES = {
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n.n
     """,
+    "op11_vector_codes": _vector_codes_sql(),
 }
