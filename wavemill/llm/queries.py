@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_byte_bpe
 from .chat import op2_chat_format
+from .divergence import op13_source_divergence
 from .jaccard import op9_ngram_jaccard
 from .langid import op5_language_id
 from .packing import op10_packing
@@ -12,11 +13,12 @@ from .quality import op3_quality_rules
 from .suffix import op1_suffix_dedup
 from .topk import op7_topk
 from .toxicity import op6_toxicity
+from .urls import op12_url_filter
 from .vafile import op11_vector_codes
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_chat_format, op3_quality_rules, op4_byte_bpe, op5_language_id, op6_toxicity, op7_topk, op8_pii, op9_ngram_jaccard, op10_packing, op11_vector_codes)
+    for f in (op1_suffix_dedup, op2_chat_format, op3_quality_rules, op4_byte_bpe, op5_language_id, op6_toxicity, op7_topk, op8_pii, op9_ngram_jaccard, op10_packing, op11_vector_codes, op12_url_filter, op13_source_divergence)
 }
 
 
@@ -100,4 +102,30 @@ ORACLES = {
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n.n
     """,
     "op11_vector_codes": _vector_codes_sql(),
+    "op13_source_divergence": """
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws
+            FROM documents
+        ), kept AS MATERIALIZED (
+            SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ws)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30
+        ), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+        c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ws) AS term FROM d) JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS MATERIALIZED (
+            SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source)
+        ), p AS MATERIALIZED (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * v.v) AS p
+            FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), l AS (SELECT lang, sum(total) AS total FROM g GROUP BY ALL),
+        q AS (
+            SELECT k.lang, k.term, 1 + (1000000000::HUGEINT * (coalesce(t.n, 0) + 5)) // (l.total + 5 * v.v) AS q
+            FROM kept k JOIN v ON v.lang = k.lang JOIN l ON l.lang = k.lang LEFT JOIN (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) t ON t.lang = k.lang AND t.term = k.term
+        ), f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL),
+        r AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.f, 0) AS value
+            FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+            UNION ALL SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q
+        ), n AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank FROM n WHERE part = 'pair' OR rank <= 50
+    """,
 }
