@@ -23,6 +23,9 @@ class Profile:
     energy_gate: bool = True
     english_gate: bool = True
     quick_first: bool = True
+    #: Seconds that a row has in the separator, and in each other model; None: no limit, no child process.
+    separator_seconds: float | None = 60.0
+    model_seconds: float | None = None
 
 
 _TUNED = Profile("renoise", 0.8, True, (0.4, 0.4, 0.2), -0.17, 0.28, 0.2805, 0.0625)

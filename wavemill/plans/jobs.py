@@ -43,7 +43,7 @@ def match_keyword(df: DataFrame, profile: Profile, main: str, quick: str | None
     columns = df.columns
 
     def similarity(samples, model, language):
-        return X.wakeword_similarity(F.col("kws_text"), R.recognise(model, samples, F.col("rate"), F.lit(language)), syllables)
+        return X.wakeword_similarity(F.col("kws_text"), R.recognise(model, samples, F.col("rate"), F.lit(language), profile.model_seconds), syllables)
 
     def heard(d: DataFrame, samples, name: str) -> DataFrame:
         """Best similarity over the languages: both for every word, or (early stop) the second only for Latin words that the first missed."""
@@ -71,7 +71,7 @@ def match_keyword(df: DataFrame, profile: Profile, main: str, quick: str | None
     if not profile.english_gate:
         parts.append(decided(left.where(english), whole, no))
         left = left.where(~english)
-    split = left.withColumn("_tracks", R.separate(separator, whole, F.lit(None).cast("array<double>"), F.col("rate"))).persist()
+    split = left.withColumn("_tracks", R.separate(separator, whole, F.lit(None).cast("array<double>"), F.col("rate"), profile.separator_seconds)).persist()
     enough = F.coalesce(F.size("_tracks") > 1, F.lit(False))
     parts.append(decided(split.where(~enough), whole, no))
     split = split.where(enough)
@@ -94,7 +94,7 @@ def process_keyword(df: DataFrame, profile: Profile, main: str, quick: str | Non
 
     A hit's anchor is the audio that matched; a miss goes on with the denoised one.
     """
-    d = df.withColumn("kws_denoised", R.denoise(profile.denoiser, F.col("kws"), F.col("rate")))
+    d = df.withColumn("kws_denoised", R.denoise(profile.denoiser, F.col("kws"), F.col("rate"), profile.model_seconds))
     worded = metrics.truthy(F.col("kws_text"))
     tried = match_keyword(d.where(worded), profile, main, quick, separator, syllables)
     tried = tried.withColumn("anchor", F.when(F.col("matched"), F.col("anchor")).otherwise(F.col("kws_denoised")))
@@ -104,16 +104,15 @@ def process_keyword(df: DataFrame, profile: Profile, main: str, quick: str | Non
 
 def keyword_statistics(df: DataFrame, profile: Profile, main: str, quick: str | None = None, separator: str = "default", syllables: Callable[[str], str] | None = None) -> DataFrame:
     """Hits per language and in all; a separation that exceeds its time counts as a row without tracks."""
-    d = df.withColumn("kws_denoised", R.denoise(profile.denoiser, F.col("kws"), F.col("rate")))
+    d = df.withColumn("kws_denoised", R.denoise(profile.denoiser, F.col("kws"), F.col("rate"), profile.model_seconds))
     done = match_keyword(d, profile, main, quick, separator, syllables)
     return metrics.hit_breakdown(done.select("kws_text", F.col("matched").alias("hit"), F.col("kws_separated").alias("separated")))
 
 
-def similarities(df: DataFrame, left: str, right: str, extractors=EXTRACTORS) -> DataFrame:
-    """Adds the cosines ``cam, eres, rnet`` of two waveform columns."""
-    for name, model in zip(("cam", "eres", "rnet"), extractors):
-        df = df.withColumn(name, A.cosine(R.extract(model, F.col(left), F.col("rate")), R.extract(model, F.col(right), F.col("rate"))))
-    return df
+def similarities(df: DataFrame, left: str, right: str, extractors=EXTRACTORS, seconds: float | None = None) -> DataFrame:
+    """Adds the cosines ``cam, eres, rnet`` of two waveform columns; all vectors come from one pass of Python."""
+    d = df.withColumn("_v", R.ensemble(extractors, F.col("rate"), F.col(left), F.col(right), seconds=seconds))
+    return d.withColumns({n: A.cosine(F.col(f"_v.c0.m{k}"), F.col(f"_v.c1.m{k}")) for k, n in enumerate(("cam", "eres", "rnet"))}).drop("_v")
 
 
 def validation_similarities(rows: DataFrame, chosen: DataFrame, on: tuple[str, ...] = ("kws_path", "cmd_path"), extractors=EXTRACTORS) -> DataFrame:
@@ -124,8 +123,8 @@ def validation_similarities(rows: DataFrame, chosen: DataFrame, on: tuple[str, .
 
 def phase_one(df: DataFrame, profile: Profile, separator: str = "default", extractors=EXTRACTORS) -> DataFrame:
     """Rows with ``kws, cmd, rate`` -> similarities after denoising and adaptive separation; narrow, no shuffle."""
-    d = df.withColumn("cmd", R.denoise(profile.denoiser, F.col("cmd"), F.col("rate")))
-    d = similarities(d, "anchor" if "anchor" in d.columns else "kws", "cmd", extractors)
+    d = df.withColumn("cmd", R.denoise(profile.denoiser, F.col("cmd"), F.col("rate"), profile.model_seconds))
+    d = similarities(d, "anchor" if "anchor" in d.columns else "kws", "cmd", extractors, profile.model_seconds)
     base = A.weighted_sum([F.col(c) for c in ("cam", "eres", "rnet")], list(profile.weights))
     d = d.withColumn("sim_abs", base)
     if not profile.separate:
@@ -133,14 +132,15 @@ def phase_one(df: DataFrame, profile: Profile, separator: str = "default", extra
     anchor = "anchor" if "anchor" in d.columns else "kws"
 
     def tracks(x: DataFrame) -> DataFrame:
-        return x.withColumn("tracks", R.separate(separator, F.col("cmd"), F.col(anchor), F.col("rate")))
+        return x.withColumn("tracks", R.separate(separator, F.col("cmd"), F.col(anchor), F.col("rate"), profile.separator_seconds))
 
     def sims(x: DataFrame) -> DataFrame:
-        own = [R.extract(m, F.col(anchor), F.col("rate")) for m in extractors]
-        other = [R.extract_tracks(m, F.col("tracks"), F.col("rate")) for m in extractors]
-        x = x.withColumns({f"_o{k}": v for k, v in enumerate(own)} | {f"_t{k}": v for k, v in enumerate(other)})
-        w = profile.weights
-        per = F.transform(F.sequence(F.lit(0), F.size("tracks") - 1), lambda i: sum((A.cosine(F.col(f"_o{k}"), F.element_at(F.col(f"_t{k}"), i + 1)) * F.lit(w[k]) for k in (1, 2)), A.cosine(F.col("_o0"), F.element_at(F.col("_t0"), i + 1)) * F.lit(w[0])))
+        own, other = R.ensemble(extractors, F.col("rate"), F.col(anchor), seconds=profile.model_seconds), R.ensemble_tracks(extractors, F.col("rate"), F.col("tracks"), profile.model_seconds)
+        x = x.withColumn("_o", own["c0"]).withColumn("_t", other)
+        # A track on which an extractor fails spoils its row, which then has no similarities.
+        spoilt = F.col("tracks").isNotNull() & (F.col("_t.m0").isNull() | F.col("_t.m1").isNull() | F.col("_t.m2").isNull())
+        x, w = x.withColumn("cmd", F.when(~spoilt, F.col("cmd"))), profile.weights
+        per = F.transform(F.sequence(F.lit(0), F.size("tracks") - 1), lambda i: sum((A.cosine(F.col(f"_o.m{k}"), F.element_at(F.col(f"_t.m{k}"), i + 1)) * F.lit(w[k]) for k in (1, 2)), A.cosine(F.col("_o.m0"), F.element_at(F.col("_t.m0"), i + 1)) * F.lit(w[0])))
         return x.withColumn("track_sims", F.when(F.size("tracks") > 0, per).otherwise(F.array().cast("array<double>")))
 
     hit = F.coalesce(fuse.separation_triggered(F.col("sim_abs"), profile.trigger_min, profile.threshold), F.lit(False))
@@ -148,11 +148,11 @@ def phase_one(df: DataFrame, profile: Profile, separator: str = "default", extra
     done = done.withColumn("_c", detect.choose_track(F.col("sim_abs"), F.col("track_sims"), profile.jump_cap))
     moved = done.withColumn("cmd", F.when(F.col("_c.improved"), F.element_at("tracks", F.col("_c.track") + 1)).otherwise(F.col("cmd"))).withColumn("improved", F.col("_c.improved"))
     kept = [c for c in d.columns if c not in ("cam", "eres", "rnet")] + ["improved"]
-    moved = similarities(moved.select(kept), anchor, "cmd", extractors)
+    moved = similarities(moved.select(kept), anchor, "cmd", extractors, profile.model_seconds)
     return moved.unionByName(d.where(~hit).withColumn("improved", F.lit(False)))
 
 
-def score_dataset(df: DataFrame, profile: Profile, main: str = "default", quick: str | None = None, separator: str = "default", stats: DataFrame | None = None) -> DataFrame:
+def score_dataset(df: DataFrame, profile: Profile, main: str = "default", quick: str | None = None, separator: str = "default", stats: DataFrame | None = None, extractors: tuple[str, ...] | None = None) -> DataFrame:
     """Per row: ``fused, is_target, content, cer, failed``; recognition runs on accepted rows only.
 
     A row on which a model fails has no similarities: it does not enter the
@@ -161,10 +161,10 @@ def score_dataset(df: DataFrame, profile: Profile, main: str = "default", quick:
     ``stats`` freezes the moments of the fusion (as streaming needs); without
     it they are those of this run.
     """
-    one = phase_one(df, profile, separator).persist()
+    one = (phase_one(df, profile, separator, extractors) if extractors else phase_one(df, profile, separator)).persist()
     judged = fuse.zscore_fuse(one, ["cam", "eres", "rnet"], profile.weights, stats).withColumn("is_target", fuse.accept(F.col("fused"), profile.z_threshold))
     yes = judged.where("is_target").withColumn("heard_from", post_recognition(F.col("cmd"))).persist()
-    model = lambda name: lambda d: d.withColumn("heard", R.recognise(name, F.col("heard_from"), F.col("rate"), F.lit("zh")))
+    model = lambda name: lambda d: d.withColumn("heard", R.recognise(name, F.col("heard_from"), F.col("rate"), F.lit("zh"), profile.model_seconds))
     spoken = C.recognise_command(yes, model(quick), model(main), X.instruction_reliable) if quick else model(main)(yes).withColumnRenamed("heard", "value")
     spoken = spoken.withColumn("content", finish_text(F.col("value"))).select(*judged.columns, "content")
     out = spoken.unionByName(judged.where(~F.coalesce("is_target", F.lit(False))).withColumn("content", F.lit("")))
@@ -176,15 +176,16 @@ def score_dataset(df: DataFrame, profile: Profile, main: str = "default", quick:
 
 def score_samples(df: DataFrame, profile: Profile, main: str = "default", separator: str = "default", extractor: str = "standin_cam") -> DataFrame:
     """Independent rows: absolute thresholds, the higher one after separation; no shuffle, accepted rows are cached."""
-    d = df.withColumn("cmd", R.denoise(profile.denoiser, F.col("cmd"), F.col("rate"))).withColumn("_k", R.extract(extractor, F.col("kws"), F.col("rate")))
-    d = d.withColumn("base", A.cosine(F.col("_k"), R.extract(extractor, F.col("cmd"), F.col("rate"))))
-    tracks = lambda x: x.withColumn("tracks", R.separate(separator, F.col("cmd"), F.col("kws"), F.col("rate")))
-    sims = lambda x: x.withColumn("_t", R.extract_tracks(extractor, F.col("tracks"), F.col("rate"))).withColumn("track_sims", F.transform("_t", lambda t: A.cosine(F.col("_k"), t)))
+    d = df.withColumn("cmd", R.denoise(profile.denoiser, F.col("cmd"), F.col("rate"), profile.model_seconds))
+    d = d.withColumn("_v", R.ensemble([extractor], F.col("rate"), F.col("kws"), F.col("cmd"), seconds=profile.model_seconds)).withColumn("_k", F.col("_v.c0.m0"))
+    d = d.withColumn("base", A.cosine(F.col("_k"), F.col("_v.c1.m0"))).drop("_v")
+    tracks = lambda x: x.withColumn("tracks", R.separate(separator, F.col("cmd"), F.col("kws"), F.col("rate"), profile.separator_seconds))
+    sims = lambda x: x.withColumn("_t", R.extract_tracks(extractor, F.col("tracks"), F.col("rate"), profile.model_seconds)).withColumn("track_sims", F.transform("_t", lambda t: A.cosine(F.col("_k"), t)))
     d = detect.adaptive_separation(d, tracks, sims, "base", profile.trigger_min, profile.threshold, profile.jump_cap, need_two=True)
     d = d.withColumn("is_target", fuse.dual_accept(F.col("sim"), F.col("improved"), profile.threshold, profile.threshold_separated))
     # The cached steps keep the Python stages apart: Spark 4.1 leaves one of them unplanned in the union otherwise.
     yes = d.where("is_target").withColumn("heard_from", post_recognition(F.col("cmd"))).persist()
-    yes = yes.withColumn("_heard", R.recognise(main, F.col("heard_from"), F.col("rate"), F.lit("zh"))).persist()
+    yes = yes.withColumn("_heard", R.recognise(main, F.col("heard_from"), F.col("rate"), F.lit("zh"), profile.model_seconds)).persist()
     yes = yes.withColumn("content", finish_text(F.col("_heard"))).drop("_heard", "heard_from")
     return yes.unionByName(d.where(~F.coalesce("is_target", F.lit(False))).withColumn("content", F.lit(""))).drop("_k")
 
