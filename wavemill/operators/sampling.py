@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "rn") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -25,6 +27,23 @@ def numbered_spread(df: DataFrame, by: str, key: str, name: str = "rn", buckets:
     return joined.select(*df.columns, (F.col("_i") + F.col("_before")).alias(name))
 
 
+def numbered_in_order(df: DataFrame, order: list[str | Column], name: str = "rn", start: int = 0) -> DataFrame:
+    """Dense numbers from ``start`` in an order, made in the JVM and in no single task.
+
+    A range exchange brings the rows in order; they are written once with the
+    number of their range and their place in it, so that later readers and
+    repeated tasks see the same ranges, and each range is shifted by the rows of
+    those before it (one row a range).  Rows that the order does not tell apart
+    get their numbers in no stated order.
+    """
+    placed = df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+    placed = scratch.checkpointed(placed)
+    ranges = placed.groupBy("_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = ranges.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_first") + F.lit(start)).alias("_shift"))
+    return placed.join(F.broadcast(shift), "_part").select(*df.columns, (F.col("_place") + F.col("_shift")).alias(name))
+
+
 def ordered(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
     """Rows by ``key`` in ranges, ties in a stated order instead of that of arrival."""
     return df.orderBy(key, *ties)
@@ -51,18 +70,25 @@ def hashed_sample(df: DataFrame, n: int, key: list[str], seed: int = 0) -> DataF
 
 
 def last_n_split(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    """Adds ``is_val`` for the last ``n`` rows of the order: a top-n scan counts them, equal rows are marked as often as counted there.
+    """Adds ``is_val`` for the last ``n`` rows of the order: a top-n scan finds them, and a broadcast of them finds the rest, so the table is not shuffled.
 
-    Nulls are values like others; which of equal rows is marked makes no difference.
+    Nulls are values like others.  Of equal rows as many are marked as the scan
+    counted; which of them makes no difference, so those that are not marked
+    are made from their number.
     """
     names = df.columns
-    last = df.orderBy(*order).limit(n).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    last = last.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(names)], "_n")
+    last = df.orderBy(*order).limit(n).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).cache()
+    mine = last.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
     same = F.lit(True)
     for i, c in enumerate(names):
         same &= F.col(c).eqNullSafe(F.col(f"_{i}"))
-    marked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))).join(last, same, "left")
-    return marked.select(*names, F.coalesce(F.col("_rn") <= F.col("_n"), F.lit(False)).alias("is_val"))
+    rest = df.join(F.broadcast(mine), same, "left_anti").withColumn("is_val", F.lit(False))
+    marked = last.select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).select(*names, F.lit(True).alias("is_val"))
+    there = df.join(F.broadcast(mine), same, "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("_all"))
+    other = last.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(names)], "_n")
+    over = there.join(F.broadcast(other), same).where("_all > _n")
+    over = over.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_all") - F.col("_n"))).alias("_k"))
+    return rest.unionByName(marked).unionByName(over.select(*names, F.lit(False).alias("is_val")))
 
 
 def folds(key: str, n: int = 5) -> Column:
@@ -76,8 +102,7 @@ def hashed_partner(df: DataFrame, pool: DataFrame, key: str, pool_index: str, po
 
 
 def full_batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """Batch numbers in an order, without the last partial batch; numbers come from ordered partitions, not one task."""
-    ordered = df.orderBy(*order)
-    indexed = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(ordered.schema.add("_i", "long"))
-    n = indexed.count() // size * size
-    return indexed.where(F.col("_i") < n).withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")
+    """``batch`` numbers in an order, without the last partial batch."""
+    numbered = numbered_in_order(df, order, "_i")
+    n = numbered.count() // size * size
+    return numbered.where(F.col("_i") < n).withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")

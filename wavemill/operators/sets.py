@@ -25,6 +25,13 @@ def aligned(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("split", "idx"))
     return a.join(b, list(on), "inner")
 
 
+def by_position(a: DataFrame, b: DataFrame, order_a: list[str | Column], order_b: list[str | Column], position: str = "position") -> DataFrame:
+    """Rows of two tables without a common key, joined by their places (from 0) in an order of each; the longer one's rest has no partner and is left out."""
+    from .sampling import numbered_in_order
+
+    return numbered_in_order(a, order_a, position).join(numbered_in_order(b, order_b, position), position)
+
+
 def missing_types(expected: DataFrame, existing: DataFrame, on: tuple[str, ...] = ("split", "orig_id", "aug_type")) -> DataFrame:
     return expected.join(existing.select(*on).distinct(), list(on), "left_anti")
 

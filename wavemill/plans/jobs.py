@@ -15,6 +15,7 @@ from ..models import registry as R
 from ..operators import cascade as C
 from ..operators import detect, fuse, gate, metrics, sampling, sets
 from ..sources import markers
+from ..sources.batchlog import BatchLog, in_batches
 
 EXTRACTORS = ("standin_cam", "standin_eres", "standin_rnet")
 
@@ -152,6 +153,35 @@ def phase_one(df: DataFrame, profile: Profile, separator: str = "default", extra
     return moved.unionByName(d.where(~hit).withColumn("improved", F.lit(False)))
 
 
+SIMILARITIES = ["cam", "eres", "rnet"]
+
+
+def judged(one: DataFrame, profile: Profile, stats: DataFrame | None = None) -> DataFrame:
+    """``phase_one`` rows with ``fused, is_target``; ``stats`` are frozen moments, by default those of the rows."""
+    return fuse.zscore_fuse(one, SIMILARITIES, profile.weights, stats).withColumn("is_target", fuse.accept(F.col("fused"), profile.z_threshold))
+
+
+def heard(yes: DataFrame, profile: Profile, main: str, quick: str | None = None) -> DataFrame:
+    """Accepted rows with the ``content`` that is recognised in them."""
+    d = yes.withColumn("heard_from", post_recognition(F.col("cmd"))).persist()
+    model = lambda name: lambda x: x.withColumn("heard", R.recognise(name, F.col("heard_from"), F.col("rate"), F.lit("zh"), profile.model_seconds))
+    spoken = C.recognise_command(d, model(quick), model(main), X.instruction_reliable) if quick else model(main)(d).withColumnRenamed("heard", "value")
+    return spoken.withColumn("content", finish_text(F.col("value"))).select(*yes.columns, "content")
+
+
+def rated(spoken: DataFrame, rest: DataFrame) -> DataFrame:
+    """Rows with their content and those without any: ``content, ref, hyp, failed, cer``."""
+    out = spoken.unionByName(rest.withColumn("content", F.lit("")))
+    out = out.withColumn("ref", X.normalize_text("label")).withColumn("hyp", X.normalize_text("content"))
+    out = out.withColumn("failed", F.col("cam").isNull() | F.col("eres").isNull() | F.col("rnet").isNull())
+    cer = F.when(metrics.truthy(F.col("label")), X.error_rate(F.col("ref"), F.col("hyp"))).otherwise(X.outcome_error(F.col("label"), F.col("hyp")))
+    return out.withColumn("cer", F.when(F.col("failed"), 1.0).otherwise(cer))
+
+
+def refused(rows: DataFrame) -> DataFrame:
+    return rows.where(~F.coalesce("is_target", F.lit(False)))
+
+
 def score_dataset(df: DataFrame, profile: Profile, main: str = "default", quick: str | None = None, separator: str = "default", stats: DataFrame | None = None, extractors: tuple[str, ...] | None = None) -> DataFrame:
     """Per row: ``fused, is_target, content, cer, failed``; recognition runs on accepted rows only.
 
@@ -162,16 +192,29 @@ def score_dataset(df: DataFrame, profile: Profile, main: str = "default", quick:
     it they are those of this run.
     """
     one = (phase_one(df, profile, separator, extractors) if extractors else phase_one(df, profile, separator)).persist()
-    judged = fuse.zscore_fuse(one, ["cam", "eres", "rnet"], profile.weights, stats).withColumn("is_target", fuse.accept(F.col("fused"), profile.z_threshold))
-    yes = judged.where("is_target").withColumn("heard_from", post_recognition(F.col("cmd"))).persist()
-    model = lambda name: lambda d: d.withColumn("heard", R.recognise(name, F.col("heard_from"), F.col("rate"), F.lit("zh"), profile.model_seconds))
-    spoken = C.recognise_command(yes, model(quick), model(main), X.instruction_reliable) if quick else model(main)(yes).withColumnRenamed("heard", "value")
-    spoken = spoken.withColumn("content", finish_text(F.col("value"))).select(*judged.columns, "content")
-    out = spoken.unionByName(judged.where(~F.coalesce("is_target", F.lit(False))).withColumn("content", F.lit("")))
-    out = out.withColumn("ref", X.normalize_text("label")).withColumn("hyp", X.normalize_text("content"))
-    out = out.withColumn("failed", F.col("cam").isNull() | F.col("eres").isNull() | F.col("rnet").isNull())
-    cer = F.when(metrics.truthy(F.col("label")), X.error_rate(F.col("ref"), F.col("hyp"))).otherwise(X.outcome_error(F.col("label"), F.col("hyp")))
-    return out.withColumn("cer", F.when(F.col("failed"), 1.0).otherwise(cer))
+    rows = judged(one, profile, stats)
+    return rated(heard(rows.where("is_target"), profile, main, quick), refused(rows))
+
+
+def score_in_batches(spark: SparkSession, df: DataFrame, folder: str, profile: Profile, main: str = "default", quick: str | None = None, separator: str = "default", extractors: tuple[str, ...] | None = None, batches: int = 16, key: str = "ckpt_key") -> DataFrame:
+    """``score_dataset`` whose finished batches are kept in ``folder``: started again after it was ended, it does only what is left.
+
+    Similarities are made batch by batch; each batch leaves its moments, and
+    those of all rows are merged from them once every batch is there.  Accepted
+    rows are then recognised batch by batch.  Rows are told apart by ``key``.
+    """
+    found = BatchLog(spark, f"{folder}/similarities")
+    moments = BatchLog(spark, f"{folder}/moments")
+    one = in_batches(df, found, key, batches, lambda d: phase_one(d, profile, separator, extractors) if extractors else phase_one(d, profile, separator))
+    known = {e["batch"] for e in moments.entries()}
+    for entry in found.entries():
+        if entry["batch"] not in known:
+            moments.append(fuse.partial_moments(one.where(F.col("batch") == entry["batch"]), SIMILARITIES, ["batch"]), entry["batch"])
+    parts = moments.read()
+    parts = fuse.partial_moments(one, SIMILARITIES, ["batch"]) if parts is None else parts
+    rows = judged(one, profile, fuse.as_statistics(fuse.merged_moments(parts), SIMILARITIES)).drop("batch")
+    spoken = in_batches(rows.where("is_target"), BatchLog(spark, f"{folder}/contents"), key, batches, lambda d: heard(d, profile, main, quick))
+    return rated(spoken.drop("batch"), refused(rows))
 
 
 def score_samples(df: DataFrame, profile: Profile, main: str = "default", separator: str = "default", extractor: str = "standin_cam") -> DataFrame:

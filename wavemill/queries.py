@@ -16,6 +16,8 @@ from .functions import digits, spectral
 from .functions import text as X
 from .models import registry
 from .operators import detect, fuse, gate, grid, metrics, sampling, sets, windows
+from .sources import scratch
+from .sources.batchlog import BatchLog, in_batches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +89,27 @@ def zscore_fuse(spark, sf):
     return d.select("id", "pos", r6(F.col("fused")).alias("fused"), fuse.accept(F.col("fused"), -0.22).alias("is_target"))
 
 
+@query(f"WITH {_FUSED} SELECT id, pos, round(fused, 6) AS fused, fused >= -0.22 AS is_target FROM f")
+def resumed_fusion(spark, sf):
+    """Trials in four batches, of which a first run does the first two thirds of the rows; the moments are merged from those of the batches."""
+    d, folder = trials(spark, sf), scratch.new_folder(spark, "resumed")
+    log, stats = BatchLog(spark, f"{folder}/trials"), BatchLog(spark, f"{folder}/moments")
+    in_batches(d.where("id % 3 > 0"), log, "id", 4, lambda x: x)
+    done = in_batches(d, log, "id", 4, lambda x: x)
+    for e in log.entries():
+        stats.append(fuse.partial_moments(done.where(F.col("batch") == e["batch"]), _SIMS, ["batch"]))
+    out = fuse.zscore_fuse(done, _SIMS, _W, fuse.as_statistics(fuse.merged_moments(stats.read()), _SIMS))
+    return out.select("id", "pos", r6(F.col("fused")).alias("fused"), fuse.accept(F.col("fused"), -0.22).alias("is_target"))
+
+
+@query("SELECT user_id, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY user_id")
+def merged_moments(spark, sf):
+    """Moments of each user, merged from those of its types of events."""
+    parts = fuse.partial_moments(t(spark, sf, "events"), ["value"], ["user_id", "event_type"])
+    m = fuse.merged_moments(parts, ["user_id"])
+    return m.select("user_id", "n", r6("mean").alias("mean"), r6(F.sqrt(F.col("m2") / F.col("n"))).alias("std"))
+
+
 @query(f"WITH {_FUSED} SELECT count(*) FILTER (fused >= -0.22) AS accepted, count(*) FILTER (fused < -0.22) AS rejected, round(avg((fused >= -0.22)::INT) FILTER (pos), 6) AS pos_rate, round(avg((fused < -0.22)::INT) FILTER (NOT pos), 6) AS rr FROM f")
 def accept_counts(spark, sf):
     d = fuse.zscore_fuse(trials(spark, sf), _SIMS, _W).withColumn("hit", fuse.accept(F.col("fused"), -0.22))
@@ -520,6 +543,31 @@ def tidy_records(spark, sf):
     return gate.tidy(raw).select("doc_id", "sim", "best", "triggered")
 
 
+_JSON = """SELECT doc_id, '{' || CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '"sim_abs":null,' WHEN 2 THEN '"sim_abs":' || n_chars || ',' WHEN 3 THEN '"sim_abs":"0.5",' WHEN 4 THEN '"sim_abs":"' || source || '",' ELSE '"sim_abs":true,' END
+    || CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN '"sep_triggered":null,' WHEN 2 THEN '"sep_triggered":"Yes",' WHEN 3 THEN '"sep_triggered":0,' WHEN 4 THEN '"sep_triggered":[],' WHEN 5 THEN '"sep_triggered":true,' ELSE '"sep_triggered":{"a":1},' END
+    || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '"label":null,' ELSE '"label":"",' END || '"sim_abs_weighted":' || doc_id || ',"cmd_separated":true}' AS j FROM documents"""
+
+
+@query(f"""SELECT doc_id, coalesce(json_type(j, '$.label') <> 'NULL', false) AS positive,
+    CASE coalesce(json_type(j, '$.sim_abs'), 'ABSENT') WHEN 'ABSENT' THEN TRY_CAST(j ->> '$.sim_abs_weighted' AS DOUBLE) WHEN 'NULL' THEN NULL WHEN 'BOOLEAN' THEN CASE WHEN j ->> '$.sim_abs' = 'true' THEN 1 ELSE 0 END ELSE TRY_CAST(j ->> '$.sim_abs' AS DOUBLE) END AS sim,
+    CASE coalesce(json_type(j, '$.sep_triggered'), 'ABSENT') WHEN 'ABSENT' THEN j ->> '$.cmd_separated' = 'true' WHEN 'NULL' THEN false WHEN 'VARCHAR' THEN lower(j ->> '$.sep_triggered') IN ('true', '1', 'yes') WHEN 'BOOLEAN' THEN j ->> '$.sep_triggered' = 'true' WHEN 'ARRAY' THEN j ->> '$.sep_triggered' <> '[]' WHEN 'OBJECT' THEN j ->> '$.sep_triggered' <> '{{}}' ELSE TRY_CAST(j ->> '$.sep_triggered' AS DOUBLE) <> 0 END AS triggered FROM ({_JSON})""")
+def tidy_variants(spark, sf):
+    """Records as texts of JSON, in which a key is absent, null, or holds a value of some kind."""
+    i = F.col("doc_id")
+
+    def one_of(n: int, *cases: str | F.Column):
+        out = F.when(i % n == 0, "")
+        for k, c in enumerate(cases[:-1], 1):
+            out = out.when(i % n == k, c)
+        return out.otherwise(cases[-1])
+
+    sim = one_of(6, '"sim_abs":null,', F.concat(F.lit('"sim_abs":'), "n_chars", F.lit(",")), '"sim_abs":"0.5",', F.concat(F.lit('"sim_abs":"'), "source", F.lit('",')), '"sim_abs":true,')
+    sep = one_of(7, *[f'"sep_triggered":{v},' for v in ("null", '"Yes"', "0", "[]", "true", '{"a":1}')])
+    text = F.concat(F.lit("{"), sim, sep, one_of(3, '"label":null,', '"label":"",'), F.lit('"sim_abs_weighted":'), "doc_id", F.lit(',"cmd_separated":true}'))
+    records = t(spark, sf, "documents").select("doc_id", F.parse_json(text).alias("record"))
+    return gate.tidy_records(records, label="label").select("doc_id", "positive", "sim", "triggered")
+
+
 # ---------------------------------------------------------------- joins, sets, limits
 
 
@@ -602,6 +650,18 @@ def positional_join(spark, sf):
     return sets.aligned(t(spark, sf, "documents").select("doc_id", "source"), t(spark, sf, "labels"), ("doc_id",)).select("doc_id", "quality", "toxic", "source")
 
 
+@query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM orders), c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position FROM customer)
+    SELECT position, o_orderkey, c_custkey FROM o JOIN c USING (position)""")
+def joined_by_position(spark, sf):
+    """The dearest orders beside the poorest customers, rank by rank: the tables share no key."""
+    return sets.by_position(t(spark, sf, "orders").select("o_orderkey", "o_totalprice"), t(spark, sf, "customer").select("c_custkey", "c_acctbal"), [F.desc("o_totalprice"), "o_orderkey"], ["c_acctbal", "c_custkey"]).select("position", "o_orderkey", "c_custkey")
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 64 AS batch FROM events QUALIFY (row_number() OVER (ORDER BY ts, event_id) - 1) < (SELECT count(*) // 64 * 64 FROM events)")
+def full_batches(spark, sf):
+    return sampling.full_batches(t(spark, sf, "events").select("event_id", "ts"), 64, ["ts", "event_id"]).select("event_id", "batch")
+
+
 @query()
 def pool_pairs(spark, sf):
     return sets.pool_pairs(t(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 2)
