@@ -17,40 +17,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.llm import jaccard, packing, pii, suffix, toxicity
-from wavemill.llm.common import checkpointed, table
+from wavemill.llm.common import checkpointed, small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def rows_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns that stages work on, in a session whose batches are small."""
+    small_batches(spark)
+    return docs.select(COLUMNS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, does not call toxic."""
-    docs = docs.select(COLUMNS)
+    docs = rows_of(spark, docs)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, out="_toxic").where("_toxic < 0.5").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of sets of five-word shingles linked at a similarity of 0.8 or more."""
-    docs = docs.select(COLUMNS)
+    docs = rows_of(spark, docs)
     return jaccard.keep_one(docs, jaccard.similar_classes(docs, words=5, threshold=(80, 100)))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the whole characters in byte strings of 200 that occur again."""
-    kept = suffix.remove_repeats(docs, whole_characters=True, carry=("lang", "source"))
+    kept = suffix.remove_repeats(rows_of(spark, docs), whole_characters=True, carry=("lang", "source"))
     text = F.col("kept").cast("string")
     return kept.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms in place of personal data."""
-    done = pii.pseudonymise(docs.select(COLUMNS), pii.key_of(spark) or pii.TEST_KEY)
+    """Texts with pseudonyms in place of personal data, under the session's key or one drawn for the application."""
+    done = pii.pseudonymise(rows_of(spark, docs), pii.application_key(spark))
     return done.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's place in a token-budget batch of its length bucket."""
-    return packing.pack(docs)
+    return packing.pack(rows_of(spark, docs))
 
 
 STAGES = [

@@ -1,16 +1,18 @@
 """Small fixtures against brute force, round trips and held-out accuracy; nulls, empty and repeated rows, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.llm import bpe, chat, jaccard, langid, packing, pii, quality, suffix, topk, toxicity
+from wavemill.llm import bpe, chat, common, jaccard, langid, packing, pii, quality, suffix, topk, toxicity
 from wavemill.llm.common import components
 
 SCHEMA = "doc_id long, text string, n long, key string, score double, kept string"
@@ -122,8 +124,6 @@ def test_bpe_round_trip(spark):
 
 
 class Rewriting:
-    context = None
-
     def render(self, turns):
         return f"[{len(turns)} turns]" + "".join(t for _, t in turns)
 
@@ -191,12 +191,12 @@ def test_topk(spark):
     v = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(300)] + [(400 + i, v0) for i in range(20) for v0 in [[0.5] * 8]]
     rows = [*v, (500, None), (501, [float("nan")] * 8), (502, [None] * 8), (50_000, [0.5] * 8)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    topk_blocks = topk.QUERY_BLOCK, topk.CANDIDATE_BLOCK
-    topk.QUERY_BLOCK, topk.CANDIDATE_BLOCK = 3, 50
+    topk_blocks = topk.QUERY_BYTES, topk.CANDIDATE_BYTES
+    topk.QUERY_BYTES, topk.CANDIDATE_BYTES = 100, 1600
     try:
         got = sorted(tuple(r) for r in topk.top_k(d, F.col("vec_id") % 50 == 0).collect())
     finally:
-        topk.QUERY_BLOCK, topk.CANDIDATE_BLOCK = topk_blocks
+        topk.QUERY_BYTES, topk.CANDIDATE_BYTES = topk_blocks
     q = {i: np.floor(256 * np.array(x)).astype(np.int64) for i, x in [*v, rows[-1]]}
     want = []
     for i in (i for i in q if i % 50 == 0):
@@ -372,24 +372,38 @@ def test_maximal_repeats(spark):
 
 
 class Lying(chat.BlockTemplate):
-    """Declares that turns do not depend on each other, but counts them once there are ten."""
+    """Looks as if turns did not depend on each other, but changes its head between two turns and back."""
 
     context = 0
 
+    def __init__(self, since, until):
+        super().__init__()
+        self.since, self.until = since, until
+
     def render(self, turns):
-        return ("" if len(turns) < 10 else f"{len(turns)} ") + super().render(turns)
+        return ("!" if self.since <= len(turns) < self.until else "") + super().render(turns)
+
+
+@pytest.mark.parametrize("n, since, until", [(40, 10, 99), (1300, 1100, 9999), (3000, 1500, 1501), (3000, 2999, 9999)])
+def test_every_rewrite_is_found(n, since, until):
+    turns = [("user", f"turn {i} of a long conversation") for i in range(n)]
+    template = Lying(since, until)
+    tracer = chat.Tracer(template)
+    found = [tracer.add(t) for t in turns]
+    assert [i + 1 for i, f in enumerate(found) if f[3]] == [k for k in (since, until) if k <= n]
+    assert tracer.before == template.render(turns) and found[since - 1][1] == 0 and found[-1][2] == len(tracer.before)
+    if n < 100:
+        assert [f[1:] for f in found] == chat.trace(template, turns)[1]
 
 
-def test_chat_prefixes_are_compared_whole(monkeypatch):
-    turns = [("user", f"t{i}") for i in range(40)]
-    whole = [x for _, x in enumerate(chat.trace(Lying(), turns)[1])]
-    tracer = chat.Tracer(Lying())
-    assert [tracer.add(t)[1:] for t in turns] == whole and whole[9][2] and not whole[8][2]
-    monkeypatch.setattr(chat, "WHOLE", 4)  # a lie beyond is found when the turns have doubled
-    tracer = chat.Tracer(Lying())
-    assert [i for i, t in enumerate(turns) if tracer.add(t)[3]][0] == 15 and tracer.before == Lying().render(turns)
-    honest = chat.Tracer(chat.BlockTemplate())
-    assert [honest.add(t)[1:] for t in turns] == chat.trace(chat.BlockTemplate(), turns)[1]
+def test_very_long_conversation(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i} " * 20) for i in range(1500)] + [(2, 0, "assistant", "x: y" * 300_000)]
+    d = spark.createDataFrame([(*r, 1, "t") for r in rows], "conv_id long, turn long, role string, text string, start int, formatted string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(d)).collect()}
+    for c in (1, 2):
+        mine = [r for r in rows if r[0] == c]
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in mine).encode()).hexdigest()
+        assert got[c]["loss_chars"] == sum(len(r[3]) for r in mine if r[2] == "assistant") and got[c]["n_rewrites"] == 0
 
 
 def test_pii_links_notations(spark):
@@ -411,13 +425,196 @@ def test_pii_links_notations(spark):
         pii.pseudonymise(bad)
 
 
-def test_topk_refuses_scores_beyond_64_bits(spark):
-    d = spark.createDataFrame([(0, [1e300, 2.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="64 bits"):
-        topk.top_k(d, F.col("vec_id") == 0).collect()
+def plain_top(rows, k=5):
+    """Rows (id, components); queries are those with an id divisible by 50; whole numbers of any size."""
+    whole = [(i, [Fraction(x) * 256 // 1 for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for i, v in whole:
+        if i % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in whole if j != i)[:k]
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
+    return sorted(out)
+
+
+def test_topk_of_long_vectors(spark):
+    rng = random.Random(9)
+    rows = [(0, [1e7, 0.0]), (50, [1.0, 1.0]), (1, [0.5, 2.0])]
+    wide = [(i, [rng.uniform(-2, 2), rng.uniform(-99, 99), rng.uniform(-1, 1) * 10.0 ** rng.choice([0, 3, 7])]) for i in range(150)]
+    far = [(0, [1.0, 1.0]), (50, [1.0, -1.0]), (7, [1e14, 0.0]), *[(100 + i, [1.0, i / 4]) for i in range(1, 40)]]
+    for case in (rows, wide, far, [(0, [1e30, 0.0]), (1, [0.0, 3.0]), (2, [0.0, -1.0])]):
+        want = plain_top(case)
+        assert max(abs(r[3]) for r in want) < 1 << 63
+        d = spark.createDataFrame([(*r, "t") for r in case], "vec_id long, embedding array<double>, score string").repartition(3)
+        assert sorted(tuple(r) for r in topk.top_k(d, F.col("vec_id") % 50 == 0).collect()) == want
+
+
+def test_topk_tells_scores_beyond_64_bits(spark):
+    for v in ([1e200, 2.0], [-1e200, 0.0]):  # the one candidate there is has to be returned
+        d = spark.createDataFrame([(0, v), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(d, F.col("vec_id") == 0).collect()
+    # One that is not among the best is no error.
+    d = spark.createDataFrame([(0, [1.0, 1.0]), (1, [2.0, 1.0]), (2, [-1e200, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(d, F.col("vec_id") == 0, k=1).collect()] == [(0, 1, 1, 3 * 65536)]
     assert topk.top_k(d.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_topk_of_repeated_rows(spark):
+    rows = [(0, [1.0, 2.0])] * 2 + [(3, [1.0, 1.0])] * 2 + [(4, [9.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r)[1:] for r in topk.top_k(d, F.col("vec_id") == 0, k=3).collect()]
+    assert got == [(1, 4, 9 * 65536), (2, 4, 9 * 65536), (3, 3, 3 * 65536)]
+
+
+def test_bpe_cuts_in_other_scripts():
+    rng = random.Random(3)
+    enc = bpe.encoding()
+    cyrillic = " ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(rng.randint(1, 9))) for _ in range(40_000))
+    chinese = " ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(rng.randint(1, 5))) for _ in range(30_000))
+    unspaced = "".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(rng.randint(1, 9))) + rng.choice("、。！，：；？") for _ in range(20_000))
+    mixed = "".join(rng.choice(["字", "。", " ", "\n", "a", "'s", "１", "é", "\u3000", "\x1c", "…", "か", "\u0301", "7", "，", "\t", "\u00a0"]) for _ in range(60_000))
+    for text in (cyrillic, chinese, unspaced, mixed):
+        parts = list(bpe.pieces(text, 4000))
+        assert "".join(parts) == text and max(map(len, parts)) < 4200
+        assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+
+
+def families(m, seed=3):
+    """2m near copies of one text, m of another that is far from it, and texts between the two that link each side to the next."""
+    rng = random.Random(seed)
+    one = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    places = rng.sample(range(600), 25)
+    other = [f"y{rng.randrange(10**6)}" if i in places else w for i, w in enumerate(one)]
+
+    def near(text, n=2):
+        return " ".join(f"z{rng.randrange(10**6)}" if i in spots else w for spots in [set(rng.sample(range(600), n))] for i, w in enumerate(text))
+
+    return [(i, near(one)) for i in range(2 * m)] + [(10_000 + i, near(other)) for i in range(m)], one, other, places
+
+
+def made(monkeypatch, run):
+    """Rows of the frames of candidate pairs that a run makes."""
+    counts, real = [], jaccard.checkpointed
+
+    def spy(df):
+        out = real(df)
+        if df.columns == ["a", "b"] or "node_b" in df.columns:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "checkpointed", spy)
+    got = run()
+    monkeypatch.setattr(jaccard, "checkpointed", real)
+    return got, sum(counts)
+
+
+def test_jaccard_of_two_families_makes_no_pairs(spark, monkeypatch):
+    rows, *_ = families(400)
+    d = frame(spark, rows).repartition(4)
+    got, pairs = made(monkeypatch, lambda: jaccard.similar_classes(d, words=3, threshold=(90, 100)).collect())
+    assert {(r["doc_id"] >= 10_000, r["component_id"]) for r in got} == {(False, 0), (True, 10_000)} and pairs <= 400
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_of_families_with_bridges(spark, seed):
+    """Texts between the families, some of which link them, and families that only look alike."""
+    rng = random.Random(seed)
+    rows, one, other, places = families(12, seed)
+    for i in range(30):
+        mine = set(rng.sample(places, rng.randrange(0, 26)))
+        rows.append((20_000 + i, " ".join(other[k] if k in mine else w for k, w in enumerate(one))))
+    for f in range(3):  # far from each other and in themselves
+        base = [other[k] if k % 9 == f else w for k, w in enumerate(one)]
+        rows += [(30_000 + 100 * f + i, " ".join(f"q{rng.randrange(10**6)}" if rng.random() < 0.03 else w for w in base)) for i in range(10)]
+    sets = {i: {tuple(w[j : j + 3]) for w in [t.split()] for j in range(len(w) - 2)} for i, t in rows}
+    to = {i: i for i in sets}
+
+    def root(x):
+        while to[x] != x:
+            x = to[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 100 * len(a & b) >= 90 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                to[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_classes(frame(spark, rows).repartition(5), words=3, threshold=(90, 100)).collect()}
+    assert got == {i: root(i) for i in sets}
+
+
+def test_texts_of_a_large_group_stay_apart(spark):
+    """No task gets the texts of all members of a root."""
+    rows, *_ = families(150)
+    texts = frame(spark, [(i, t) for i, t in rows if i < 10_000]).select(F.col("doc_id").alias("node"), "text")
+    pairs = texts.where("node > 0").select(F.lit(0).cast("long").alias("a"), F.col("node").alias("b"), F.lit(None).cast("long").alias("most"))
+    seen = []
+    real = jaccard.checkpointed
+
+    def spy(df):
+        if "delta" in df.columns:
+            seen.append(df)
+        return real(df)
+
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    jaccard.checkpointed = spy
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = jaccard._differences(pairs, texts, 3)
+        assert out.count() == 299 and out.select(F.max("d")).first()[0] < 40
+        sizes = [r["n"] for r in seen[0].groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert max(sizes) <= 2 * jaccard.PART
+    finally:
+        jaccard.checkpointed = real
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_settings_are_read_as_spark_writes_them(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(setting)
+    try:
+        for given, want in (("64m", str(8 << 20)), ("1g", str(8 << 20)), ("67108864b", str(8 << 20)), ("1m", "1m"), ("4096", "4096")):
+            spark.conf.set(setting, given)
+            common.small_batches(spark)
+            assert spark.conf.get(setting) in (want, f"{want}b")
+            kept = spark.conf.get(setting)
+            assert bpe.counts(frame(spark, [(1, "a b")])).first()["n_tokens"] == 2 and spark.conf.get(setting) == kept
+    finally:
+        spark.conf.set(setting, old)
+
+
+def test_rows_meet_what_their_key_has(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["hot"] * 5 + [None, "a", "b", *[f"k{j}" for j in range(300)]])) for i in range(3000)]
+    d = spark.createDataFrame(rows, "id long, key string")
+    by = d.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("twice", F.col("n") * 2)
+    counts = Counter(k for _, k in rows)
+    got = {(r["id"], r["key"], r["twice"]) for r in common.joined_by_key(d, by, "key", "n").collect()}
+    assert got == {(i, k, 2 * counts[k]) for i, k in rows}
+
+
+def test_least_count(spark):
+    counts = [rng for k in range(1, 60) for rng in [k**4] * (60 - k)]
+    d = spark.createDataFrame([(c,) for c in counts], "n long")
+    for most in (0, 1, 5, 100, 1000, 10**6):
+        least = common.least_count(d, most)
+        n = sum(c >= least for c in counts)
+        assert n <= most and (n == len(counts) or n + max(Counter(counts).values()) * 2 > most)
+
+
+def test_keys_are_drawn_where_none_is_set(spark):
+    key = pii.application_key(spark)
+    assert key == pii.application_key(spark) and len(key) == 64
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.application_key(spark) == "mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_packing_counts_tokens(spark):
     rows = [(1, "Hello, wörld! 漢字"), (2, None), (3, "a b c")]
     got = {r["doc_id"]: r["n_tokens"] for r in packing.pack(frame(spark, rows)).collect()}

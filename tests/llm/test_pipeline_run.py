@@ -64,7 +64,7 @@ def test_run_against_brute_force(spark, tmp_path):
         cut.append((i, "".join(c for c, m in zip(t, mask) if not m)))
     assert sum(len(t) for _, t in cut) < sum(len(t) for _, t in left)
 
-    hidden = pii.pseudonymise(spark.createDataFrame(cut, "doc_id long, text string"), pii.TEST_KEY).collect()
+    hidden = pii.pseudonymise(spark.createDataFrame(cut, "doc_id long, text string"), pii.application_key(spark)).collect()
     assert sum(r["n_pseudonyms"] for r in hidden) == 2
     length = {r["doc_id"]: len(bpe.encoding().encode_ordinary(r["text"])) for r in hidden}
     assert {i: r["n_tokens"] for i, r in got.items()} == length

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +11,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed
 
 #: Bytes of a batch of rows on its way to Python, at most (one row at least); JVM and Python each hold a few.
 BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's limit on the bytes of a batch; batches of long texts would else take most of an executor."""
+    """Lower the session's limit on the bytes of a batch; batches of long texts would else take most of an executor.
+
+    Sessions belong to applications: the queries and the pipeline call this, the
+    operators leave the settings as they find them.
+    """
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(setting).rstrip("b")) > BATCH_BYTES:
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+    if not 0 < now <= BATCH_BYTES:
         spark.conf.set(setting, str(BATCH_BYTES))
 
 
@@ -29,21 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that ``spark.checkpoint.dir`` names.
-
-    Only where the setting is absent (tests on one machine) a temporary folder
-    is used.
-    """
-    spark = df.sparkSession
-    small_batches(spark)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="wavemill-"))
-    return df.checkpoint(eager=True)
-
-
 def trimmed(run):
     """A function of batches that hands back the memory it has freed: Python workers live on, and what they keep is lost to the executor."""
 
@@ -165,6 +155,20 @@ def joined_by_key(rows: DataFrame, by_key: DataFrame, key: str, count: str, shar
     return out.select(*rows.columns, *[F.coalesce(f"_h_{c}", c).alias(c) for c in other])
 
 
+def least_count(counts: DataFrame, most: int, column: str = "n") -> int:
+    """The least count that at most ``most`` rows reach; the driver gets the numbers of rows by count, exact ones to 4096 and 64 for each doubling above."""
+    n = F.col(column)
+    step = F.when(n <= 4096, n).otherwise(F.floor(F.log2(n) * 64) + 4096 - 12 * 64 + 1)
+    rows = counts.groupBy(step.cast("long").alias("step")).agg(F.count(F.lit(1)).alias("rows"), F.min(column).alias("least")).collect()
+    found, total = 1 << 62, 0
+    for r in sorted(rows, key=lambda r: -r["step"]):
+        total += r["rows"]
+        if total > most:
+            break
+        found = r["least"]
+    return found
+
+
 def heavy_values(values: DataFrame, column: str = "value", most: int = 1 << 16) -> np.ndarray:
     """Sorted by frequency, the commonest ``most`` of the (value, n) rows that ``frequent_in_chunks`` gave; a bounded list."""
     rows = values.groupBy(column).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), column).limit(most).select(column).toPandas()

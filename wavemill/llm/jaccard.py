@@ -19,17 +19,28 @@ that are equal in one whole part; all other parts' entries are never met.
 *Answers derived from a similar set's.*  A set weighs as much as the lists that
 it is in hold; the heaviest set of a list (usually the text that the others
 were copied from) is its head.  Each set's head is the one that it meets most
-often; heads' heads are heavier and lead to a root.  The
-difference ``D(X)`` between a set and its root is computed once from both
-whole texts.  For two sets of one root the difference is ``D(X) xor D(Y)``, so
-what the root has in common with both is skipped: they link with the root and
-so are in one class, or else ``D(X)`` and ``D(Y)`` share some shingles.  Those
-pairs are found by a prefix index on the differences, rarest first, where an
-entry's position bounds the overlap that is still possible.  So a large group
-of texts that are alike, whether linked or not, costs no pair of its members
-but those that may link.  Two sets of different roots that meet in a list are
-decided by ``D(X) xor (root xor root') xor D(Y)``; the roots' difference is
-computed once for all such pairs.
+often; heads' heads are heavier and lead to a root.  The difference ``D(X)``
+between a set and its root is computed once from both whole texts.  Sets that
+link with their root are one class with it.  Those that do not are looked at
+again among themselves: a family that is far from its root but alike in itself
+gets a root of its own (``REROOTED`` times; what is left keeps its root).
+
+For two sets of one root the difference is ``D(X) xor D(Y)``, so what the root
+has in common with both is skipped: they both link with the root and so are in
+one class, or else ``D(X)`` and ``D(Y)`` share some shingles.  Those pairs are
+found by a prefix index on the differences, rarest first, where an entry's
+position bounds the overlap that is still possible.
+
+Two sets of different roots that meet in a list are decided by
+``D(X) xor (root xor root') xor D(Y)``; the roots' difference is computed once
+for all such pairs.  Where it is larger than the largest differences on both
+sides and the room together, no pair is made at all; elsewhere only pairs whose
+own differences and room reach that far.  So the pairs that are made are those
+between sets far from their roots; families alike, linked or not, cost none.
+
+*Hot keys.*  The rows of a list, or of a root, with half a percent of all rows
+or more are not brought together: what they need is broadcast.  Texts meet
+their root's text in parts of ``PART`` members.
 
 Null text, empty text and text without words have an empty set, which links
 with nothing.  With fewer than ``words`` words the whole sequence is the one
@@ -49,10 +60,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed, components, heavy_values, id_text, joined, mix64, table, trimmed
+from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed, components, heavy_values, id_text, joined, joined_by_key, mix64, table, trimmed
 
 #: The parts left out, as a share of the room.
 SPARE = 0.5
+#: How often sets that do not link with their root get another one, and the members that meet one copy of a root's text.
+REROOTED, PART = 2, 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,8 +203,12 @@ def _lists(entries: DataFrame) -> DataFrame:
 
 def _differences(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """``a, b, na, nb, d, delta``: of pairs ``a, b, most`` the sizes, the number of shingles in one set only, and these where they are ``most`` at most (null: any number)."""
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "most", "text_a", "text_b")
+    sizes = checkpointed(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / PART).cast("long")))
+    parted = joined_by_key(pairs, sizes, "a", "n").select("a", "b", "most", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    with_b = parted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    heads = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(sizes.select("a", "parts"), "a")
+    heads = heads.select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = with_b.join(heads, ["a", "part"]).select("a", "b", "most", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -248,20 +265,33 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     def linked(d: Column, s: Column) -> Column:
         return d * (num + den) <= s * (den - num)
 
-    # Heads, and what each set differs in from its root.
-    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    weights = lists.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
-    heads = lists.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h")).select("key", F.col("h.weight").alias("weight"), F.col("h.node").alias("head"))
-    met = lists.join(heads, "key").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("met"), F.max("weight").alias("weight"))
-    star = checkpointed(met.groupBy("node").agg(F.max(F.struct("met", "weight", "head")).alias("m")).select(F.col("m.head").alias("a"), F.col("node").alias("b"), F.lit(None).cast("long").alias("most")))
-    ends = texts(star.select(F.col("a").alias("node")).union(star.select("b")))
-    near = _differences(star, ends, words).where(F.col("d") * 2 <= F.col("na") + F.col("nb"))
-    root_of = _roots(near.select(F.col("b").alias("node"), F.col("a").alias("parent")))
-    direct = near.join(root_of.select(F.col("node").alias("b"), F.col("root").alias("a")), ["a", "b"])
-    deep = checkpointed(root_of.join(near.select(F.col("a").alias("root"), F.col("b").alias("node")), ["root", "node"], "left_anti").select(F.col("root").alias("a"), F.col("node").alias("b"), F.lit(None).cast("long").alias("most")))
-    far = _differences(deep, texts(deep.select(F.col("a").alias("node")).union(deep.select("b"))), words)
-    members = direct.select("a", "b", "na", "nb", "d", "delta").unionByName(far)
-    members = checkpointed(members.select(F.col("b").alias("node"), F.col("a").alias("root"), F.col("nb").alias("n"), "d", "delta", linked(F.col("d"), F.col("na") + F.col("nb")).alias("linked")))
+    def rooted(lists: DataFrame) -> DataFrame:
+        """``node, root, n, d, delta, linked``: what the sets of ``lists`` differ in from their roots."""
+        sizes = checkpointed(lists.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).withColumn("size", F.col("rows")))
+        weighed = joined_by_key(lists, sizes, "key", "rows")
+        weights = weighed.groupBy("node").agg(F.sum("size").alias("weight"))
+        top = lists.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h"), F.count(F.lit(1)).alias("rows"))
+        heads = checkpointed(top.select("key", "rows", F.col("h.weight").alias("weight"), F.col("h.node").alias("head")))
+        met = joined_by_key(lists, heads, "key", "rows").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("met"), F.max("weight").alias("weight"))
+        star = checkpointed(met.groupBy("node").agg(F.max(F.struct("met", "weight", "head")).alias("m")).select(F.col("m.head").alias("a"), F.col("node").alias("b"), F.lit(None).cast("long").alias("most")))
+        near = _differences(star, texts(star.select(F.col("a").alias("node")).union(star.select("b"))), words).where(F.col("d") * 2 <= F.col("na") + F.col("nb"))
+        root_of = _roots(near.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+        direct = near.join(root_of.select(F.col("node").alias("b"), F.col("root").alias("a")), ["a", "b"])
+        deep = checkpointed(root_of.join(near.select(F.col("a").alias("root"), F.col("b").alias("node")), ["root", "node"], "left_anti").select(F.col("root").alias("a"), F.col("node").alias("b"), F.lit(None).cast("long").alias("most")))
+        found = direct.select("a", "b", "na", "nb", "d", "delta")
+        if not deep.isEmpty():
+            found = found.unionByName(_differences(deep, texts(deep.select(F.col("a").alias("node")).union(deep.select("b"))), words))
+        return checkpointed(found.select(F.col("b").alias("node"), F.col("a").alias("root"), F.col("nb").alias("n"), "d", "delta", linked(F.col("d"), F.col("na") + F.col("nb")).alias("linked")))
+
+    members = rooted(lists)
+    for _ in range(REROOTED):
+        apart = checkpointed(members.where("not linked").select("node"))
+        among = checkpointed(_lists(lists.join(apart, "node", "left_semi").select("key", "node")))
+        if among.isEmpty():
+            break
+        better = rooted(among).where("linked")
+        settled = checkpointed(better.select("node").union(better.select("root")).distinct())
+        members = checkpointed(members.join(settled, "node", "left_anti").unionByName(better))
     classes = members.where("linked").select("node", F.col("root").alias("class"))
 
     # Two sets of one root: prefix index on the differences.
@@ -273,32 +303,40 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     prefix = active.select("node", "root", "n", "d", "linked").join(ranked, "node").select("node", "root", "n", "d", "linked", F.posexplode(F.slice("ranked", F.lit(1), most)).alias("pos", "t"))
     prefix = checkpointed(prefix.where("t.number > 1").select("root", F.col("t.token").alias("token"), "node", "n", "d", "linked", "pos"))
     left, right = (prefix.select("root", "token", *[F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "d", "linked", "pos")]) for i in "ab")
-    room = (F.col("n_a") + F.col("n_b")) * (den - num)
-    fits = (F.col("node_a") < F.col("node_b")) & ~(F.col("linked_a") & F.col("linked_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    fits &= ((2 * F.col("pos_a") - F.col("d_a") + F.col("d_b")) * (den + num) <= room) & ((2 * F.col("pos_b") - F.col("d_b") + F.col("d_a")) * (den + num) <= room)
+    space = (F.col("n_a") + F.col("n_b")) * (den - num)
+    alike_sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    fits = (F.col("node_a") < F.col("node_b")) & ~(F.col("linked_a") & F.col("linked_b")) & alike_sizes
+    fits &= ((2 * F.col("pos_a") - F.col("d_a") + F.col("d_b")) * (den + num) <= space) & ((2 * F.col("pos_b") - F.col("d_b") + F.col("d_a")) * (den + num) <= space)
     alike = checkpointed(left.join(right, (left["root"] == right["root"]) & (left["token"] == right["token"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
     deltas = [members.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("delta").alias("d" + x)) for x in "ab"]
     within = alike.join(deltas[0], "a").join(deltas[1], "b").where(linked(F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db")), F.col("na") + F.col("nb"))).select("a", "b")
 
-    # Sets of different roots that meet in a list: by the difference of their roots.
+    # Sets of different roots that meet in a list: by the difference of their roots, as far as their own reach.
+    placed = lists.select("key", "node").join(members.select("node", "root", "d"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("d", F.lit(0)).alias("d"))
+    placed = checkpointed(placed.join(nodes.select("node", "n"), "node"))
+    kinds = checkpointed(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("rows")).select("key", "rows", (F.col("x") < F.col("y")).alias("mixed")))
+    entries = checkpointed(joined_by_key(placed, kinds, "key", "rows").where("mixed").drop("mixed"))
+    sides = entries.groupBy("key", "root").agg(F.max("d").alias("d"), F.max("n").alias("n"), F.min("n").alias("least"))
+    one, two = (sides.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("root", "d", "n", "least")]) for i in "ab")
+    room = lambda x, y: F.floor((F.col(x) + F.col(y)) * (den - num) / (den + num) + 1e-9)
+    meet = (F.col("root_a") < F.col("root_b")) & (F.col("n_a") * den >= F.col("least_b") * num) & (F.col("n_b") * den >= F.col("least_a") * num)
+    reach = F.col("d_a") + F.col("d_b") + room("n_a", "n_b")
+    both = checkpointed(one.join(two, "key").where(meet).select("key", "root_a", "root_b", "d_a", "n_a", "d_b", "n_b", reach.cast("long").alias("most")))
+    heads = checkpointed(both.groupBy("root_a", "root_b").agg(F.max("most").alias("most")).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"), "most"))
+    between = _differences(heads, texts(heads.select(F.col("a").alias("node")).union(heads.select("b"))), words).where("delta is not null").select(F.col("a").alias("root_a"), F.col("b").alias("root_b"), F.col("d").alias("gap"), "delta")
+    near = checkpointed(both.join(between.select("root_a", "root_b", "gap"), ["root_a", "root_b"]).where("gap <= most").drop("most"))
+    ends = []
+    for i, j in ("ab", "ba"):
+        own = entries.select("key", F.col("root").alias(f"root_{i}"), F.col("node").alias(f"node_{i}"), F.col("n").alias("own_n"), F.col("d").alias("own_d"))
+        able = own.join(near, ["key", f"root_{i}"]).where(F.col("own_d") + F.col(f"d_{j}") + room("own_n", f"n_{j}") >= F.col("gap"))
+        ends.append(able.select("key", "root_a", "root_b", "gap", f"node_{i}", F.col("own_n").alias(f"size_{i}"), F.col("own_d").alias(f"dist_{i}")))
+    sized = (F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num) & (F.col("dist_a") + F.col("dist_b") + room("size_a", "size_b") >= F.col("gap"))
+    cross = ends[0].join(ends[1].drop("gap"), ["key", "root_a", "root_b"]).where(sized).select("node_a", "root_a", "size_a", "node_b", "root_b", "size_b").distinct()
     none = F.array().cast("array<long>")
-    placed = lists.select("key", "node").join(members.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    placed = checkpointed(placed)
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    entries = checkpointed(placed.join(mixed, "key", "left_semi").join(nodes.select("node", "n"), "node"))
-    one, two = (entries.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("node", "root", "n")]) for i in "ab")
-    meet = (F.col("root_a") < F.col("root_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    cross = one.join(two, (one["key"] == two["key"]) & meet).select("node_a", "root_a", "n_a", "node_b", "root_b", "n_b").distinct()
     apart = [members.select(F.col("node").alias(f"node_{i}"), F.col("delta").alias(f"delta_{i}")) for i in "ab"]
-    cross = checkpointed(cross)
-    reach = F.coalesce(F.size("delta_a"), F.lit(0)) + F.coalesce(F.size("delta_b"), F.lit(0)) + F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num) + 1e-9)
-    sized = [x.select(f"node_{i}", F.col(f"delta_{i}")) for x, i in zip(apart, "ab")]
-    heads = cross.join(sized[0], "node_a", "left").join(sized[1], "node_b", "left").groupBy("root_a", "root_b").agg(F.max(reach).alias("most"))
-    heads = checkpointed(heads.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"), F.col("most").cast("long").alias("most")))
-    between = _differences(heads, texts(heads.select(F.col("a").alias("node")).union(heads.select("b"))), words).where("delta is not null").select(F.col("a").alias("root_a"), F.col("b").alias("root_b"), "delta")
-    known = cross.join(between, ["root_a", "root_b"]).join(apart[0], "node_a", "left").join(apart[1], "node_b", "left")
+    known = checkpointed(cross).join(between, ["root_a", "root_b"]).join(apart[0], "node_a", "left").join(apart[1], "node_b", "left")
     whole = _xor(_xor(F.col("delta"), F.coalesce("delta_a", none)), F.coalesce("delta_b", none))
-    across = known.where(linked(F.size(whole), F.col("n_a") + F.col("n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    across = known.where(linked(F.size(whole), F.col("size_a") + F.col("size_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
     # Rows with one id are one document.
     shared = full.select("doc_id", "s1").groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("_z")).where("a < _z").select("doc_id", "a")
