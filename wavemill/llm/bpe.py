@@ -2,8 +2,9 @@
 
 A rank file is read once in each Python worker.  Long texts are cut before
 encoding at boundaries where no pre-token can reach across (a white-space
-character after one that is none), so the pieces encode independently and the
-ids are those of the whole text.  Decoding joins the raw bytes of the ids.
+character after one that is none, or a mark after an ideograph), so the pieces
+encode independently and the ids are those of the whole text.  A run of letters
+without any such place is one pre-token and stays whole.  Decoding joins the raw bytes of the ids.
 
 Null text counts as empty: no ids, no bytes.  Repeated rows give repeated rows.
 """
@@ -27,7 +28,8 @@ PIECE_CHARS = 1 << 16
 #: White-space runs over this many characters are matched outside the library's regex engine.
 LONG_RUN = 10_000
 
-_SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?])[ \n\t\r]")
+# Before white space after anything else, and between an ideograph or kana and a mark: no pre-token has both.
+_SAFE = re.compile(r"(?<=\S)[ \n\t\r]|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff])[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]")
 _RUN = re.compile(r"\s{%d}" % LONG_RUN)
 _LOADED: dict = {}
 
@@ -46,7 +48,7 @@ def encoding(path: str | None = None, pattern: str | None = None):
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
-    """Cut a long text where no pre-token can cross: before white space that follows a visible character."""
+    """Cut a long text where no pre-token can cross."""
     at = 0
     while len(text) - at > size:
         m = _SAFE.search(text, at + size)
