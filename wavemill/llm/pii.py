@@ -19,7 +19,9 @@ position keeps its alphabet, check digits are recomputed, separators stay, a
 date becomes another real date in the same notation.  The same value under the
 same key gets the same pseudonym in every document, however its groups are
 divided (cards, IBANs, phone numbers), its date is written or the name of its
-e-mail address is capitalised, and two values of a kind never share one.  (Like any permutation it may map a value to itself; with a
+e-mail address is capitalised, and two values of a kind never share one.  The domain of an e-mail address stays in
+clear as it is written (so an address with its domain in other letters is told
+apart), as do the first two digits of a phone number.  (Like any permutation it may map a value to itself; with a
 short e-mail name this is a real chance.)
 
 Null text stays null, empty text empty, both without findings.  Rows are
@@ -30,6 +32,8 @@ table gives no rows.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +42,8 @@ from .common import table
 ROUNDS = 8
 #: Where the key is read from if none is given; there is no built-in one.
 KEY_SETTING = "spark.wavemill.pii.key"
-#: The key of the queries over the public test tables, where the setting is absent.  It hides nothing.
-TEST_KEY = "public test tables"
+#: Keys drawn for applications whose setting holds none.
+_DRAWN: dict[str, str] = {}
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
@@ -320,6 +324,15 @@ def key_of(spark: SparkSession) -> str | None:
     return spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING)
 
 
+def application_key(spark: SparkSession) -> str:
+    """The setting's key or else one drawn at random, which the driver keeps in memory as long as the application runs.
+
+    Under a drawn key values stay linked within the application, and nobody can
+    link them afterwards; to link runs, set the key.
+    """
+    return key_of(spark) or _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
 def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text") -> DataFrame:
     """Every column of ``docs`` with the text pseudonymised, ``n_pseudonyms long`` and ``kinds array<string>``, in text order.
 
@@ -350,4 +363,4 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text"
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark) or TEST_KEY)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), application_key(spark))
