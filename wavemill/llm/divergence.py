@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, checkpointed, joined, table, trimmed
+from .common import batches_of, checkpointed, joined, least_count, table, trimmed
 
 #: Every byte that is no ASCII letter and no part of a non-ASCII character becomes a space; A-Z become a-z.
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -170,7 +170,7 @@ def postings(docs: DataFrame, least: int = 30, automaton: int = 200_000, **colum
     numbered = kept.withColumn("spot", spot).withColumn("id", F.col("spot") + F.lit(1 << 12) * (F.row_number().over(Window.partitionBy("spot").orderBy("lang", "term")).cast("long") - 1))
     kept = checkpointed(numbered.select("lang", "id", "term", "n"))
     total = kept.count()
-    known = kept if total <= automaton else checkpointed(kept.orderBy(F.desc("n"), "id").limit(automaton))
+    known = kept if total <= automaton else checkpointed(kept.where(F.col("n") >= least_count(kept, automaton)))
     counts = checkpointed(occurrences(rows, known.select("lang", "id", "term"), total > automaton))
     found = counts.where("id >= 0").select("lang", "source", "id", "n")
     if total > automaton:

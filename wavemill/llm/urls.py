@@ -9,8 +9,8 @@ Rules are a list in the driver's memory; a task looks up the suffixes of a host.
 Viterbi's algorithm under a unigram model: the number of times that a word
 stands in all documents (lowered runs of letters) or in a label of a host or a
 segment of a path that marks or digits cut in several, of which the
-``vocabulary`` commonest are held (a stated size of the model; counts cover
-every row).  A label that is one run is what is to be split, so it is no word.  A stretch that is no word
+commonest are held, ``vocabulary`` at most (a stated size of the model; counts
+cover every row, words of one count are in together or not at all).  A label that is one run is what is to be split, so it is no word.  A stretch that is no word
 costs a fixed factor and one more for each letter.  Of equally likely splits the
 one whose last word is longer is taken.  Digits become one token.
 
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, checkpointed, table, trimmed
+from .common import batches_of, checkpointed, least_count, table, trimmed
 
 #: Words that make an address an example of what to block, and the rules of the query: fixed values.
 UNWANTED = ["ads", "adult", "bets", "betting", "casino", "escort", "gambling", "lottery", "malware", "phishing", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx"]
@@ -142,7 +142,8 @@ def word_counts(urls: DataFrame, texts: DataFrame | None = None, vocabulary: int
     if texts is not None:
         words = words.unionByName(texts.select(F.explode(runs(F.col("text").cast("string"))).alias("word")))
     counted = words.where(F.length("word").between(1, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()  # a stated number of rows
+    counted = checkpointed(counted)
+    top = counted.where(F.col("n") >= least_count(counted, vocabulary)).collect()  # a stated number of rows
     return Words.of({w: 1 for w in keep} | {r["word"]: r["n"] for r in top})
 
 
