@@ -5,9 +5,9 @@ from __future__ import annotations
 import difflib
 import os
 import unicodedata
-from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,7 +102,7 @@ def instruction_reliable(c: Column, words: list[str] | None = None) -> Column:
 
 def phonetic(text: str, syllables: Callable[[str], str] | None = None) -> str:
     """Syllables joined if the text has a CJK character and a table is given, else lower case without spaces."""
-    if any("一" <= c <= "鿿" for c in text):
+    if not text.isascii() and any("一" <= c <= "鿿" for c in text):
         return "".join(map(syllables, text)) if syllables else text.lower()
     return text.lower().replace(" ", "")
 
@@ -116,35 +116,141 @@ def _distance(a: str, b: str) -> int:
     return row[-1]
 
 
+class _Parts:
+    """How much of a keyword any part of what was heard can match, for many texts at once.
+
+    ``longest`` goes from parts of one character to longer ones: for each place
+    where a part can begin it has the length of the longest common subsequence
+    with the keyword, in bits of 64-bit words that are updated for all places
+    together (a keyword of more than 64 characters takes several words).
+    """
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        keys, texts = ([np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in side] for side in zip(*pairs))
+        self.size = np.array([len(k) for k in keys])
+        lens = np.array([len(h) for h in texts])
+        self.begin = np.cumsum(lens) - lens
+        self.row = np.repeat(np.arange(len(pairs)), lens)
+        self.end = np.repeat(self.begin + lens, lens)
+        heard = np.concatenate(texts)
+        words = -(-int(self.size.max()) // 64)
+        self.equal = np.zeros((words, len(heard)), np.uint64)  # which characters of the keyword stand at a place
+        for j in range(int(self.size.max())):
+            at = np.array([k[j] if j < len(k) else 0xFFFFFFFF for k in keys], np.uint32)
+            self.equal[j // 64] |= (heard == at[self.row]).astype(np.uint64) << np.uint64(j % 64)
+        self.state = np.full_like(self.equal, 0xFFFFFFFFFFFFFFFF)
+        self.length, self.at = 0, np.arange(len(heard))
+
+    def longest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of parts that are one character longer than those before, and their common subsequences' lengths."""
+        self.length += 1
+        inside = self.at + self.length <= self.end[self.at]
+        if not inside.all():
+            self.at, self.state = self.at[inside], self.state[:, inside]
+        carry = np.zeros(len(self.at), np.uint64)
+        common = np.zeros(len(self.at), np.int64)
+        for w, v in enumerate(self.state):
+            u = v & self.equal[w, self.at + self.length - 1]
+            one = v + u
+            total = one + carry
+            carry = ((one < v) | (total < one)).astype(np.uint64)
+            self.state[w] = total | (v & ~u)
+            common += np.bitwise_count(~self.state[w])
+        return self.at, common
+
+    def keep(self, open_rows: np.ndarray) -> None:
+        """Go on with the texts that are marked only."""
+        some = open_rows[self.row[self.at]]
+        if not some.all():
+            self.at, self.state = self.at[some], self.state[:, some]
+
+
+def wakewords(pairs: list[tuple[str | None, str | None]], syllables: Callable[[str], str] | None = None) -> list[float]:
+    """For each keyword and what was heard: the best of the whole-text matching ratio, the edit similarity and the ratio with any part of what was heard.
+
+    A part's ratio is at most that of its longest common subsequence with the
+    keyword, which is found for all parts of all texts together; only the parts
+    whose bound is above the best ratio so far are matched.
+    """
+    out = [0.0] * len(pairs)
+    spoken = [(i, phonetic(k, syllables), phonetic(h, syllables)) for i, (k, h) in enumerate(pairs) if k and h]
+    spoken = [x for x in spoken if x[1] and x[2]]
+    for i, k, h in spoken:
+        if k in h:
+            out[i] = 1.0
+    group: list[tuple[int, str, str]] = []
+    places = 0
+    for x in (*(x for x in spoken if out[x[0]] < 1), None):
+        if group and (x is None or places + len(x[2]) > 200_000):
+            for (i, *_), v in zip(group, _best_parts([g[1:] for g in group])):
+                out[i] = v
+            group, places = [], 0
+        if x is not None:
+            group.append(x)
+            places += len(x[2])
+    return out
+
+
+def _best_parts(pairs: list[tuple[str, str]]) -> list[float]:
+    parts, best = _Parts(pairs), np.zeros(len(pairs))
+    matchers: dict[tuple[int, str], float] = {}
+
+    def match(row: int, part: str) -> None:
+        if (row, part) not in matchers:
+            matchers[row, part] = difflib.SequenceMatcher(None, pairs[row][0], part).ratio()
+        best[row] = max(best[row], matchers[row, part])
+
+    def match_all(at: np.ndarray, bound: np.ndarray, length: int) -> None:
+        for k in np.flatnonzero(bound > best[parts.row[at]]):
+            row = int(parts.row[at[k]])
+            if bound[k] > best[row]:
+                start = int(at[k] - parts.begin[row])
+                match(row, pairs[row][1][start : start + length])
+
+    # The best bound among parts that are as long as the keyword comes first: it usually is the best part.
+    early = []
+    top = int(parts.size.max())
+    while len(parts.at) and parts.length < top:
+        at, common = parts.longest()
+        size = parts.size[parts.row[at]]
+        bound = 2 * common / (size + parts.length)
+        early.append((parts.length, at, bound))
+        same = np.flatnonzero(size == parts.length)
+        if len(same):
+            order = same[np.lexsort((-bound[same], parts.row[at[same]]))]
+            rows = parts.row[at[order]]
+            firsts = order[np.concatenate([[True], rows[1:] != rows[:-1]])]
+            for k in firsts:
+                row = int(parts.row[at[k]])
+                start = int(at[k] - parts.begin[row])
+                match(row, pairs[row][1][start : start + parts.length])
+    for length, at, bound in sorted(early, key=lambda x: -x[0]):
+        match_all(at, bound, length)
+    while True:
+        # A longer part can match the whole keyword at most.
+        parts.keep(2 * parts.size / (parts.size + parts.length + 1) > best)
+        if not len(parts.at):
+            break
+        at, common = parts.longest()
+        match_all(at, 2 * common / (parts.size[parts.row[at]] + parts.length), parts.length)
+    for row, (k, h) in enumerate(pairs):
+        if min(len(k), len(h)) / max(len(k), len(h)) > best[row]:  # no more characters than that can be kept
+            best[row] = max(best[row], 1 - _distance(k, h) / max(len(k), len(h)))
+    return best.tolist()
+
+
 def wakeword(keyword: str | None, heard: str | None, syllables: Callable[[str], str] | None = None) -> float:
-    """The best of the whole-text matching ratio, the edit similarity and the ratio with any part of what was heard."""
-    if not keyword or not heard:
-        return 0.0
-    k, h = phonetic(keyword, syllables), phonetic(heard, syllables)
-    if not k or not h:
-        return 0.0
-    best = max(0.0, 1 - _distance(k, h) / max(len(k), len(h)))
-    counts = Counter(k)
-    for i in range(len(h)):
-        left, common = dict(counts), 0
-        for j in range(i + 1, len(h) + 1):
-            size = len(k) + j - i
-            if j - i >= len(k) and 2 * len(k) / size <= best:
-                break
-            if left.get(h[j - 1]):
-                left[h[j - 1]] -= 1
-                common += 1
-            # Nor can the ratio exceed that of the characters in common, so most parts need no matching.
-            if 2 * common / size > best:
-                best = max(best, difflib.SequenceMatcher(None, k, h[i:j]).ratio())
-    return best
+    return wakewords([(keyword, heard)], syllables)[0]
 
 
 def wakeword_similarity(keyword: Column | str, heard: Column | str, syllables: Callable[[str], str] | None = None) -> Column:
-    """``syllables`` gives the sound of a CJK character (a table's lookup); without it characters are compared."""
-    if syllables is None:
-        return arrow_udf("double", wakeword, keyword, heard)
-    return arrow_udf("double", lambda k, h: wakeword(k, h, syllables), keyword, heard)
+    """``syllables`` gives the sound of a CJK character (a table's lookup); without it characters are compared.  A batch of rows is searched at once."""
+
+    @F.pandas_udf("double")
+    def run(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(wakewords([(None if pd.isna(a) else a, None if pd.isna(b) else b) for a, b in zip(k, h)], syllables), dtype="float64")
+
+    return run(keyword, heard)
 
 
 def phonetic_key(c: Column | str, syllables: Callable[[str], str] | None = None) -> Column:
