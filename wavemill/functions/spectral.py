@@ -44,6 +44,12 @@ def _three(x: np.ndarray, axis: int) -> np.ndarray:
     return np.moveaxis((padded[:-2] + padded[1:-1] + padded[2:]) / 3, 0, axis)
 
 
+def smoothed_gain(size: np.ndarray, floor: np.ndarray, spread: np.ndarray | float, strength: float, deviations: float) -> np.ndarray:
+    """The gain of each bin and frame from its magnitude and its frequency's noise floor (and spread in dB), smoothed over neighbours."""
+    below = 20 * np.log10(size + 1e-10) - (20 * np.log10(floor + 1e-10) + deviations * spread)
+    return _three(_three(np.where(below >= 0, 1.0, 10 ** (strength * below / 20)), 0), 1)
+
+
 def gate(audio: np.ndarray, stationary: bool = True, strength: float = 0.8, deviations: float = 1.5, n: int = 1024) -> np.ndarray:
     """Lower what lies under a noise threshold per frequency, smooth the gains, keep the length; float32."""
     if not len(audio):
@@ -58,9 +64,7 @@ def gate(audio: np.ndarray, stationary: bool = True, strength: float = 0.8, devi
         floor, spread = size.mean(1, keepdims=True), level.std(1, keepdims=True)
     else:
         floor, spread = np.percentile(size, 15, axis=1, keepdims=True), 6.0
-    below = level - (20 * np.log10(floor + 1e-10) + deviations * spread)
-    gain = _three(_three(np.where(below >= 0, 1.0, 10 ** (strength * below / 20)), 0), 1)
-    y = istft(z * gain, window, hop)
+    y = istft(z * smoothed_gain(size, floor, spread, strength, deviations), window, hop)
     return np.pad(y[: len(x)], (0, max(0, len(x) - len(y)))).astype(np.float32)
 
 

@@ -88,3 +88,25 @@ def union_splits(*splits: DataFrame) -> DataFrame:
 def complement(df: DataFrame, predicate: Column) -> DataFrame:
     """Rows where a predicate is false or unknown."""
     return df.where(~F.coalesce(predicate, F.lit(False)))
+
+
+def joined_by_key(rows: DataFrame, by_key: DataFrame, key: str, count: str, share: int = 200) -> DataFrame:
+    """``rows`` with the one row of ``by_key`` that its text ``key`` has (null equals null); ``count`` is that key's number of rows.
+
+    A key with a ``share``-th of all rows or more is broadcast (there are
+    ``share`` of them at most); the rows of such keys are not shuffled to it but
+    dealt by content, so no task gets one key's rows.
+    """
+    other = [c for c in by_key.columns if c not in (key, count)]
+    total, most = (x or 0 for x in by_key.agg(F.sum(count), F.max(count)).first())
+    if most * share < total:  # no key is common
+        mine = by_key.select(F.col(key).alias("_key"), *other)
+        return rows.join(mine, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    hot = F.col(count) * share >= total
+    name = F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit("null"))
+    common = by_key.where(hot).select(name.alias("_key"), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in other])
+    rest = by_key.where(~hot).select(name.alias("_key"), *other)
+    out = rows.withColumn("_key", name).join(F.broadcast(common), "_key", "left")
+    spread = F.concat(F.lit("~"), F.xxhash64(*rows.columns).cast("string"))
+    out = out.withColumn("_key", F.when(F.col("_hot"), spread).otherwise(F.col("_key"))).join(rest, "_key", "left")
+    return out.select(*rows.columns, *[F.coalesce(f"_h_{c}", c).alias(c) for c in other])

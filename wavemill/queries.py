@@ -15,7 +15,7 @@ from .functions import arrays as A
 from .functions import digits, spectral
 from .functions import text as X
 from .models import registry
-from .operators import detect, fuse, gate, grid, metrics, sampling, sets, windows
+from .operators import detect, fuse, gate, grid, metrics, recordings, sampling, sets, windows
 from .sources import scratch
 from .sources.batchlog import BatchLog, in_batches
 
@@ -351,6 +351,25 @@ def parameter_sweep(spark, sf):
     return grid.model_sweep(trials(spark, sf), points, stage, count)
 
 
+def _recording(spark, sf):
+    """All vectors one after the other as one long recording in chunks of 64 samples."""
+    return t(spark, sf, "embeddings").select(F.lit("all").alias("path"), F.col("vec_id").alias("chunk"), A.doubles("embedding").alias("samples"))
+
+
+@query("""WITH u AS (SELECT vec_id * 64 + unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), b AS (SELECT i // 16 AS k, sum(v) AS s FROM u GROUP BY ALL)
+    SELECT x.k AS frame, round(sum(y.s), 6) AS total FROM b x JOIN b y ON y.k >= x.k AND y.k < x.k + 3 GROUP BY x.k HAVING count(*) = 3""")
+def recording_frames(spark, sf):
+    """Frames of 48 samples every 16, across the borders of chunks."""
+    d = recordings.frames(_recording(spark, sf), 64, 48, 16)
+    return d.select("frame", r6(A.total(F.col("samples"))).alias("total"))
+
+
+@query()
+def recording_gate(spark, sf):
+    """The spectral gate over the whole of a recording in chunks; held against the gate on one array in the tests."""
+    return recordings.gate(_recording(spark, sf), 64, n=32).select("chunk", "samples")
+
+
 @query()
 def resample_polyphase(spark, sf):
     return _emb(spark, sf).select("vec_id", spectral.resample_polyphase(F.col("x"), 16000, 24000).alias("y"))
