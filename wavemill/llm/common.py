@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sets import joined_by_key  # noqa: F401  (for the operators)
 from ..sources.scratch import checkpointed
 
 #: Bytes of a batch of rows on its way to Python, at most (one row at least); JVM and Python each hold a few.
@@ -136,25 +137,6 @@ def joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str, rows
     return big.join(F.broadcast(small) if rows <= limit else small, on, how)
 
 
-def joined_by_key(rows: DataFrame, by_key: DataFrame, key: str, count: str, share: int = 200) -> DataFrame:
-    """``rows`` with the one row of ``by_key`` that its text ``key`` has (null equals null); ``count`` is that key's number of rows.
-
-    A key with a ``share``-th of all rows or more is broadcast (there are
-    ``share`` of them at most); the rows of such keys are not shuffled to it but
-    dealt by content, so no task gets one key's rows.
-    """
-    total = by_key.agg(F.sum(count)).first()[0] or 0
-    other = [c for c in by_key.columns if c not in (key, count)]
-    hot = F.col(count) * share >= total
-    name = F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit("null"))
-    common = by_key.where(hot).select(name.alias("_key"), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in other])
-    rest = by_key.where(~hot).select(name.alias("_key"), *other)
-    out = rows.withColumn("_key", name).join(F.broadcast(common), "_key", "left")
-    spread = F.concat(F.lit("~"), F.xxhash64(*rows.columns).cast("string"))
-    out = out.withColumn("_key", F.when(F.col("_hot"), spread).otherwise(F.col("_key"))).join(rest, "_key", "left")
-    return out.select(*rows.columns, *[F.coalesce(f"_h_{c}", c).alias(c) for c in other])
-
-
 def least_count(counts: DataFrame, most: int, column: str = "n") -> int:
     """The least count that at most ``most`` rows reach; the driver gets the numbers of rows by count, exact ones to 4096 and 64 for each doubling above."""
     n = F.col(column)

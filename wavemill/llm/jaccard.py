@@ -22,8 +22,9 @@ were copied from) is its head.  Each set's head is the one that it meets most
 often; heads' heads are heavier and lead to a root.  The difference ``D(X)``
 between a set and its root is computed once from both whole texts.  Sets that
 link with their root are one class with it.  Those that do not are looked at
-again among themselves: a family that is far from its root but alike in itself
-gets a root of its own (``REROOTED`` times; what is left keeps its root).
+again among themselves, as long as the pairs that meet in their lists outnumber
+the documents: a family that is far from its root but alike in itself gets a
+root of its own (up to ``REROOTED`` times; what is left keeps its root).
 
 For two sets of one root the difference is ``D(X) xor D(Y)``, so what the root
 has in common with both is skipped: they both link with the root and so are in
@@ -64,8 +65,8 @@ from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed
 
 #: The parts left out, as a share of the room.
 SPARE = 0.5
-#: How often sets that do not link with their root get another one, and the members that meet one copy of a root's text.
-REROOTED, PART = 2, 128
+#: How often sets that do not link with their root get another one at most, and the members that meet one copy of a root's text.
+REROOTED, PART = 4, 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -283,12 +284,13 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
             found = found.unionByName(_differences(deep, texts(deep.select(F.col("a").alias("node")).union(deep.select("b"))), words))
         return checkpointed(found.select(F.col("b").alias("node"), F.col("a").alias("root"), F.col("nb").alias("n"), "d", "delta", linked(F.col("d"), F.col("na") + F.col("nb")).alias("linked")))
 
-    members = rooted(lists)
+    members, all_sets = rooted(lists), equal.count()
     for _ in range(REROOTED):
-        apart = checkpointed(members.where("not linked").select("node"))
-        among = checkpointed(_lists(lists.join(apart, "node", "left_semi").select("key", "node")))
-        if among.isEmpty():
+        among = checkpointed(lists.join(members.where("not linked").select("node"), "node", "left_semi").select("key", "node"))
+        pairs = among.groupBy("key").agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
+        if pairs <= all_sets:
             break
+        among = checkpointed(_lists(among))
         better = rooted(among).where("linked")
         settled = checkpointed(better.select("node").union(better.select("root")).distinct())
         members = checkpointed(members.join(settled, "node", "left_anti").unionByName(better))
