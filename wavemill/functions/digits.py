@@ -13,13 +13,10 @@ from .text import arrow_udf
 DIGITS = "零一二三四五六七八九"
 UNITS = "度%倍个只台盏件套双点G"
 
-_ZEROS = re.compile("(?:零[千百十]?)+")
-
 
 def _group(n: int) -> str:
-    """1 to 9999: every digit with its unit, then runs of zeros made one and those at the ends dropped."""
-    spelt = "".join(DIGITS[int(d)] + u for d, u in zip(f"{n:04d}", ("千", "百", "十", "")))
-    spelt = _ZEROS.sub("零", spelt).strip("零")
+    """1 to 9999: every digit with its unit, a zero for each one inside and none at the ends."""
+    spelt = "".join(DIGITS[int(d)] + (u if d != "0" else "") for d, u in zip(f"{n:04d}", ("千", "百", "十", ""))).strip(DIGITS[0])
     return spelt[1:] if spelt.startswith("一十") else spelt
 
 
