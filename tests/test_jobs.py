@@ -181,7 +181,7 @@ def test_stages_leave_markers(spark, tmp_path):
     folder = str(tmp_path / "work")
     assert jobs.prepare_and_gate(spark, folder, records(spark), skip=("folds",)) == ["prepare", "gate"]
     assert (tmp_path / "work" / ".stage_gate.done").exists() and not markers.is_done(spark, folder, "folds")
-    assert jobs.prepare_and_gate(spark, folder, records(spark)) == ["folds"]
+    assert jobs.prepare_and_gate(spark, folder, records(spark)) == ["folds"]  # what it is made from is as before
     assert {r["id"] for r in spark.read.parquet(f"{folder}/folds").collect()} == {"a", "e"}
     assert jobs.prepare_and_gate(spark, folder, records(spark)) == []
     markers.clear(spark, folder, "gate")
@@ -197,6 +197,51 @@ def test_stages_leave_markers(spark, tmp_path):
         jobs.run_stages(spark, folder, [("one", lambda: None)], skip=("on",))
 
 
+def test_markers_do_not_outlive_a_change(spark, tmp_path):
+    folder = str(tmp_path / "work")
+    assert jobs.prepare_and_gate(spark, folder, records(spark)) == ["prepare", "gate", "folds"]
+    assert jobs.prepare_and_gate(spark, folder, records(spark).repartition(3)) == []
+    assert jobs.prepare_and_gate(spark, folder, records(spark), limits={"neg_high_sim": None}) == ["gate", "folds"]
+    assert {r["id"] for r in spark.read.parquet(f"{folder}/folds").collect()} == {"a", "b", "e"}
+    assert jobs.prepare_and_gate(spark, folder, records(spark).where("id <> 'a'"), limits={"neg_high_sim": None}) == ["prepare", "gate", "folds"]
+    assert {r["id"] for r in spark.read.parquet(f"{folder}/folds").collect()} == {"b", "e"}
+
+    def ends():
+        raise RuntimeError
+
+    made = {"one": "2"}
+    jobs.run_stages(spark, folder, [("one", lambda: None)], made_from={"one": "1"})
+    with pytest.raises(RuntimeError):
+        jobs.run_stages(spark, folder, [("one", ends)], made_from=made)
+    assert jobs.run_stages(spark, folder, [("one", lambda: None)], made_from={"one": "1"}) == ["one"]  # the failed run spoilt what there was
+
+
+def test_training_run(spark, tmp_path):
+    folder, made, trained = str(tmp_path / "run"), [], []
+    originals = spark.createDataFrame([("pos", "1", "x", 0.2), ("pos", "2", "y", 0.6), ("neg", "3", None, 0.9), ("neg", "4", None, 0.1)], "split string, orig_id string, label string, level double")
+
+    def make(d):
+        made.extend((r["orig_id"], r["aug_type"]) for r in d.collect())
+        return d.withColumn("level", F.col("level") + F.when(F.col("aug_type") == "noise", -0.1).otherwise(0.0))
+
+    prepare = lambda d: d.withColumns({"sim": F.col("level"), "best": F.col("level"), "triggered": F.lit(False)})
+    train = [("small", lambda d: trained.append(("small", d.count()))), ("large", lambda d: trained.append(("large", d.count())))]
+    run = lambda types=("none",), **more: jobs.training_run(spark, folder, more.pop("originals", originals), list(types), make, prepare, train=train, **more)
+    folds = lambda: sorted((r["orig_id"], r["aug_type"]) for r in spark.read.parquet(f"{folder}/folds").collect())
+    every = ["augment", "prepare", "gate", "folds", "train_small", "train_large"]
+    assert run() == every and trained == [("small", 2), ("large", 2)]
+    assert folds() == [("2", "none"), ("4", "none")]  # 1 is too low, 3 too high
+    assert run() == []
+    assert run(("none", "noise")) == every and made == [(str(i), "none") for i in range(1, 5)] + [(str(i), "noise") for i in range(1, 5)]
+    assert folds() == [("2", "noise"), ("2", "none"), ("4", "noise"), ("4", "none")]
+    assert run(("none", "noise"), limits={"pos_low_sim": None}) == every[2:] and len(folds()) == 6
+    assert run(("none", "noise"), limits={"pos_low_sim": None}, report_only=True) == every[3:] and len(folds()) == 8
+    assert run(("noise",), skip=("gate", "train_large")) == ["augment", "prepare", "folds", "train_small"] and folds() == [(str(i), "noise") for i in range(1, 5)]
+    assert len(made) == 8  # nothing was made twice
+    more = originals.unionByName(spark.createDataFrame([("pos", "5", "z", 0.5)], originals.schema))
+    assert run(("noise",), originals=more, skip=("train_small", "train_large"))[0] == "augment" and made[8:] == [("5", "noise")]
+
+
 def test_rebuild_and_verify(spark):
     manifest = spark.createDataFrame([(0, 0, "1", "pos_0", "打开,空调"), (0, 1, "2", "pos_1", "abc"), (1, 0, "3", "neg_0", None), (1, 1, "4", "neg_1", "")], "split_order int, idx long, id string, ckpt_key string, label string")
     results = spark.createDataFrame([("pos_0", "打开空 调"), ("neg_0", ""), ("neg_1", "x")], "ckpt_key string, content string")

@@ -272,40 +272,90 @@ def verify_submission(results: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     )
 
 
-def run_stages(spark: SparkSession, folder: str, stages: list[tuple[str, Callable[[], object]]], skip: tuple[str, ...] = (), again: bool = False) -> list[str]:
+def run_stages(spark: SparkSession, folder: str, stages: list[tuple[str, Callable[[], object]]], skip: tuple[str, ...] = (), again: bool = False, made_from: dict[str, str] | None = None) -> list[str]:
     """Run (name, function) stages in order; returns the names of those run now.
 
     A finished stage leaves the marker ``.stage_<name>.done`` in ``folder`` (on
     any file system Spark reaches) and is not run a second time unless
-    ``again``.  Skipped stages get no marker.  An error ends the run; the stages
-    before it stay done.
+    ``again``.  ``made_from`` holds digests of what a stage depends on besides the
+    stages before it: where it, or that of a stage before, has changed, the stage
+    is run again.  Skipped stages get no marker.  An error ends the run; the
+    stages before it stay done.
     """
     unknown = set(skip) - {name for name, _ in stages}
     if unknown:
         raise ValueError(f"no stage named {sorted(unknown)}")
-    ran = []
+    ran, state = [], ""
     for name, work in stages:
-        if name in skip or (markers.is_done(spark, folder, name) and not again):
+        state = markers.digest(state, name, name in skip, (made_from or {}).get(name, ""))
+        if name in skip or (markers.is_done(spark, folder, name, state if made_from is not None else None) and not again):
             continue
+        markers.clear(spark, folder, name)  # a stage that is ended in the middle is not done
         work()
-        markers.write_done(spark, folder, name)
+        markers.write_done(spark, folder, name, state)
         ran.append(name)
     return ran
 
 
+def _gate_stage(spark: SparkSession, folder: str, limits: dict | None) -> None:
+    d = spark.read.parquet(f"{folder}/prepared")
+    hits = gate.rule_hits(metrics.present(F.col("label")), F.col("sim"), F.col("best"), F.col("triggered"), limits)
+    d.withColumn("hits", hits).write.mode("overwrite").parquet(f"{folder}/gated")
+
+
+def _fold_stage(spark: SparkSession, folder: str, source: str, kept_only: bool, n_folds: int) -> None:
+    d = spark.read.parquet(f"{folder}/{source}")
+    d = d.where(gate.passed(F.col("hits"))) if kept_only else d
+    d.drop("hits").withColumn("fold", sampling.folds("orig_id", n_folds)).write.mode("overwrite").partitionBy("fold").parquet(f"{folder}/folds")
+
+
 def prepare_and_gate(spark: SparkSession, folder: str, records: DataFrame, existing: DataFrame | None = None, limits: dict | None = None, n_folds: int = 5, skip: tuple[str, ...] = ()) -> list[str]:
     """Training data up to the folds as stages with markers, each written to ``folder`` before the next reads it."""
 
     def prepare() -> None:
         gate.tidy(records if existing is None else sets.missing_types(records, existing).unionByName(existing, allowMissingColumns=True)).write.mode("overwrite").parquet(f"{folder}/prepared")
 
-    def judge() -> None:
-        d = spark.read.parquet(f"{folder}/prepared")
-        hits = gate.rule_hits(metrics.present(F.col("label")), F.col("sim"), F.col("best"), F.col("triggered"), limits)
-        d.withColumn("hits", hits).write.mode("overwrite").parquet(f"{folder}/gated")
+    stages = [("prepare", prepare), ("gate", lambda: _gate_stage(spark, folder, limits)), ("folds", lambda: _fold_stage(spark, folder, "gated", True, n_folds))]
+    made_from = {"prepare": markers.digest(records, existing), "gate": markers.digest(limits), "folds": markers.digest(n_folds)}
+    return run_stages(spark, folder, stages, skip, made_from=made_from)
+
 
-    def split() -> None:
-        kept = spark.read.parquet(f"{folder}/gated").where(gate.passed(F.col("hits"))).drop("hits")
-        kept.withColumn("fold", sampling.folds("orig_id", n_folds)).write.mode("overwrite").partitionBy("fold").parquet(f"{folder}/folds")
+def training_run(
+    spark: SparkSession, folder: str, originals: DataFrame, types: list[str], make: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame] = gate.tidy,
+    limits: dict | None = None, report_only: bool = False, n_folds: int = 5, train: list[tuple[str, Callable[[DataFrame], object]]] | None = None, skip: tuple[str, ...] = (), version: str = "",
+) -> list[str]:
+    """From recordings to trained models: augment, prepare, gate, folds, and a stage ``train_<name>`` for each of ``train``.
 
-    return run_stages(spark, folder, [("prepare", prepare), ("gate", judge), ("folds", split)], skip)
+    ``originals`` (``split, orig_id`` and what ``make`` needs) get the ``types`` of
+    augmentation; only those that ``folder`` does not have yet are made.  ``prepare`` turns
+    augmented rows into records with ``sim, best, triggered, label``.  Rows that
+    break a rule of the gate get no fold, unless the gate is skipped or
+    ``report_only``.  A change of the rows, types, limits or folds, or of
+    ``version`` (which stands for the functions), runs the stages from there on
+    again.
+    """
+    log = BatchLog(spark, f"{folder}/augmented")
+
+    def augment() -> None:
+        expected, made = originals.withColumn("aug_type", F.explode(F.array(*map(F.lit, types)))), log.read()
+        missing = expected if made is None else sets.missing_types(expected, made)
+        if not missing.isEmpty():
+            log.append(make(missing))
+
+    def rows() -> DataFrame:
+        made = None if "augment" in skip else log.read()
+        if made is None:
+            return originals
+        asked = spark.createDataFrame([(x,) for x in types], "aug_type string")
+        return sets.semi(sets.semi(made, asked, "aug_type"), originals.select("split", "orig_id"), ["split", "orig_id"]).drop("batch")
+
+    gated = "gate" not in skip
+    stages = [
+        ("augment", augment),
+        ("prepare", lambda: prepare(rows()).write.mode("overwrite").parquet(f"{folder}/prepared")),
+        ("gate", lambda: _gate_stage(spark, folder, limits)),
+        ("folds", lambda: _fold_stage(spark, folder, "gated" if gated else "prepared", gated and not report_only, n_folds)),
+        *((f"train_{name}", lambda f=f: f(spark.read.parquet(f"{folder}/folds"))) for name, f in train or []),
+    ]
+    made_from = {"augment": markers.digest(originals, sorted(types), version), "gate": markers.digest(limits), "folds": markers.digest(n_folds, report_only)}
+    return run_stages(spark, folder, stages, skip, made_from=made_from)
