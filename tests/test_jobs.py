@@ -117,6 +117,18 @@ def test_recognise_command(spark):
     assert got == {0: ("打开空调", "quick"), 1: ("", "main"), 2: ("你好小智", "main"), 3: ("", "main")}
 
 
+def test_caches_are_released(spark):
+    d = spark.createDataFrame([(i, [0.5] * n) for i, n in enumerate((12, 13, 4, 20))], "id int, x array<double>")
+    hear = lambda name: lambda f: f.withColumn("heard", registry.recognise(name, F.col("x"), F.lit(RATE), F.lit("zh")))
+    cascade.release()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = cascade.recognise_command(d, hear("job_quick"), hear("job_main"), X.instruction_reliable)
+    first = sorted((r["id"], r["value"]) for r in out.collect())
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() > before
+    cascade.release()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before and sorted((r["id"], r["value"]) for r in out.collect()) == first
+
+
 def wave(k, n=64):
     return [((i * (k + 3)) % 17 - 8) / 8 for i in range(n)]
 

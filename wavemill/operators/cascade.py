@@ -11,10 +11,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache a frame until ``release``."""
+    _KEPT.append(df.persist())
+    return _KEPT[-1]
+
+
+def release() -> None:
+    """Free what ``keep`` has cached; frames made from it can still be used and are computed anew."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 
 
-def cascade(df: DataFrame, stages: list[Stage], persist: Callable[[DataFrame], DataFrame] = lambda d: d.persist()) -> DataFrame:
+def cascade(df: DataFrame, stages: list[Stage], persist: Callable[[DataFrame], DataFrame] = keep) -> DataFrame:
     """``stages`` are (name, function); a function adds ``done boolean`` and ``value``.
 
     Rows done at one stage do not reach the next; those never done keep the

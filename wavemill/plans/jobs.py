@@ -1,4 +1,8 @@
-"""The jobs: scoring a data set, single samples, test manifests, and preparing training data."""
+"""The jobs: scoring a data set, single samples, test manifests, and preparing training data.
+
+Frames that several stages of a job read are cached; ``cascade.release()`` frees
+them when the caller has what he wanted.
+"""
 
 from __future__ import annotations
 
@@ -63,26 +67,26 @@ def match_keyword(df: DataFrame, profile: Profile, main: str, quick: str | None
     parts, left = [], df
     if profile.quick_first and quick:
         tried = left.withColumn("_en", english)
-        scored = tried.where("not _en").withColumn("_s", similarity(F.col("kws"), quick, "zh")).persist()
+        scored = C.keep(tried.where("not _en").withColumn("_s", similarity(F.col("kws"), quick, "zh")))
         parts.append(decided(scored.where(F.col("_s") >= sure), whole, yes))
         left = scored.where(F.col("_s") < sure).select(columns).unionByName(tried.where("_en").select(columns))
-    scored = heard(left, F.col("kws"), "_s").persist()
+    scored = C.keep(heard(left, F.col("kws"), "_s"))
     parts.append(decided(scored.where(F.col("_s") >= sure), whole, yes))
     left = scored.where(F.col("_s") < sure).select(columns)
     if not profile.english_gate:
         parts.append(decided(left.where(english), whole, no))
         left = left.where(~english)
-    split = left.withColumn("_tracks", R.separate(separator, whole, F.lit(None).cast("array<double>"), F.col("rate"), profile.separator_seconds)).persist()
+    split = C.keep(left.withColumn("_tracks", R.separate(separator, whole, F.lit(None).cast("array<double>"), F.col("rate"), profile.separator_seconds)))
     enough = F.coalesce(F.size("_tracks") > 1, F.lit(False))
     parts.append(decided(split.where(~enough), whole, no))
     split = split.where(enough)
     single = A.single_speaker(F.col("_tracks"), profile.single_ratio) if profile.energy_gate else F.lit(False)
-    tested = heard(split.where(single), whole, "_s").persist()
+    tested = C.keep(heard(split.where(single), whole, "_s"))
     parts.append(decided(tested.where(F.col("_s") >= sure), whole, yes))
     split = split.where(~single).unionByName(tested.where(F.col("_s") < sure).drop("_s"))
     key = [c for c in ("split", "idx") if c in columns]
     each = heard(split.select(*columns, F.posexplode("_tracks").alias("track_idx", "_track")), F.col("_track"), "_s")
-    best = detect.best_track(each, key, "_s").persist()
+    best = C.keep(detect.best_track(each, key, "_s"))
     parts.append(decided(best.where(F.col("_s") >= sure), F.col("_track"), yes, True))
     again = heard(best.where(F.col("_s") < sure).withColumnRenamed("_s", "_t"), whole, "_s")
     better = F.col("_s") > F.col("_t")
@@ -163,7 +167,7 @@ def judged(one: DataFrame, profile: Profile, stats: DataFrame | None = None) ->
 
 def heard(yes: DataFrame, profile: Profile, main: str, quick: str | None = None) -> DataFrame:
     """Accepted rows with the ``content`` that is recognised in them."""
-    d = yes.withColumn("heard_from", post_recognition(F.col("cmd"))).persist()
+    d = C.keep(yes.withColumn("heard_from", post_recognition(F.col("cmd"))))
     model = lambda name: lambda x: x.withColumn("heard", R.recognise(name, F.col("heard_from"), F.col("rate"), F.lit("zh"), profile.model_seconds))
     spoken = C.recognise_command(d, model(quick), model(main), X.instruction_reliable) if quick else model(main)(d).withColumnRenamed("heard", "value")
     return spoken.withColumn("content", finish_text(F.col("value"))).select(*yes.columns, "content")
@@ -191,7 +195,7 @@ def score_dataset(df: DataFrame, profile: Profile, main: str = "default", quick:
     ``stats`` freezes the moments of the fusion (as streaming needs); without
     it they are those of this run.
     """
-    one = (phase_one(df, profile, separator, extractors) if extractors else phase_one(df, profile, separator)).persist()
+    one = C.keep((phase_one(df, profile, separator, extractors) if extractors else phase_one(df, profile, separator)))
     rows = judged(one, profile, stats)
     return rated(heard(rows.where("is_target"), profile, main, quick), refused(rows))
 
@@ -214,6 +218,7 @@ def score_in_batches(spark: SparkSession, df: DataFrame, folder: str, profile: P
     parts = fuse.partial_moments(one, SIMILARITIES, ["batch"]) if parts is None else parts
     rows = judged(one, profile, fuse.as_statistics(fuse.merged_moments(parts), SIMILARITIES)).drop("batch")
     spoken = in_batches(rows.where("is_target"), BatchLog(spark, f"{folder}/contents"), key, batches, lambda d: heard(d, profile, main, quick))
+    C.release()  # everything that was cached is written
     return rated(spoken.drop("batch"), refused(rows))
 
 
@@ -227,8 +232,8 @@ def score_samples(df: DataFrame, profile: Profile, main: str = "default", separa
     d = detect.adaptive_separation(d, tracks, sims, "base", profile.trigger_min, profile.threshold, profile.jump_cap, need_two=True)
     d = d.withColumn("is_target", fuse.dual_accept(F.col("sim"), F.col("improved"), profile.threshold, profile.threshold_separated))
     # The cached steps keep the Python stages apart: Spark 4.1 leaves one of them unplanned in the union otherwise.
-    yes = d.where("is_target").withColumn("heard_from", post_recognition(F.col("cmd"))).persist()
-    yes = yes.withColumn("_heard", R.recognise(main, F.col("heard_from"), F.col("rate"), F.lit("zh"), profile.model_seconds)).persist()
+    yes = C.keep(d.where("is_target").withColumn("heard_from", post_recognition(F.col("cmd"))))
+    yes = C.keep(yes.withColumn("_heard", R.recognise(main, F.col("heard_from"), F.col("rate"), F.lit("zh"), profile.model_seconds)))
     yes = yes.withColumn("content", finish_text(F.col("_heard"))).drop("_heard", "heard_from")
     return yes.unionByName(d.where(~F.coalesce("is_target", F.lit(False))).withColumn("content", F.lit(""))).drop("_k")
 
