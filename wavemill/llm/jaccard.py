@@ -22,9 +22,9 @@ were copied from) is its head.  Each set's head is the one that it meets most
 often; heads' heads are heavier and lead to a root.  The difference ``D(X)``
 between a set and its root is computed once from both whole texts.  Sets that
 link with their root are one class with it.  Those that do not are looked at
-again among themselves, as long as the pairs that meet in their lists outnumber
-the documents: a family that is far from its root but alike in itself gets a
-root of its own (up to ``REROOTED`` times; what is left keeps its root).
+again among themselves, if more than ``CROWD`` of them meet in one list: a family
+that is far from its root but alike in itself gets a root of its own (up to
+``REROOTED`` times; what is left keeps its root).
 
 For two sets of one root the difference is ``D(X) xor D(Y)``, so what the root
 has in common with both is skipped: they both link with the root and so are in
@@ -39,9 +39,9 @@ sides and the room together, no pair is made at all; elsewhere only pairs whose
 own differences and room reach that far.  So the pairs that are made are those
 between sets far from their roots; families alike, linked or not, cost none.
 
-*Hot keys.*  The rows of a list, or of a root, with half a percent of all rows
-or more are not brought together: what they need is broadcast.  Texts meet
-their root's text in parts of ``PART`` members.
+*Hot keys.*  Texts meet their root's text in parts of ``PART`` members; the rows
+of a list hold two numbers each, and Spark's skew joins split those of a long
+list.
 
 Null text, empty text and text without words have an empty set, which links
 with nothing.  With fewer than ``words`` words the whole sequence is the one
@@ -65,8 +65,10 @@ from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed
 
 #: The parts left out, as a share of the room.
 SPARE = 0.5
-#: How often sets that do not link with their root get another one at most, and the members that meet one copy of a root's text.
-REROOTED, PART = 4, 128
+#: How often sets that do not link with their root get another one at most, and the size of lists for which they do.
+REROOTED, CROWD = 3, 32
+#: The members that meet one copy of a root's text.
+PART = 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -268,12 +270,10 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
 
     def rooted(lists: DataFrame) -> DataFrame:
         """``node, root, n, d, delta, linked``: what the sets of ``lists`` differ in from their roots."""
-        sizes = checkpointed(lists.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).withColumn("size", F.col("rows")))
-        weighed = joined_by_key(lists, sizes, "key", "rows")
-        weights = weighed.groupBy("node").agg(F.sum("size").alias("weight"))
-        top = lists.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h"), F.count(F.lit(1)).alias("rows"))
-        heads = checkpointed(top.select("key", "rows", F.col("h.weight").alias("weight"), F.col("h.node").alias("head")))
-        met = joined_by_key(lists, heads, "key", "rows").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("met"), F.max("weight").alias("weight"))
+        sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        weights = lists.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
+        heads = lists.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h")).select("key", F.col("h.weight").alias("weight"), F.col("h.node").alias("head"))
+        met = lists.join(heads, "key").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("met"), F.max("weight").alias("weight"))
         star = checkpointed(met.groupBy("node").agg(F.max(F.struct("met", "weight", "head")).alias("m")).select(F.col("m.head").alias("a"), F.col("node").alias("b"), F.lit(None).cast("long").alias("most")))
         near = _differences(star, texts(star.select(F.col("a").alias("node")).union(star.select("b"))), words).where(F.col("d") * 2 <= F.col("na") + F.col("nb"))
         root_of = _roots(near.select(F.col("b").alias("node"), F.col("a").alias("parent")))
@@ -284,13 +284,13 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
             found = found.unionByName(_differences(deep, texts(deep.select(F.col("a").alias("node")).union(deep.select("b"))), words))
         return checkpointed(found.select(F.col("b").alias("node"), F.col("a").alias("root"), F.col("nb").alias("n"), "d", "delta", linked(F.col("d"), F.col("na") + F.col("nb")).alias("linked")))
 
-    members, all_sets = rooted(lists), equal.count()
+    members, among = rooted(lists), lists
     for _ in range(REROOTED):
-        among = checkpointed(lists.join(members.where("not linked").select("node"), "node", "left_semi").select("key", "node"))
-        pairs = among.groupBy("key").agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
-        if pairs <= all_sets:
+        among = checkpointed(among.join(members.where("not linked").select("node"), "node", "left_semi").select("key", "node"))
+        crowded = among.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWD).select("key")
+        among = checkpointed(among.join(crowded, "key", "left_semi"))
+        if among.isEmpty():
             break
-        among = checkpointed(_lists(among))
         better = rooted(among).where("linked")
         settled = checkpointed(better.select("node").union(better.select("root")).distinct())
         members = checkpointed(members.join(settled, "node", "left_anti").unionByName(better))
@@ -316,8 +316,8 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     # Sets of different roots that meet in a list: by the difference of their roots, as far as their own reach.
     placed = lists.select("key", "node").join(members.select("node", "root", "d"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("d", F.lit(0)).alias("d"))
     placed = checkpointed(placed.join(nodes.select("node", "n"), "node"))
-    kinds = checkpointed(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("rows")).select("key", "rows", (F.col("x") < F.col("y")).alias("mixed")))
-    entries = checkpointed(joined_by_key(placed, kinds, "key", "rows").where("mixed").drop("mixed"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    entries = checkpointed(placed.join(mixed, "key", "left_semi"))
     sides = entries.groupBy("key", "root").agg(F.max("d").alias("d"), F.max("n").alias("n"), F.min("n").alias("least"))
     one, two = (sides.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("root", "d", "n", "least")]) for i in "ab")
     room = lambda x, y: F.floor((F.col(x) + F.col(y)) * (den - num) / (den + num) + 1e-9)
