@@ -24,7 +24,8 @@ between a set and its root is computed once from both whole texts.  Sets that
 link with their root are one class with it.  Those that do not are looked at
 again among themselves, if more than ``CROWD`` of them meet in one list: a family
 that is far from its root but alike in itself gets a root of its own (up to
-``REROOTED`` times; what is left keeps its root).
+``REROOTED`` times, and no more after a time that settled less than half of
+them; what is left keeps its root).
 
 For two sets of one root the difference is ``D(X) xor D(Y)``, so what the root
 has in common with both is skipped: they both link with the root and so are in
@@ -286,14 +287,18 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
 
     members, among = rooted(lists), lists
     for _ in range(REROOTED):
-        among = checkpointed(among.join(members.where("not linked").select("node"), "node", "left_semi").select("key", "node"))
-        crowded = among.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWD).select("key")
-        among = checkpointed(among.join(crowded, "key", "left_semi"))
+        apart = checkpointed(members.where("not linked").select("node"))
+        n = apart.count()
+        among = checkpointed(joined(among, apart, "node", "left_semi", n).select("key", "node"))
+        crowded = checkpointed(among.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWD).select("key"))
+        among = checkpointed(joined(among, crowded, "key", "left_semi", crowded.count()))
         if among.isEmpty():
             break
         better = rooted(among).where("linked")
         settled = checkpointed(better.select("node").union(better.select("root")).distinct())
         members = checkpointed(members.join(settled, "node", "left_anti").unionByName(better))
+        if 2 * settled.count() < n:  # the others are not alike in themselves
+            break
     classes = members.where("linked").select("node", F.col("root").alias("class"))
 
     # Two sets of one root: prefix index on the differences.
@@ -315,9 +320,9 @@ def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
 
     # Sets of different roots that meet in a list: by the difference of their roots, as far as their own reach.
     placed = lists.select("key", "node").join(members.select("node", "root", "d"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("d", F.lit(0)).alias("d"))
-    placed = checkpointed(placed.join(nodes.select("node", "n"), "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    entries = checkpointed(placed.join(mixed, "key", "left_semi"))
+    placed = checkpointed(placed)
+    mixed = checkpointed(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"))
+    entries = checkpointed(joined(placed, mixed, "key", "left_semi", mixed.count()).join(nodes.select("node", "n"), "node"))
     sides = entries.groupBy("key", "root").agg(F.max("d").alias("d"), F.max("n").alias("n"), F.min("n").alias("least"))
     one, two = (sides.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("root", "d", "n", "least")]) for i in "ab")
     room = lambda x, y: F.floor((F.col(x) + F.col(y)) * (den - num) / (den + num) + 1e-9)
