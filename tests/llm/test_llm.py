@@ -371,6 +371,30 @@ def test_maximal_repeats(spark):
     assert [bytes(x for k, x in enumerate(d) if k not in c) for d, c in zip(data, covered)] == removed(data, 30)
 
 
+def test_maximal_repeats_of_a_passage_that_is_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "MOST_MEMBERS", 5)
+    rng = random.Random(12)
+    passage, longer = "p" + words(rng, 9), words(rng, 14)
+    texts = [f"{words(rng, 3)} {passage} {words(rng, 3)}" for _ in range(60)] + [f"same {passage} same"] * 40 + [f"{i} {longer} {passage}" for i in range(5)] + ["", "none"]
+    got = {}
+    for r in suffix.repeat_groups(frame(spark, list(enumerate(texts))), length=30).collect():
+        got.setdefault((r["group_id"], r["n_bytes"]), []).append((r["doc_id"], r["start"]))
+    data = [t.encode() for t in texts]
+    said = {}
+    for (_, n), where in got.items():
+        strings = {data[i][s : s + n] for i, s in where}
+        assert len(strings) == 1 and len(set(where)) == len(where) > 1
+        said[strings.pop()] = set(where)
+    for string, where in said.items():
+        assert where == {(i, m.start()) for i, d in enumerate(data) for m in re.finditer(b"(?=" + re.escape(string) + b")", d)}
+    assert max(map(len, said.values())) == 105 and any(len(w) == 40 for w in said.values())
+    covered = [set() for _ in data]
+    for string, where in said.items():
+        for i, s in where:
+            covered[i] |= set(range(s, s + len(string)))
+    assert [bytes(x for k, x in enumerate(d) if k not in c) for d, c in zip(data, covered)] == removed(data, 30)
+
+
 class Lying(chat.BlockTemplate):
     """Looks as if turns did not depend on each other, but changes its head between two turns and back."""
 

@@ -79,9 +79,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def words_of_batch(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Lower-case white-space words of a batch: index of each word in the distinct list, that list, offsets by row."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    split = pc.utf8_split_whitespace(pc.utf8_lower(texts))
-    flat = split.flatten()
-    offsets = np.asarray(split.offsets, dtype=np.int64)
+    # Arrow now and then leaves the white space at the very end of an array, so another text stands there.
+    split = pc.utf8_split_whitespace(pc.utf8_lower(pa.concat_arrays([texts, pa.array(["end"], pa.large_string())])))
+    offsets = np.asarray(split.offsets, dtype=np.int64)[:-1]
+    flat = split.values.slice(offsets[0], offsets[-1] - offsets[0])
     offsets = offsets - offsets[0]
     # Splitting leaves empty pieces at the ends of a text.
     full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0

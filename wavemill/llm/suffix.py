@@ -369,63 +369,44 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     A repeat is seen ``length`` bytes to the right of an anchor and as many
     less the anchor to the left; one that goes on beyond is several groups that
-    overlap.  Rows with one id are one another's occurrences too.  Each anchor's
-    places are held by one task, so more than ``MOST_MEMBERS`` are an error;
-    ``remove_repeats`` has no such limit.
+    overlap.  Rows with one id are one another's occurrences too.  Places with
+    equal surroundings are one class, which stands twice in its anchor's tree;
+    its places meet the groups afterwards by a shuffle.  So however often a
+    passage occurs, a task holds the distinct surroundings of an anchor and no
+    more.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     places = checkpointed(_places(texts, np.zeros(0, np.uint64), length).select("key", "anchor", "at"))
     again = checkpointed(places.groupBy("anchor").count().where("count > 1"))
-    if not again.where(F.col("count") > MOST_MEMBERS).isEmpty():
-        raise ValueError(f"an anchor has more than {MOST_MEMBERS} places")
     rows = joined(places, again.select("anchor"), "anchor", "left_semi", again.count())
-    ordered = _members(texts, rows, length).distinct().repartition("anchor").sortWithinPartitions("anchor", "right", "left", "key", "at")
+    seen = checkpointed(_members(texts, rows, length).distinct().withColumn("class", F.xxhash64("anchor", "right", "left")))
+    classes = seen.groupBy("anchor", "right", "left", "class").agg(F.least(F.count(F.lit(1)), F.lit(2)).alias("n"))
+    twice = classes.select("anchor", "right", "left", "class", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    ordered = twice.repartition("anchor").sortWithinPartitions("anchor", "right", "left", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _sorted_groups(batches, "anchor"):
-            anchor, key, at = (np.asarray(t.column(c)) for c in ("anchor", "key", "at"))
+            anchor, name = (np.asarray(t.column(c)) for c in ("anchor", "class"))
             right, left = t.column("right").to_pylist(), t.column("left").to_pylist()
             ends = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor))
             for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                if z - a < 2:
+                    continue
                 lens = np.array([len(x) for x in right[a:z]])
                 rows = np.frombuffer(b"".join(x.ljust(length, b"\0") for x in right[a:z]), np.uint8).reshape(-1, length)
                 for ext, depth, who in tree_groups(left[a:z], lcp_of_neighbours(rows, lens), length):
-                    one = a + int(who[0])
-                    said = Hasher(left[one][:ext][::-1] + right[one][:depth]).of(np.array([0]), np.array([ext + depth]))
-                    cols = (np.full(len(who), said.view(np.int64)[0]), np.full(len(who), ext + depth), key[a:z][who], at[a:z][who] - ext)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["group_id", "n_bytes", "doc_id", "start"])
-
-    return ordered.mapInArrow(trimmed(run), "group_id long, n_bytes long, doc_id long, start long").distinct()
-
-
-#: Up to so many repeated fingerprints are sent to all tasks; beyond, windows are joined with them.
-MOST_SENT = 500_000
-#: Extents of the coarse strings around an anchor are multiples of so many bytes, from round to round.
-STEPS = (17, 4)
-
-
-def _counted(values: Iterator[tuple[np.ndarray, ...]], names: list[str], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Distinct tuples of the given columns with their number ``n``, combined within the task over about ``size`` tuples."""
-    held: list[tuple[np.ndarray, ...]] = []
-    n = 0
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        cols = [np.concatenate(c) for c in zip(*held)]
-        order = np.lexsort(cols[::-1])
-        cols = [c[order] for c in cols]
-        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
-        first = np.flatnonzero(new)
-        yield pa.RecordBatch.from_arrays([*(_column(c[first]) for c in cols), pa.array(np.diff(np.append(first, len(new))))], [*names, "n"])
-
-    for x in values:
-        if len(x[0]):
-            held.append(x)
-            n += len(x[0])
-        if n >= size:
-            yield from rows()
-            held, n = [], 0
-    if held:
-        yield from rows()
+                    one, members = a + int(who[0]), np.unique(name[a:z][who])
+                    string = left[one][:ext][::-1] + right[one][:depth]
+                    # All occurrences have this anchor if a window inside the string chooses it; else they are all found at those that its windows choose.
+                    if not any((at == ext).any() for at, *_ in anchors(string, length)):
+                        continue
+                    said = Hasher(string).of(np.array([0]), np.array([ext + depth]))
+                    cols = (np.full(len(members), said.view(np.int64)[0]), np.full(len(members), ext + depth), members, np.full(len(members), ext))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["group_id", "n_bytes", "class", "ext"])
+
+    groups = ordered.select("anchor", "right", "left", "class").mapInArrow(trimmed(run), "group_id long, n_bytes long, class long, ext long")
+    found = groups.join(seen.select("class", "key", "at"), "class")
+    return found.select("group_id", "n_bytes", F.col("key").alias("doc_id"), (F.col("at") - F.col("ext")).alias("start")).distinct()
 
 
 def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
