@@ -420,6 +420,14 @@ def test_every_rewrite_is_found(n, since, until):
         assert [f[1:] for f in found] == chat.trace(template, turns)[1]
 
 
+def test_turns_are_kept_within_a_bound(monkeypatch):
+    monkeypatch.setattr(chat.BlockTemplate, "KEPT", 200)
+    t, turns = chat.BlockTemplate(), [("user", "x" * n) for n in (10, 300, 50, 60, 70, 10, 300)]
+    for _ in range(2):
+        assert t.render(turns) == "".join(f"### user: {x}</turn>\n" for _, x in turns)
+        assert len(t._shown) == 1 or sum(map(len, t._shown.values())) <= 200
+
+
 def test_very_long_conversation(spark):
     rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i} " * 20) for i in range(1500)] + [(2, 0, "assistant", "x: y" * 300_000)]
     d = spark.createDataFrame([(*r, 1, "t") for r in rows], "conv_id long, turn long, role string, text string, start int, formatted string")

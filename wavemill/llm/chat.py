@@ -39,9 +39,11 @@ Turn = tuple[str, str]
 class BlockTemplate:
     """``### role: text</turn>`` and a newline for each turn; control strings inside are escaped by a backslash.
 
-    Turns that were shown before are kept, up to 4096, as prefixes show them again and again.
+    Turns that were shown before are kept, up to ``KEPT`` characters, as prefixes show them again and again.
     """
 
+    KEPT = 1 << 24
+
     _ESCAPE = re.compile(r"\\|</turn>|###|:")
     _TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)
 
@@ -53,13 +55,18 @@ class BlockTemplate:
 
     def __init__(self):
         self._shown: dict[Turn, str] = {}
+        self._size = 0
 
     def _turn(self, turn: Turn) -> str:
-        if turn not in self._shown:
-            if len(self._shown) >= 4096:
+        shown = self._shown.get(turn)
+        if shown is None:
+            shown = f"### {self.escape(turn[0])}: {self.escape(turn[1])}</turn>\n"
+            if self._size + len(shown) > self.KEPT:
                 self._shown.clear()
-            self._shown[turn] = f"### {self.escape(turn[0])}: {self.escape(turn[1])}</turn>\n"
-        return self._shown[turn]
+                self._size = 0
+            self._shown[turn] = shown
+            self._size += len(shown)
+        return shown
 
     def render(self, turns: list[Turn]) -> str:
         return "".join(map(self._turn, turns))
