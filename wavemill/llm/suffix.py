@@ -409,6 +409,36 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     return found.select("group_id", "n_bytes", F.col("key").alias("doc_id"), (F.col("at") - F.col("ext")).alias("start")).distinct()
 
 
+#: Up to so many repeated fingerprints are sent to all tasks; beyond, windows are joined with them.
+MOST_SENT = 500_000
+#: Extents of the coarse strings around an anchor are multiples of so many bytes, from round to round.
+STEPS = (17, 4)
+
+
+def _counted(values: Iterator[tuple[np.ndarray, ...]], names: list[str], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Distinct tuples of the given columns with their number ``n``, combined within the task over about ``size`` tuples."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        cols = [np.concatenate(c) for c in zip(*held)]
+        order = np.lexsort(cols[::-1])
+        cols = [c[order] for c in cols]
+        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+        first = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([*(_column(c[first]) for c in cols), pa.array(np.diff(np.append(first, len(new))))], [*names, "n"])
+
+    for x in values:
+        if len(x[0]):
+            held.append(x)
+            n += len(x[0])
+        if n >= size:
+            yield from rows()
+            held, n = [], 0
+    if held:
+        yield from rows()
+
+
 def _windows(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     """``key, start, stop`` of repeats over common anchors: windows over such a place (key, at) are counted by fingerprint.
 
