@@ -207,11 +207,16 @@ def _lists(entries: DataFrame) -> DataFrame:
 
 def _differences(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """``a, b, na, nb, d, delta``: of pairs ``a, b, most`` the sizes, the number of shingles in one set only, and these where they are ``most`` at most (null: any number)."""
-    sizes = checkpointed(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / PART).cast("long")))
-    parted = joined_by_key(pairs, sizes, "a", "n").select("a", "b", "most", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    if (counts.agg(F.max("n")).first()[0] or 0) > PART:
+        sizes = checkpointed(counts.withColumn("parts", F.ceil(F.col("n") / PART).cast("long")))
+        parted = joined_by_key(pairs, sizes, "a", "n").select("a", "b", "most", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        heads = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(sizes.select("a", "parts"), "a").select("a", "text_a", copies.alias("part"))
+    else:  # no head has more members than one part holds
+        parted = pairs.withColumn("part", F.lit(0).cast("long"))
+        heads = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.lit(0).cast("long").alias("part"))
     with_b = parted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    heads = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(sizes.select("a", "parts"), "a")
-    heads = heads.select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     both = with_b.join(heads, ["a", "part"]).select("a", "b", "most", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
