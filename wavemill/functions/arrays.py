@@ -15,6 +15,11 @@ def doubles(x: Column | str) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("array<double>")
 
 
+def rounded(v: Column) -> Column:
+    """To six places, half away from zero; what rounds to zero keeps its sign, which ``round`` drops."""
+    return F.round(F.abs(v), 6) * F.signum(v)
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 

@@ -300,7 +300,7 @@ def mix_at_snr(spark, sf):
 def complex_mask(spark, sf):
     cut = [F.slice("x", 16 * k + 1, 16) for k in range(4)]
     d = _emb(spark, sf).select("vec_id", spectral.masked(*cut).alias("z"))
-    return d.select("vec_id", F.transform("z.real", r6).alias("real"), F.transform("z.imag", r6).alias("imag"))
+    return d.select("vec_id", F.transform("z.real", A.rounded).alias("real"), F.transform("z.imag", A.rounded).alias("imag"))
 
 
 @query(f"SELECT vec_id, list_transform(range(64), lambda i: round(x[i + 1] - (x[i % 16 + 1] + x[i % 16 + 17] + x[i % 16 + 33] + x[i % 16 + 49]) / 4, 6)) AS y FROM ({_E})")
