@@ -10,6 +10,7 @@ from wavemill import queries as Q
 
 NAMES = [
     "complex_mask",
+    "downmix",
 ]
 
 

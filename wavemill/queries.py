@@ -245,7 +245,7 @@ def l2_norm(spark, sf):
 
 @query(f"SELECT vec_id, list_transform(range(1, 33), lambda i: round((x[i] + x[i + 32]) / 2, 6)) AS y FROM ({_E})")
 def downmix(spark, sf):
-    return _emb(spark, sf).select("vec_id", F.transform(A.downmix(F.array(F.slice("x", 1, 32), F.slice("x", 33, 32))), r6).alias("y"))
+    return _emb(spark, sf).select("vec_id", F.transform(A.downmix(F.array(F.slice("x", 1, 32), F.slice("x", 33, 32))), A.rounded).alias("y"))
 
 
 @query(f"WITH {_TRIALS} SELECT round(avg(cam) FILTER (pos), 6) AS pos_mean, round(avg(cam) FILTER (NOT pos), 6) AS neg_mean, round(avg(greatest(0, 0.7 - cam)) FILTER (pos) + avg(greatest(0, cam - 0.3)) FILTER (NOT pos), 6) AS loss FROM s")
