@@ -11,6 +11,7 @@ from wavemill import queries as Q
 NAMES = [
     "complex_mask",
     "downmix",
+    "mean_subtracted",
 ]
 
 

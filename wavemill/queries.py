@@ -306,7 +306,7 @@ def complex_mask(spark, sf):
 @query(f"SELECT vec_id, list_transform(range(64), lambda i: round(x[i + 1] - (x[i % 16 + 1] + x[i % 16 + 17] + x[i % 16 + 33] + x[i % 16 + 49]) / 4, 6)) AS y FROM ({_E})")
 def mean_subtracted(spark, sf):
     frames = A.mean_subtracted(A.segments(F.col("x"), 16))
-    return _emb(spark, sf).select("vec_id", F.transform(F.flatten(frames), r6).alias("y"))
+    return _emb(spark, sf).select("vec_id", F.transform(F.flatten(frames), A.rounded).alias("y"))
 
 
 @query(f"""WITH {_PAIRS}, d AS (SELECT id, list_transform(range(1, 65), lambda i: x[i] + y[i]) AS b, list_transform(range(1, 65), lambda i: x[i] + y[i] / 4) AS a, x FROM p),
