@@ -12,6 +12,7 @@ NAMES = [
     "complex_mask",
     "downmix",
     "mean_subtracted",
+    "mix_at_snr",
 ]
 
 

@@ -293,7 +293,7 @@ _MIXED = "list_transform(range(1, 65), lambda i: x[i] + y[(i - 1) % 40 + 1] * ((
     SELECT id, list_transform(z, lambda e: round((CASE WHEN top > 0.99 THEN e / top * 0.99 ELSE e END)::FLOAT::DOUBLE, 6)) AS y FROM t""")
 def mix_at_snr(spark, sf):
     mixed = spectral.mix_at_snr(F.col("x"), F.slice("y", 1, 40), F.lit(5.0), F.col("id"))
-    return _pairs(spark, sf).select("id", F.transform(A.doubles(mixed), r6).alias("y"))
+    return _pairs(spark, sf).select("id", F.transform(A.doubles(mixed), A.rounded).alias("y"))
 
 
 @query(f"SELECT vec_id, list_transform(range(1, 17), lambda i: round(x[i] * x[i + 32] - x[i + 16] * x[i + 48], 6)) AS real, list_transform(range(1, 17), lambda i: round(x[i] * x[i + 48] + x[i + 16] * x[i + 32], 6)) AS imag FROM ({_E})")
