@@ -9,6 +9,7 @@ import pytest
 from wavemill import queries as Q
 
 NAMES = [
+    "clip",
     "complex_mask",
     "downmix",
     "mean_subtracted",

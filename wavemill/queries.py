@@ -200,7 +200,7 @@ def trim_silence(spark, sf):
 
 @query(f"SELECT vec_id, list_transform(x, lambda e: round(greatest(-1, least(1, e * 8)), 6)) AS y FROM ({_E})")
 def clip(spark, sf):
-    return _emb(spark, sf).select("vec_id", F.transform(A.clip(F.transform("x", lambda e: e * 8)), r6).alias("y"))
+    return _emb(spark, sf).select("vec_id", F.transform(A.clip(F.transform("x", lambda e: e * 8)), A.rounded).alias("y"))
 
 
 @query(f"SELECT vec_id, list_transform(list_transform(x, lambda e: e * 4), lambda e: round(CASE WHEN 4 * {_PEAK} > 1 THEN e / (4 * {_PEAK}) * 0.99 ELSE e END, 6)) AS y FROM ({_E})")
