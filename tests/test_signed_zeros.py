@@ -11,6 +11,7 @@ from wavemill import queries as Q
 NAMES = [
     "clip",
     "complex_mask",
+    "crop_pad",
     "downmix",
     "mean_subtracted",
     "mix_at_snr",

@@ -210,7 +210,7 @@ def peak_limit(spark, sf):
 
 @query(f"SELECT vec_id, list_transform(x[5:24], lambda e: round(e, 6)) AS crop, list_transform(list_concat(list_concat(x, x), x)[1:150], lambda e: round(e, 6)) AS tile, list_transform(list_concat(x, [0.0::DOUBLE, 0.0, 0.0, 0.0])[1:68], lambda e: round(e, 6)) AS pad FROM ({_E})")
 def crop_pad(spark, sf):
-    show = lambda c: F.transform(c, r6)
+    show = lambda c: F.transform(c, A.rounded)
     return _emb(spark, sf).select("vec_id", show(A.crop_or_tile(F.col("x"), 20, 4)).alias("crop"), show(A.crop_or_tile(F.col("x"), 150)).alias("tile"), show(A.fit_length(F.col("x"), 68)).alias("pad"))
 
 
