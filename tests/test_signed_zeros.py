@@ -15,6 +15,7 @@ NAMES = [
     "downmix",
     "mean_subtracted",
     "mix_at_snr",
+    "peak_limit",
 ]
 
 

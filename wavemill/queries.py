@@ -205,7 +205,7 @@ def clip(spark, sf):
 
 @query(f"SELECT vec_id, list_transform(list_transform(x, lambda e: e * 4), lambda e: round(CASE WHEN 4 * {_PEAK} > 1 THEN e / (4 * {_PEAK}) * 0.99 ELSE e END, 6)) AS y FROM ({_E})")
 def peak_limit(spark, sf):
-    return _emb(spark, sf).select("vec_id", F.transform(A.peak_limit(F.transform("x", lambda e: e * 4)), r6).alias("y"))
+    return _emb(spark, sf).select("vec_id", F.transform(A.peak_limit(F.transform("x", lambda e: e * 4)), A.rounded).alias("y"))
 
 
 @query(f"SELECT vec_id, list_transform(x[5:24], lambda e: round(e, 6)) AS crop, list_transform(list_concat(list_concat(x, x), x)[1:150], lambda e: round(e, 6)) AS tile, list_transform(list_concat(x, [0.0::DOUBLE, 0.0, 0.0, 0.0])[1:68], lambda e: round(e, 6)) AS pad FROM ({_E})")
