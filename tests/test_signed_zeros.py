@@ -16,6 +16,7 @@ NAMES = [
     "mean_subtracted",
     "mix_at_snr",
     "peak_limit",
+    "peak_norm",
 ]
 
 

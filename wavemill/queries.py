@@ -187,7 +187,7 @@ _PEAK = "list_max(list_transform(x, lambda e: abs(e)))"
 
 @query(f"SELECT vec_id, list_transform(x, lambda e: round(e / {_PEAK}, 6)) AS y FROM ({_E})")
 def peak_norm(spark, sf):
-    return _emb(spark, sf).select("vec_id", F.transform(A.peak_normalise(F.col("x")), r6).alias("y"))
+    return _emb(spark, sf).select("vec_id", F.transform(A.peak_normalise(F.col("x")), A.rounded).alias("y"))
 
 
 _LOUD = "list_transform(x, lambda e: abs(e) > 0.1)"
