@@ -17,6 +17,7 @@ NAMES = [
     "mix_at_snr",
     "peak_limit",
     "peak_norm",
+    "resample_linear",
 ]
 
 

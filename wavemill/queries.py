@@ -228,7 +228,7 @@ def stft_frames(spark, sf):
 
 @query(f"SELECT vec_id, list_transform(range(32), lambda i: round(x[floor(i * 63 / 31.0::DOUBLE)::INT + 1] + (i * 63 / 31.0::DOUBLE - floor(i * 63 / 31.0::DOUBLE)) * (x[least(floor(i * 63 / 31.0::DOUBLE)::INT + 2, 64)] - x[floor(i * 63 / 31.0::DOUBLE)::INT + 1]), 6)) AS y FROM ({_E})")
 def resample_linear(spark, sf):
-    return _emb(spark, sf).select("vec_id", F.transform(A.resample_linear(F.col("x"), 16000, 8000), r6).alias("y"))
+    return _emb(spark, sf).select("vec_id", F.transform(A.resample_linear(F.col("x"), 16000, 8000), A.rounded).alias("y"))
 
 
 @query(f"""WITH {_PAIRS}, c AS (SELECT id, list_transform(x, lambda e: e - list_sum(x) / 64) AS c, list_transform(y, lambda e: e - list_sum(y) / 64) AS e FROM p),
