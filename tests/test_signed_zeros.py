@@ -18,6 +18,7 @@ NAMES = [
     "peak_limit",
     "peak_norm",
     "resample_linear",
+    "segment",
 ]
 
 

@@ -217,7 +217,7 @@ def crop_pad(spark, sf):
 @query(f"SELECT vec_id, k::INT AS segment, list_transform(x[k * 24 + 1:k * 24 + 24], lambda e: round(e, 6)) AS samples FROM ({_E}), (SELECT range AS k FROM range(2))")
 def segment(spark, sf):
     d = _emb(spark, sf).select("vec_id", F.posexplode(A.segments(F.col("x"), 24)).alias("segment", "s"))
-    return d.select("vec_id", "segment", F.transform("s", r6).alias("samples"))
+    return d.select("vec_id", "segment", F.transform("s", A.rounded).alias("samples"))
 
 
 @query(f"SELECT vec_id, k::INT AS frame, round(list_sum(x[k * 8 + 1:k * 8 + 32]), 6) AS total FROM ({_E}), (SELECT range AS k FROM range(5))")
