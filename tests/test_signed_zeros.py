@@ -19,6 +19,7 @@ NAMES = [
     "peak_norm",
     "resample_linear",
     "segment",
+    "trim_silence",
 ]
 
 

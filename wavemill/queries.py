@@ -195,7 +195,7 @@ _LOUD = "list_transform(x, lambda e: abs(e) > 0.1)"
 
 @query(f"SELECT vec_id, list_transform(CASE WHEN list_contains({_LOUD}, true) THEN x[list_position({_LOUD}, true):len(x) - list_position(list_reverse({_LOUD}), true) + 1] ELSE x END, lambda e: round(e, 6)) AS y FROM ({_E})")
 def trim_silence(spark, sf):
-    return _emb(spark, sf).select("vec_id", F.transform(A.trim_silence(F.col("x"), 0.1), r6).alias("y"))
+    return _emb(spark, sf).select("vec_id", F.transform(A.trim_silence(F.col("x"), 0.1), A.rounded).alias("y"))
 
 
 @query(f"SELECT vec_id, list_transform(x, lambda e: round(greatest(-1, least(1, e * 8)), 6)) AS y FROM ({_E})")
