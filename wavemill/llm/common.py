@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,23 @@ def joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str, rows
     return big.join(F.broadcast(small) if rows <= limit else small, on, how)
 
 
+@contextmanager
+def chosen_broadcasts(spark: SparkSession):
+    """Meanwhile just those joins are broadcast that ask for it.
+
+    Spark else turns every join with a small side into one once it is shuffled.
+    The driver builds and keeps a table of some MB for each until it collects its
+    garbage, which in work of many small jobs takes most of its heap.
+    """
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def least_count(counts: DataFrame, most: int, column: str = "n") -> int:
     """The least count that at most ``most`` rows reach; the driver gets the numbers of rows by count, exact ones to 4096 and 64 for each doubling above."""
     n = F.col(column)

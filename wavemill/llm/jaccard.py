@@ -62,7 +62,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed, components, heavy_values, id_text, joined, joined_by_key, mix64, table, trimmed
+from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed, chosen_broadcasts, components, heavy_values, id_text, joined, joined_by_key, mix64, table, trimmed
 
 #: The parts left out, as a share of the room.
 SPARE = 0.5
@@ -253,6 +253,11 @@ def _roots(parents: DataFrame) -> DataFrame:
 
 def similar_classes(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", share: float = 0.002) -> DataFrame:
     """``doc_id, n_shingles long, component_id`` for every row; ``threshold`` is a fraction (numerator, denominator)."""
+    with chosen_broadcasts(docs.sparkSession):
+        return _similar_classes(docs, words, threshold, id_col, text_col, share)
+
+
+def _similar_classes(docs: DataFrame, words: int, threshold: tuple[int, int], id_col: str, text_col: str, share: float) -> DataFrame:
     num, den = threshold
     docs = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     seen = checkpointed(_surveyed(docs, words, share))
