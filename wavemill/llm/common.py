@@ -156,6 +156,15 @@ def chosen_broadcasts(spark: SparkSession):
         spark.conf.set(setting, before)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, between the steps of work in many jobs.
+
+    Shuffle files, broadcasts and checkpoints that nothing reads any more are
+    removed only then; left alone, Spark does so every half hour.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def least_count(counts: DataFrame, most: int, column: str = "n") -> int:
     """The least count that at most ``most`` rows reach; the driver gets the numbers of rows by count, exact ones to 4096 and 64 for each doubling above."""
     n = F.col(column)

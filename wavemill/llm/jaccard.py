@@ -62,7 +62,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed, chosen_broadcasts, components, heavy_values, id_text, joined, joined_by_key, mix64, table, trimmed
+from .common import ChunkCounter, ascii_words_of_batch, batches_of, checkpointed, chosen_broadcasts, components, heavy_values, id_text, joined, joined_by_key, let_go, mix64, table, trimmed
 
 #: The parts left out, as a share of the room.
 SPARE = 0.5
@@ -286,6 +286,7 @@ def _similar_classes(docs: DataFrame, words: int, threshold: tuple[int, int], id
         heads = lists.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h")).select("key", F.col("h.weight").alias("weight"), F.col("h.node").alias("head"))
         met = lists.join(heads, "key").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("met"), F.max("weight").alias("weight"))
         star = checkpointed(met.groupBy("node").agg(F.max(F.struct("met", "weight", "head")).alias("m")).select(F.col("m.head").alias("a"), F.col("node").alias("b"), F.lit(None).cast("long").alias("most")))
+        let_go(docs.sparkSession)
         near = _differences(star, texts(star.select(F.col("a").alias("node")).union(star.select("b"))), words).where(F.col("d") * 2 <= F.col("na") + F.col("nb"))
         root_of = _roots(near.select(F.col("b").alias("node"), F.col("a").alias("parent")))
         direct = near.join(root_of.select(F.col("node").alias("b"), F.col("root").alias("a")), ["a", "b"])
@@ -295,8 +296,10 @@ def _similar_classes(docs: DataFrame, words: int, threshold: tuple[int, int], id
             found = found.unionByName(_differences(deep, texts(deep.select(F.col("a").alias("node")).union(deep.select("b"))), words))
         return checkpointed(found.select(F.col("b").alias("node"), F.col("a").alias("root"), F.col("nb").alias("n"), "d", "delta", linked(F.col("d"), F.col("na") + F.col("nb")).alias("linked")))
 
+    let_go(docs.sparkSession)
     members, among = rooted(lists), lists
     for _ in range(REROOTED):
+        let_go(docs.sparkSession)
         apart = checkpointed(members.where("not linked").select("node"))
         n = apart.count()
         among = checkpointed(joined(among, apart, "node", "left_semi", n).select("key", "node"))
@@ -311,6 +314,8 @@ def _similar_classes(docs: DataFrame, words: int, threshold: tuple[int, int], id
             break
     classes = members.where("linked").select("node", F.col("root").alias("class"))
 
+    let_go(docs.sparkSession)
+
     # Two sets of one root: prefix index on the differences.
     active = members.join(members.where("not linked").select("root").distinct(), "root", "left_semi")
     tokens = active.select("root", "node", F.explode("delta").alias("token"))
@@ -328,6 +333,8 @@ def _similar_classes(docs: DataFrame, words: int, threshold: tuple[int, int], id
     deltas = [members.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("delta").alias("d" + x)) for x in "ab"]
     within = alike.join(deltas[0], "a").join(deltas[1], "b").where(linked(F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db")), F.col("na") + F.col("nb"))).select("a", "b")
 
+    let_go(docs.sparkSession)
+
     # Sets of different roots that meet in a list: by the difference of their roots, as far as their own reach.
     placed = lists.select("key", "node").join(members.select("node", "root", "d"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("d", F.lit(0)).alias("d"))
     placed = checkpointed(placed)
@@ -355,6 +362,8 @@ def _similar_classes(docs: DataFrame, words: int, threshold: tuple[int, int], id
     whole = _xor(_xor(F.col("delta"), F.coalesce("delta_a", none)), F.coalesce("delta_b", none))
     across = known.where(linked(F.size(whole), F.col("size_a") + F.col("size_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
+    let_go(docs.sparkSession)
+
     # Rows with one id are one document.
     shared = full.select("doc_id", "s1").groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("_z")).where("a < _z").select("doc_id", "a")
     shared = full.join(shared, "doc_id").select("a", F.col("s1").alias("b")).distinct()
