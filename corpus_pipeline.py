@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.llm import jaccard, packing, pii, suffix, toxicity
-from wavemill.llm.common import checkpointed, let_go, small_batches, table
+from wavemill.llm.common import checkpointed, executors_let_go, let_go, small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def rows_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The columns that stages work on, in a session whose batches are small and whose driver has let go of the stage before."""
+    """The columns that stages work on, in a session whose batches are small and whose driver and executors have let go of the stage before."""
     let_go(spark)
+    executors_let_go(spark)
     small_batches(spark)
     return docs.select(COLUMNS)
 

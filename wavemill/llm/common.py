@@ -191,6 +191,18 @@ def hand_back(spark: SparkSession) -> bool:
     return True
 
 
+def executors_let_go(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, after which their JVMs hand back the heap they do not need.
+
+    A heap that one step has filled else stays as large as it ever was, also
+    while later steps need the room for Python.  Every core is asked, which on
+    an idle cluster reaches all executors; one that is missed goes on as before.
+    """
+    n = spark.sparkContext.defaultParallelism
+    collected = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(collected.alias("collected")).write.format("noop").mode("overwrite").save()
+
+
 def least_count(counts: DataFrame, most: int, column: str = "n") -> int:
     """The least count that at most ``most`` rows reach; the driver gets the numbers of rows by count, exact ones to 4096 and 64 for each doubling above."""
     n = F.col(column)
